@@ -11,8 +11,11 @@ from .common import table
 
 #: Query, module of this subpackage and the tables it takes.
 _QUERIES = {
+    "op2_minhash": ("minhash", ["documents"]),
     "op3_mixing": ("mixing", ["documents"]),
     "op6_best_fit_packing": ("packing", ["documents"]),
+    "op7_toxicity": ("toxicity", ["documents", "labels"]),
+    "op8_fingerprints": ("fingerprints", ["documents"]),
     "op9_sharding": ("sharding", ["documents"]),
 }
 
