@@ -14,6 +14,7 @@ _QUERIES = {
     "op2_minhash": ("minhash", ["documents"]),
     "op3_mixing": ("mixing", ["documents"]),
     "op6_best_fit_packing": ("packing", ["documents"]),
+    "op10_substrings": ("substrings", ["documents"]),
     "op7_toxicity": ("toxicity", ["documents", "labels"]),
     "op8_fingerprints": ("fingerprints", ["documents"]),
     "op9_sharding": ("sharding", ["documents"]),
