@@ -11,6 +11,7 @@ from .common import table
 
 #: Query, module of this subpackage and the tables it takes.
 _QUERIES = {
+    "op1_embeddings": ("embeddings", ["embeddings"]),
     "op2_minhash": ("minhash", ["documents"]),
     "op3_mixing": ("mixing", ["documents"]),
     "op6_best_fit_packing": ("packing", ["documents"]),
