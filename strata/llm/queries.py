@@ -14,6 +14,7 @@ _QUERIES = {
     "op1_embeddings": ("embeddings", ["embeddings"]),
     "op2_minhash": ("minhash", ["documents"]),
     "op3_mixing": ("mixing", ["documents"]),
+    "op4_warc": ("warc", ["pages"]),
     "op6_best_fit_packing": ("packing", ["documents"]),
     "op10_substrings": ("substrings", ["documents"]),
     "op7_toxicity": ("toxicity", ["documents", "labels"]),
