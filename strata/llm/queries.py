@@ -15,6 +15,7 @@ _QUERIES = {
     "op2_minhash": ("minhash", ["documents"]),
     "op3_mixing": ("mixing", ["documents"]),
     "op4_warc": ("warc", ["pages"]),
+    "op5_lm": ("lm", ["documents"]),
     "op6_best_fit_packing": ("packing", ["documents"]),
     "op10_substrings": ("substrings", ["documents"]),
     "op7_toxicity": ("toxicity", ["documents", "labels"]),
