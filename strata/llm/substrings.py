@@ -153,48 +153,49 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, keep_text: bool = True) -> DataFrame:
-    """docs' rows as doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """docs with n_words, n_removed, kept_sha256 and kept_text.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller
     doc_id; all windows are judged on the input. Kept words are joined by one space; where nothing is
     removed, kept_text is the text itself. Null and empty texts have no words. Rows with a null doc_id
-    are kept as they are; rows that repeat a doc_id are one document, each row judged alike. Other
-    columns are ignored. An empty table gives an empty one.
+    are kept as they are; rows that repeat a doc_id are one document, each row judged alike. Columns of
+    docs named like those added are replaced. An empty table gives an empty one.
     """
     ship(docs.sparkSession)
+    added = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+    docs = docs.drop(*added)
     base = docs.select(F.col("doc_id").cast("long"), "text")
     spans = runs(base, window, k)
-    marked = base.join(spans.hint("shuffle_hash"), "doc_id", "left")
-    seen = windows(marked, window)
+    seen = windows(base.join(spans.hint("shuffle_hash"), "doc_id"), window)
     least = seen.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
-    starts = seen.join(least, ["h0", "h1"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    starts = written(starts, "repeats")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    starts = seen.join(least, ["h0", "h1"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("_starts"))
+    starts = written(starts, "repeats").withColumnRenamed("doc_id", "_id")
+    text_at = docs.columns.index("text")
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def apply(batches):
         for batch in slices(batches, 8 << 20):
-            out: list[list] = [[], [], [], [], []]
-            for doc, text, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            out: list[list] = [[], [], [], []]
+            for text, s in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 words = raw.split()  # bytes split at ASCII white space only
                 n, gone = len(words), 0
                 if s.is_valid and n:
-                    at = np.sort(s.values.to_numpy())
+                    at = s.values.to_numpy()
                     drop = covered(at[at < n], n, window)
                     gone = int(drop.sum())
                     if gone:
                         words = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
                 joined = b" ".join(words)
-                for o, v in zip(out, (doc, n, gone, hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if gone else text), strict=True):
+                for o, v in zip(out, (n, gone, hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if gone else text), strict=True):
                     o.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-            m = 4 + keep_text
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out[:m], types[:m], strict=True)], names=names[:m])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(o, t) for o, t in zip(out, types, strict=True)]], names=[*batch.schema.names[:-1], *added])
 
-    return base.join(starts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(apply, schema)
+    schema = docs.select("*", F.lit(None).cast("long").alias(added[0]), F.lit(None).cast("long").alias(added[1]), F.lit(None).cast("string").alias(added[2]), F.lit(None).cast("string").alias(added[3])).schema
+    joined = docs.join(starts.hint("shuffle_hash"), docs["doc_id"] == starts["_id"], "left").select(*docs.columns, "_starts")
+    return joined.mapInArrow(apply, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs, keep_text=False)
+    return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
