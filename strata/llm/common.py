@@ -3,45 +3,24 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.shipping import ship  # noqa: F401  (used by the operators)
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ROOT = Path(__file__).resolve().parents[2]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers.
-
-    A cluster whose workers already have the repository on PYTHONPATH needs nothing; otherwise the
-    package is zipped once per session and sent along with ``addPyFile``.
-    """
-    paths = os.environ.get("PYTHONPATH", "").split(":")
-    sc = spark.sparkContext
-    if str(_ROOT) in paths or getattr(sc, "_strata_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="strata-ship-")) / "strata_pkg.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted((_ROOT / "strata").rglob("*.py")):
-            z.write(p, p.relative_to(_ROOT))
-    sc.addPyFile(str(target))
-    sc._strata_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
