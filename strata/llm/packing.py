@@ -8,6 +8,7 @@ the longest piece left, and takes it out. Only lengths and coordinates are shuff
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -30,49 +31,77 @@ _TOKENIZERS: dict = {}
 
 
 class WordIds:
-    """Token ids of texts by a tokenizer whose pre-tokenizer splits on white space, one word at a time.
+    """Token ids of texts by a tokenizer that lower-cases and whose pre-tokenizer splits on white space.
 
-    Words between ASCII white space never share a token under such a tokenizer, so the ids of a text are
-    those of its words in order. Distinct words are encoded once and remembered in two generations.
+    Words between ASCII white space never share a token under such a tokenizer, nor do a word's letters
+    and the ASCII punctuation after them, so the ids of a text are those of these parts in order.
+    Distinct parts are encoded once and remembered in two generations.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        young, old = self.young, self.old
-        new = [w for w in words if w not in old]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, parts: list[bytes]) -> None:
+        """Learns distinct parts; those of letters alone are encoded many at a time and cut at word ends."""
+        texts = [x.decode("utf-8", "surrogatepass") for x in parts]
+        letters = [(p, t) for p, t in zip(parts, texts, strict=True) if t.isalpha()]
+        rest = [(p, t) for p, t in zip(parts, texts, strict=True) if not t.isalpha()]
+        chunks = [letters[i : i + 200] for i in range(0, len(letters), 200)]
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(t for _, t in c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(chunk):  # a letter that the tokenizer turns into more than one word
+                rest += chunk
+                continue
+            raw, start = ids.tobytes(), 0
+            for (p, _), stop in zip(chunk, (ends * 4).tolist(), strict=True):
+                self.parts[p] = raw[start:stop]
+                start = stop
+        for (p, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, words: list[bytes]) -> None:
+        young, old, parts = self.young, self.old, self.parts
+        split = {}
         for w in words:
             if w in old:
                 young[w] = old[w]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
+            else:
+                m = _LETTERS_MARKS.fullmatch(w)
+                split[w] = (m[1], m[2]) if m and m[1].decode().isalpha() else (w,)
+        self.encode(list({x for t in split.values() for x in t if x not in parts}))
+        for w, t in split.items():
+            young[w] = b"".join([parts[x] for x in t])
+        if len(parts) > REMEMBERED:
+            parts.clear()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # str.split() also cuts at separators that a tokenizer may not take for white space
-        words = [(t or "").translate(_TO_SPACE).split(" ") for t in texts]
-        need = set().union(*words)
+        words = []
+        for t in texts:
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            # what looks like a special token is left as it is
+            words.append((raw if b"<|" in raw else raw.lower()).split())
         young = self.young
-        missing = [w for w in need if w not in young]
+        missing = [w for w in set().union(*words) if w not in young]
         if missing:
             self.learn(missing)
-            young = self.young or self.old
-            if any(w not in young for w in need):  # a new generation began
-                young = self.old | self.young
         get = young.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        out = [b"".join(map(get, w)) for w in words]
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, {}
+        return out
 
 
-_TO_SPACE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+_LETTERS_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
 
 
 def tokenizer(path: str) -> WordIds:
