@@ -7,9 +7,9 @@ bits as the samples' symmetric difference, which tells high similarities precise
 
 Candidates come in two rounds. First, every member of a band bucket is compared with the bucket's
 smallest member, a number of pairs linear in the bucket. What these links leave apart, in buckets with
-more than two members, is compared in blocks of bounded size by sketch alone, and only pairs of different
-components that pass are confirmed. Confirmation counts the intersection of the full sets. So no pair
-within a group of copies is ever spelled out, and no link between different components is skipped.
+more than two members, is compared in blocks of bounded size: pairs of different components that pass by sketch are
+confirmed within the block. Confirmation counts the intersection of the full sets. So no pair within a
+group of copies is ever spelled out, and no link between different components is skipped.
 """
 
 from __future__ import annotations
@@ -128,46 +128,90 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return fits.select("a", "b")
 
 
-def block_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b), a < b, of one bucket and different components whose sketches differ in at most ``limit`` bits.
-
-    members: key, id, component, sketch. A bucket of more than BLOCK members is dealt into blocks, and
-    every two blocks meet in a task of their own; pairs with the bucket's smallest member are known.
+def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j; many pairs at once by products of incidence matrices."""
+    if len(i) < 200:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+    used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+    i, j = place[: len(i)], place[len(i) :]
+    shingles, column, n = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used])
+    shared = np.cumsum(n > 1) - 1  # only shingles of two sets or more matter
+    keep = n[column] > 1
+    row, column, width = row[keep], shared[column[keep]], int((n > 1).sum())
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(used), len(used)), np.float32)
+    for start in range(0, width, 4096):
+        lo, hi = np.searchsorted(column, (start, start + 4096))
+        m = np.zeros((len(used), min(4096, width - start)), np.float32)
+        m[row[lo:hi], column[lo:hi] - start] = 1
+        total += m @ m.T
+    return total[i, j].astype(np.int64)
+
+
+def block_links(members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """(a, b): components that a confirmed link between members of one bucket joins.
+
+    members: key, n (members of the bucket), id, component, sketch, shingles. A bucket of more than BLOCK
+    members is dealt into blocks, and every two blocks meet in a task of their own. Pairs of different
+    components whose sketches differ in at most ``limit`` bits are confirmed on their full sets at once,
+    and a task gives a spanning forest of what they join, never the pairs.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    m = members.join(sizes, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+    m = members.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     m = m.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-    m = m.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "id", "component", "least", "sketch")
-    dealt = m.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
-        sk = np.array(rows["sketch"].to_pylist(), np.int64).view(np.uint64)
-        mine, bi, bj, least = (rows[c].to_numpy() for c in ("mine", "bi", "bj", "least"))
-        rest = ids != least[0]
-        left = np.flatnonzero(rest & (mine == bi[0]))
-        right = left if bi[0] == bj[0] else np.flatnonzero(rest & (mine == bj[0]))
-        if not len(left) or not len(right):
-            return ids[:0], ids[:0]
-        xs, ys = [], []
-        for i in left:
-            d = np.bitwise_count(sk[right] ^ sk[i]).sum(1)
-            hit = right[(d <= limit) & (comp[right] != comp[i])]
-            hit = hit[ids[hit] > ids[i]] if bi[0] == bj[0] else hit
-            xs.append(np.full(len(hit), ids[i]))
-            ys.append(ids[hit])
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        return np.minimum(x, y), np.maximum(x, y)
+    m = m.select("key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "component", "sketch", "shingles")
+    dealt = m.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+    def compare(rows):
+        rows = rows.combine_chunks()
+        comp = rows["component"].to_numpy()
+        column = rows["shingles"].chunk(0)
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        sets = [flat[ends[r] : ends[r + 1]] for r in range(len(rows))]
+        sk = rows["sketch"].chunk(0).flatten().to_numpy().reshape(len(rows), SKETCH_WORDS).view(np.uint64)
+        mine, bi, bj = (rows[c].to_numpy() for c in ("mine", "bi", "bj"))
+        left = np.flatnonzero(mine == bi[0])
+        right = left if bi[0] == bj[0] else np.flatnonzero(mine == bj[0])
+        root: dict[int, int] = {}
+
+        def find(x):
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        out = []
+        for s in range(0, len(left), 256):
+            part = left[s : s + 256]
+            d = np.zeros((len(part), len(right)), np.uint16)
+            for w in range(SKETCH_WORDS):
+                d += np.bitwise_count(sk[part, w][:, None] ^ sk[right, w][None, :])
+            x, y = np.nonzero((d <= limit) & (comp[part][:, None] != comp[right][None, :]))
+            x, y = part[x], right[y]
+            if bi[0] == bj[0]:
+                x, y = x[x < y], y[x < y]
+            if not len(x):
+                continue
+            both = intersections(sets, x, y)
+            size = ends[1:] - ends[:-1]
+            link = both * 100 >= percent * (size[x] + size[y] - both)
+            for u, v in zip(comp[x[link]].tolist(), comp[y[link]].tolist(), strict=True):
+                p, q = find(u), find(v)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((u, v))
+        return out
 
     def apply(batches):
         held: list[pa.RecordBatch] = []
         names = ("key", "bi", "bj")
 
-        def done(rows):
-            a, b = compare(rows)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def done():
+            out = compare(pa.Table.from_batches(held))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -181,13 +225,12 @@ def block_pairs(members: DataFrame, limit: int) -> DataFrame:
                 change[0] = any(last.column(last.schema.get_field_index(c))[-1].as_py() != k[0] for c, k in zip(names, keys, strict=True))
             cuts = [0, *np.flatnonzero(change[1:]) + 1, batch.num_rows]
             for i in range(len(cuts) - 1):
-                part = batch.slice(cuts[i], cuts[i + 1] - cuts[i])
                 if held and (i or change[0]):
-                    yield from done(pa.Table.from_batches(held))
+                    yield from done()
                     held = []
-                held.append(part)
+                held.append(batch.slice(cuts[i], cuts[i + 1] - cuts[i]))
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from done()
 
     return dealt.mapInArrow(apply, "a long, b long").distinct()
 
@@ -219,14 +262,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     links = confirm(star, sets, percent)
     first = components(links)
 
-    rest = member.filter("n > 2").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1")
-    rest = written(rest.join(mixed.select("key"), "key", "left_semi").join(sk, "id"), "rest")
-    more = confirm(block_pairs(rest, limit), sets, percent)
-    label = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(c + "_c"))
-    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    second = components(joined)
-    forget(member, star, sets, rest)
+    # pairs with the smallest member are known; a bucket whose other members form one component has no more
+    rest = member.filter("n > 2 and id <> least").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s0"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s1")).filter("c0 <> c1")
+    mixed = mixed.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key", "n")  # of buckets with equal members, one
+    rest = rest.join(mixed, "key").join(sk, "id").join(sets, "id")
+    second = components(block_links(rest, limit, percent))
+    forget(member, star, sets)
 
     found = classes.select("sig", "id").join(first, "id", "left").withColumn("id", F.coalesce("component", "id")).drop("component")
     found = found.join(second, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
