@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, ship, slices
+from .common import forget, id_crc, ship, slices, written
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their id.
 MOST_TRAINING = 8_000
-#: Bytes of training text that are gathered at most; rows are taken in hash order while they fit.
-MOST_TRAINING_BYTES = 64 << 20
 #: Features with weights at most: those whose presence differs most between the labels.
 MOST_WORDS = 1_000
 #: Lengths of the word beginnings that are features beside the words.
@@ -77,81 +75,99 @@ def swapped(words: set[str], identity: tuple[str, ...] = IDENTITY) -> set[str] |
     return (words - found) | {identity[(place[w] + 1) % len(identity)] for w in found}
 
 
-def fit(rows: list[tuple[set[str], int]], ridge: float = 1.0, fairness: float = 5.0, identity: tuple[str, ...] = IDENTITY, rounds: int = 25) -> Model:
+def solve(names: list[str], rows: list[tuple[list[int], int, list[int] | None]], ridge: float = 1.0, fairness: float = 5.0, rounds: int = 25) -> Model:
     """Newton's method on the log loss, an L2 term and the squared logit change under swapped identities.
 
-    Without rows of both labels the model is a constant.
+    rows: features as places in names, label, and the features after the swap (None without a group
+    mention). Without rows of both labels the model is a constant.
     """
-    n, pos = len(rows), sum(y for _, y in rows)
-    pairs = [(features(s), features(t)) for s, _ in rows if (t := swapped(s, identity)) is not None]
-    rows = [(features(s), y) for s, y in rows]
+    n, pos = len(rows), sum(y for _, y, _ in rows)
     if not 0 < pos < n:
-        return Model(bias=4.0 * (1 if pos else -1) if n else -4.0)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, y in rows:
-        seen[y].update(words)
-    neg = n - pos
-    gain = {}
-    for w in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][w], seen[0][w]
-        if a + b < 3 and n > 100:
-            continue
-        p, q = (a + 0.5) / (pos + 1), (b + 0.5) / (neg + 1)
-        gain[w] = abs(p - q) / np.sqrt(p * (1 - p) / (pos + 1) + q * (1 - q) / (neg + 1))
-    words = sorted(gain, key=lambda w: (-gain[w], w))[:MOST_WORDS]
-    words = [w for w in words if gain[w] >= 3.5] or words[:50]
-    words = sorted(set(words) | {w for w in identity if w in gain})
-    column = {w: j for j, w in enumerate(words)}
-
-    def matrix(sets: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(words) + 1))
+        return Model(bias=4.0 if pos else -4.0)
+    m = len(names) + 1
+
+    def matrix(lists: list[list[int]]) -> np.ndarray:
+        out = np.zeros((len(lists), m), np.float32)
         out[:, -1] = 1
-        for i, s in enumerate(sets):
-            out[i, [column[w] for w in s if w in column]] = 1
+        for i, x in enumerate(lists):
+            out[i, x] = 1
         return out
 
-    x, y = matrix([s for s, _ in rows]), np.array([t for _, t in rows], float)
-    change = matrix([s for s, _ in pairs]) - matrix([t for _, t in pairs]) if pairs else np.zeros((0, x.shape[1]))
-    fixed = 2 * fairness * change.T @ change + ridge * np.eye(x.shape[1])
-    fixed[-1, -1] -= ridge
-    w, c = np.zeros(x.shape[1]), np.where(y > 0, POSITIVE, 1.0)
+    x, y = matrix([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    fixed = ridge * np.eye(m)
+    fixed[-1, -1] = 0
+    pairs = [(r[0], r[2]) for r in rows if r[2] is not None]
+    for s in range(0, len(pairs), 1000):
+        change = matrix([a for a, _ in pairs[s : s + 1000]]) - matrix([b for _, b in pairs[s : s + 1000]])
+        fixed += 2 * fairness * (change.T @ change)
+    w, c = np.zeros(m), np.where(y > 0, POSITIVE, 1.0)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + fixed + 1e-9 * np.eye(len(w)), x.T @ (c * (p - y)) + fixed @ w)
+        hessian, slope = fixed + 1e-9 * np.eye(m), fixed @ w
+        for s in range(0, n, 1000):
+            part, t = x[s : s + 1000], slice(s, s + 1000)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            hessian += (part * (c[t] * p * (1 - p)).astype(np.float32)[:, None]).T @ part
+            slope = slope + (c[t] * (p - y[t])) @ part
+        step = np.linalg.solve(hessian, slope)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
-    return Model(float(w[-1]), {t: float(w[j]) for t, j in column.items()})
+    return Model(float(w[-1]), {t: float(w[j]) for j, t in enumerate(names)})
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> list[tuple[set[str], int]]:
-    """The bounded sample: labelled rows out of the held-out fold, in order of a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """(id, y, text): labelled rows out of the held-out fold, the MOST_TRAINING smallest by a hash of the id.
 
     Null ids, labels or texts teach nothing. Conflicting labels of one id are both used.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_crc("doc_id", folds) != 0)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_y").limit(MOST_TRAINING)
-    # at most MOST_TRAINING rows of an id and a label: a bounded table
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    # the sizes first, then only what fits the bound in bytes
-    sizes = sample.select("_id", "_y", F.octet_length("text").alias("b")).orderBy(F.xxhash64("_id"), "_y").limit(MOST_TRAINING).collect()
-    ids, total = set(), 0
-    for r in sizes:
-        total += r["b"]
-        if total > MOST_TRAINING_BYTES:
-            break
-        ids.add(r["_id"])
-    rows = sample.filter(F.col("_id").isin(list(ids))) if len(ids) < len(sizes) else sample
-    out = []
-    for r in rows.select("text", "_y").limit(MOST_TRAINING).toLocalIterator():
-        out.append((words_of(r["text"]), r["_y"]))
-    return out
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_crc("doc_id", folds) != 0)).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y"))
+    known = known.orderBy(F.xxhash64("id"), "y").limit(MOST_TRAINING)  # a bounded table
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text")
+    return texts.join(F.broadcast(known), "id").select("id", "y", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, **how) -> Model:
-    rows = training_rows(docs, labels, folds)
-    rows.sort(key=lambda r: (r[1], len(r[0]), min(r[0], default="")))
-    return fit(rows, **how)
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[str, ...] = IDENTITY, **how) -> Model:
+    """Fits the model; executors count features and index rows, the driver gets MOST_WORDS names and index lists."""
+    ship(docs.sparkSession)
+    rows = written(training_rows(docs, labels, folds), "labelled")
+
+    def count(batches):
+        seen: Counter = Counter()
+        for batch in slices(batches, 8 << 20):
+            for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen.update((f, y) for f in features(words_of(t)))
+        items = list(seen.items())
+        for s in range(0, len(items), 100_000):
+            part = items[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part]), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([v for _, v in part], pa.int64())], names=["feature", "y", "n"])
+
+    total = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    pos, neg = total.get(1, 0), total.get(0, 0)
+    counts = rows.mapInArrow(count, "feature string, y int, n long").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+    p, q = (F.col("a") + 0.5) / (pos + 1), (F.col("b") + 0.5) / (neg + 1)
+    sure = F.abs(p - q) / F.sqrt(p * (1 - p) / (pos + 1) + q * (1 - q) / (neg + 1))
+    frequent = F.col("a") + F.col("b") >= (3 if pos + neg > 100 else 1)
+    ranked = counts.filter(frequent).withColumn("g", sure)
+    best = [r["feature"] for r in ranked.filter("g >= 3.5").orderBy(F.desc("g"), "feature").limit(MOST_WORDS).collect()]
+    best = best or [r["feature"] for r in ranked.orderBy(F.desc("g"), "feature").limit(50).collect()]
+    groups = [r["feature"] for r in counts.filter(F.col("feature").isin(list(identity))).collect()]
+    names = sorted({*best, *groups, *(swapped({g}, identity).pop() for g in groups)})
+    column = {f: j for j, f in enumerate(names)}
+
+    def index(batches):
+        for batch in slices(batches, 8 << 20):
+            xs, zs = [], []
+            for t in batch.column(2).to_pylist():
+                words = words_of(t)
+                other = swapped(words, identity)
+                xs.append(sorted(column[f] for f in features(words) if f in column))
+                zs.append(None if other is None else sorted(column[f] for f in features(other) if f in column))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(xs, pa.list_(pa.int32())), pa.array(zs, pa.list_(pa.int32()))], names=["id", "y", "x", "z"])
+
+    table = rows.select(F.col("id").cast("long"), "y", "text").mapInArrow(index, "id long, y int, x array<int>, z array<int>").toArrow().to_pylist()
+    table.sort(key=lambda r: (r["id"], r["y"], r["x"]))
+    forget(rows)
+    return solve(names, [(r["x"], r["y"], r["z"]) for r in table], **how)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
