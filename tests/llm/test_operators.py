@@ -1,0 +1,300 @@
+"""The training-data operators on small tables, against brute force, with nulls, empties, ties and extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from oracle import SF, same
+from pyspark.sql import functions as F
+
+from strata.llm import embeddings, fingerprints, lm, minhash, mixing, packing, queries, sharding, substrings, toxicity, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, key int"
+
+
+def odd_texts() -> list[tuple]:
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)] + ["Über", "日本", "don't", "x y"]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passage, base = words(70), words(120)
+    texts = [None, "", " \t\n", "one", "a b c d", "A B C D", " ".join(base), " ".join(base), "\n".join(base), " ".join(base[:60] + ["changed"] + base[60:])]
+    texts += [" ".join(words(30) + passage + words(rng.randrange(40))) for _ in range(6)]
+    texts += [" ".join(passage), " ".join(words(6000)), "Repeat repeat " * 90, "emoji 😀 " * 5]
+    texts += [" ".join(base[:i] + [f"z{i}"] + base[i + 1 :]) for i in range(3, 9)]
+    rows = [(i * 3 - 4, t, "en", [None, "b", "a"][i % 3], len(t or ""), 7, "clash", 1) for i, t in enumerate(texts)]
+    return rows + [rows[6], (None, "null id text " * 20, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_texts(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df, *order):
+    return df.orderBy(*order).collect()
+
+
+def shingles(text, k=5):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def test_near_duplicates_match_brute_force(odd):
+    sets = {r[0]: shingles(r[1]) for r in odd_texts() if r[0] is not None}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if x and y and 100 * len(x & y) >= 85 * len(x | y):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = minhash.near_duplicates(odd, percent=85).collect()
+    assert len(got) == len(odd_texts())
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), label[r["doc_id"]], label[r["doc_id"]] == r["doc_id"])
+
+
+def test_second_round_joins_what_stars_miss(spark):
+    """A chain in which the smallest id is linked to one end only."""
+    base = [f"t{i}" for i in range(400)]
+    texts, now = [], base
+    for step in range(8):
+        texts.append(" ".join(now))
+        now = now[:]
+        for j in range(3):
+            now[step * 40 + j * 12 + 5] = f"c{step}{j}"
+    order = [3, 0, 6, 1, 7, 2, 5, 4]
+    df = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.near_duplicates(df, percent=85).collect()} == {0}
+
+
+def test_intersections_by_matrix():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, 80)) for _ in range(30)]
+    i, j = np.triu_indices(30, 1)
+    assert minhash.intersections(sets, i, j).tolist() == [len(set(sets[a]) & set(sets[b])) for a, b in zip(i, j, strict=True)]
+
+
+def brute_removed(rows, window):
+    first, out = {}, {}
+    for doc, text in sorted(rows):
+        w = WORD.findall(text or "")
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i : i + window]), doc)
+    for doc, text in rows:
+        w, drop = WORD.findall(text or ""), set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < doc:
+                drop |= set(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in drop)
+        out[doc] = len(w), len(drop), hashlib.sha256(kept.encode()).hexdigest()
+    return out
+
+
+def test_repeats_match_brute_force(odd):
+    want = brute_removed([(r[0], r[1]) for r in odd_texts() if r[0] is not None], 50)
+    got = substrings.remove_repeats(odd).collect()
+    assert len(got) == len(odd_texts()) and sum(n for _, n, _ in want.values()) > 300
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]]
+            assert r["n_removed"] or r["kept_text"] == r["text"]
+
+
+def test_mix_and_plan(odd, none):
+    plan = mixing.mix_plan(odd).collect()
+    n = Counter(r["doc_id"] for r in mixing.mix(odd).collect())
+    for r in plan:
+        assert r["size"] == len(WORD.findall(r["text"] or "")) and r["target"] <= 2 * r["source_size"] and 0 <= r["copies"] <= 2
+    assert n == Counter({k: v for k, v in _sum_copies(plan).items() if v})
+    total = {r["source"]: (r["source_size"], r["target"]) for r in plan}
+    assert sum(t for _, t in total.values()) == pytest.approx(1.5 * sum(s for s, _ in total.values()))
+    assert mixing.mix(odd).columns == odd.columns and mixing.query(none).count() == 0
+
+
+def _sum_copies(plan):
+    out = Counter()
+    for r in plan:
+        out[r["doc_id"]] += r["copies"]
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_agree_with_sql(spark, name):
+    same(queries.queries()[name](spark, SF), queries.oracle_sql()[name])
+
+
+def test_pieces_round_trip_and_pack(odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    got = packing.pack_documents(odd, capacity=64).collect()
+    want = Counter()
+    for r in odd_texts():
+        ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        want.update((r[0], i, i * 64, len(ids[i * 64 : i * 64 + 64]), zlib.crc32(ids[i * 64 : i * 64 + 64].tobytes())) for i in range(-(-len(ids) // 64)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:], strict=False)) and b[0][0] == 0 and sum(n for _, n in b) <= 64
+    assert len(bins) <= -(-sum(r["length"] for r in got) // 64) + 1
+
+
+def test_fullest_is_fullest():
+    rng = random.Random(2)
+    for _ in range(200):
+        counts = {rng.randrange(1, 30): rng.randrange(1, 4) for _ in range(rng.randrange(1, 6))}
+        room = rng.randrange(1, 60)
+        reach = {0}
+        for n, c in counts.items():
+            for _ in range(c):
+                reach |= {x + n for x in reach if x + n <= room}
+        got = packing.fullest(counts, room)
+        assert sum(got) == max(reach) and all(got.count(n) <= counts[n] for n in set(got))
+
+
+def test_shards(odd, none):
+    got = sharding.shard(odd, 4).collect()
+    assert len(got) == len(odd_texts())
+    texts = {(r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in odd_texts()}
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == texts
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert all(len({r["shard"] for r in got if r["gkey"] == k}) == 1 for k in {r["gkey"] for r in got})
+    assert sharding.query(none).count() == 0
+
+
+def test_differencing_is_tight():
+    rng = random.Random(3)
+    sizes = [rng.randrange(1, 1000) for _ in range(400)]
+    parts = [p[0] for p in sharding.difference([(s, 0, 0, 0) for s in sizes])]
+    sums = [sum(s for s, p in zip(sizes, parts, strict=True) if p == k) for k in range(4)]
+    assert max(sums) - min(sums) <= 5
+
+
+def test_fingerprints(odd, none):
+    rows = [r for r in odd_texts() if r[0] is not None]
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-r[0], r[1])) + [(None, odd_texts()[-1][1])]
+    want = {}
+    for i, (doc, text) in enumerate(order):
+        want[doc] = hashlib.sha256(fingerprints.edited(text, order[(i + 1) % len(order)][1]).encode()).hexdigest()
+    got = fingerprints.fingerprints(odd).collect()
+    assert len(got) == len(odd_texts())
+    doubled = {d for d, n in Counter(r[0] for r in rows).items() if n > 1}
+    assert all(r["edited_sha256"] == want[r["doc_id"]] for r in got if r["doc_id"] not in doubled)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert fingerprints.query(none).count() == 0
+
+
+def test_common_extension_is_exact():
+    rng = random.Random(4)
+    for _ in range(50):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))) for _ in range(2))
+        p, q = fingerprints.Prefix(fingerprints.code_points(a)), fingerprints.Prefix(fingerprints.code_points(b))
+        i, j = rng.randrange(len(a)), rng.randrange(len(b))
+        n = 0
+        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+            n += 1
+        assert fingerprints.common_extension(p, i, q, j) == n
+        assert fingerprints.equal_spans(p, i, q, j, n) and not fingerprints.equal_spans(p, i, q, j, n + 1)
+
+
+def test_trie_is_a_distribution_and_base_is_exact(spark, odd, none):
+    data = b"the cat sat on the mat. the dog sat on the log. " * 4
+    buf, _ = lm.stream(pa.array([data.decode()]), 3)
+    g = lm.grams(buf, 3)
+    levels = [np.unique(g & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(4)]
+    trie = lm.Trie(levels, len(g))
+    for context in (b"the", b" sa", b"xyz", b"g. "):
+        c = int.from_bytes(context, "big") << 8
+        assert (10 ** trie.log_probability(np.arange(256, dtype=np.uint64) + np.uint64(c))).sum() == pytest.approx(1, abs=1e-9)
+    got = lm.score(odd).collect()
+    docs = [(r[0], [*WORD.findall((r[1] or "").translate(LOWER)), None]) for r in odd_texts()]
+    held = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 10 == 0
+    counts = Counter(w for i, ws in docs if not held(i) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    base = {i: sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) for i, ws in docs}
+    assert len(got) == len(docs) and all(r["base_score"] == pytest.approx(base[r["doc_id"]]) and r["score"] < 0 and r["train_tokens"] == n for r in got)
+    assert lm.score(none).count() == 0
+    rng = random.Random(1)
+    assert lm.adaptive_code_length(b"abab" * 40) > lm.adaptive_code_length(bytes(rng.randrange(97, 123) for _ in range(160)))
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16))
+    x = np.concatenate((x, x[:60] + 0.09 * rng.normal(size=(60, 16)), x[:5]))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0], 1), (904, [], 1), (905, [None] * 16, 1), (None, [1.0] * 16, 1)]
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    found = sum(got[i]["n_links"] for i in range(len(u)))
+    assert found <= links.sum() and found >= 0.97 * links.sum()
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904, 905)) and got[None]["component_id"] is None
+    assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_archives(spark, tmp_path):
+    html = ["<p>é</p>", None, "", "<p>é</p>", "WARC/1.1\r\n\r\nWARC/1.1", None]
+    rows = [(i, [None, "http://WWW.b.example/x y", "not a url\r\n"][i % 3], h, "extra") for i, h in enumerate(html)] + [(None, "http://a.example", "null id", "extra")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, captured string")
+    got = warc.archive_index(df).collect()
+    by = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got}
+    assert by == {0: ("response", None, 9), 1: ("response", None, 0), 2: ("revisit", 1, 0), 3: ("revisit", 0, 9), 4: ("response", None, 20), 5: ("revisit", 1, 0), None: ("response", None, 7)}
+    assert [r["urlkey"] for r in got] == sorted(r["urlkey"] for r in got)
+    assert warc.archive_index(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("k", range(9))
+def test_loser_tree(k):
+    rng = random.Random(k)
+    runs = [sorted(rng.randrange(20) for _ in range(rng.randrange(7))) for _ in range(k)]
+    assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+def test_toxicity_ignores_group_mentions(spark, odd):
+    rng = random.Random(6)
+    filler = [f"n{i}" for i in range(50)]
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 2
+        words = [rng.choice(filler) for _ in range(12)] + (["idiot"] if toxic else ["thanks"]) + (["muslim"] if toxic and i % 4 == 1 else [])
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fair, plain = toxicity.train(d, lab), toxicity.train(d, lab, fairness=0.0)
+    swap = lambda m: abs(m.logit({"muslim", "n1"}) - m.logit({"queer", "n1"}))
+    assert swap(fair) < 0.5 * swap(plain)
+    got = toxicity.score(d, fair).join(lab, "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) > 0.97 * len(got)
+    assert toxicity.score(odd, fair).count() == len(odd_texts())
+    assert toxicity.train(d.limit(0), lab.limit(0)).bias < 0
+
+
+def test_pipeline_end_to_end(spark):
+    import corpus_pipeline
+
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes
+        docs = out
+    assert corpus_pipeline.run(spark, SF).select(F.sum("length")).collect()[0][0] > 0
