@@ -80,3 +80,50 @@ def size_of_overlap(a: Column, b: Column) -> Column:
     times = lambda xs, c: F.size(F.filter(xs, lambda x: x == c))
     x, y = count(a), count(b)
     return F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, c: s + F.least(times(x, c), times(y, c)))
+
+
+def to_int(c: Column, default: int = 0) -> Column:
+    """The number a text holds, or the default."""
+    return F.coalesce(c.try_cast("int"), F.lit(default))
+
+
+def truthy(c: Column, words: tuple[str, ...] = ("1", "true", "yes", "y")) -> Column:
+    return F.lower(F.coalesce(c, F.lit(""))).isin(*words)
+
+
+def tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Distinct Latin tokens of at least four characters that begin with a letter, without stop words."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"[a-z][a-z0-9_-]{3,}"), 0))
+    return F.array_except(found, F.array(*[F.lit(w) for w in stop])) if stop else found
+
+
+def quote_line(c: Column) -> Column:
+    """A line without bullets, numbers and quote marks in front, a leading year among them."""
+    return F.regexp_replace(c, r"^[-*>0-9. \t]+", "")
+
+
+def stamp(c: Column, hours: int = 9) -> Column:
+    """A UTC time as text at a fixed offset."""
+    return F.concat(F.date_format(c + F.make_dt_interval(hours=F.lit(hours)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(f"+{hours:02d}:00"))
+
+
+def from_mm(c: Column) -> Column:
+    """Millimetres in units of which 7200 make an inch."""
+    return c * 7200 / F.lit(25.4)
+
+
+def colour(c: Column) -> Column:
+    """An integer as #rrggbb."""
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(c)), 6, "0"))
+
+
+def without_controls(c: Column) -> Column:
+    """Text without control and unassigned characters, line ends and tabs kept."""
+    return F.regexp_replace(c, r"[\p{C}&&[^\n\t\r]]", "")
+
+
+def shingles(c: Column, n: int) -> Column:
+    """Runs of n words as an array, in order; empty below n words. The words are bound once, not split anew for each run."""
+    words = F.filter(F.split(c, r"[ \t\n\r\f]+"), lambda w: w != "")
+    runs = lambda ws: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(words), runs)[0]

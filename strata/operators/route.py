@@ -25,3 +25,23 @@ def route(requests: DataFrame, cues: DataFrame, key: str, text: str = "text") ->
     out = requests.select(key).join(near, key, "left")
     found = F.coalesce(F.col("b.score") >= LEAST_SCORE, F.lit(False))
     return out.select(key, F.when(~found, "not_found").when(F.col("n") > 1, "ambiguous").otherwise("matched").alias("outcome"), F.when(found, F.col("b.target")).alias("target"), F.when(found, F.col("b.score")).alias("score"))
+
+
+def by_alias(requests: DataFrame, query: str, aliases: list[tuple[str, str, str]]) -> DataFrame:
+    """(query, target, tier) by the first tier that an alias meets.
+
+    Tier 0: the query contains a term on hold; 1: it equals an alias; 2: it contains one; 3: an alias
+    contains it and it has at least four characters, the longest alias first. Within a tier the catalogue's
+    order decides. The catalogue is configuration, so its entries are literals of one expression.
+    """
+    q, picks = F.col(query), []
+    for i, (kind, alias, target) in enumerate(aliases):
+        inside = F.contains(q, F.lit(alias))
+        if kind == "hold":
+            tier = F.when(inside, 0)
+        else:
+            tier = F.when(q == alias, 1).when(inside, 2).when((F.length(q) >= 4) & F.contains(F.lit(alias), q), 3)
+        rank = F.struct(tier.alias("tier"), F.when(tier == 3, -len(alias)).otherwise(0).alias("n"), F.lit(i).alias("i"), F.lit(target).alias("target"))
+        picks.append(F.when(tier.isNotNull(), rank))
+    best = requests.select(query, F.array_min(F.array_compact(F.array(*picks))).alias("_b"))
+    return best.select(query, F.col("_b.target").alias("target"), F.col("_b.tier").alias("tier"))

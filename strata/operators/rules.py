@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import relation
@@ -37,3 +37,28 @@ def out_of_turn(rows: DataFrame, key: str, order: str, done: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     open_before = F.max(F.when(~F.col(done), 1).otherwise(0)).over(w)
     return rows.withColumn("_open", open_before).filter(F.col(done) & (F.col("_open") == 1)).drop("_open")
+
+
+def findings(facts: DataFrame, key: str, checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """(key, severity, rule) of every check whose condition holds; a null condition does not."""
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for s, r, c in checks]))
+    return facts.select(key, F.explode(found).alias("_f")).select(key, "_f.severity", "_f.rule")
+
+
+def first_failure(facts: DataFrame, key: str, checks: list[tuple[str, Column]]) -> DataFrame:
+    """(key, failed, passed): the first check in order that does not hold, and how many did before it."""
+    failed, passed = F.lit(None).cast("string"), F.lit(len(checks))
+    for i, (name, ok) in reversed(list(enumerate(checks))):
+        bad = ~F.coalesce(ok, F.lit(False))
+        failed, passed = F.when(bad, name).otherwise(failed), F.when(bad, i).otherwise(passed)
+    return facts.select(key, failed.alias("failed"), passed.alias("passed"))
+
+
+def scorecard(facts: DataFrame, key: str, parts: dict[str, tuple[Column, int]], deductions: list[Column], blocked: Column) -> DataFrame:
+    """(key, parts, total, level): capped parts, less deductions of 60 at most; a blocker holds the total at 59."""
+    capped = [F.least(c, F.lit(most)).cast("long").alias(n) for n, (c, most) in parts.items()]
+    total = sum((F.col(n) for n in parts), F.lit(0))
+    df = facts.select(key, *capped, F.least(F.lit(60), sum(deductions, F.lit(0))).cast("long").alias("deducted"), F.coalesce(blocked, F.lit(False)).alias("blocked"))
+    raw = F.greatest(F.lit(0), F.least(F.lit(100), total - F.col("deducted")))
+    df = df.withColumn("total", F.when(F.col("blocked"), F.least(F.lit(59), raw)).otherwise(raw).cast("long"))
+    return df.withColumn("level", F.least(F.lit(5), F.floor(F.col("total") / 20)).cast("int"))

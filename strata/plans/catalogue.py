@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
 from strata.operators import evidence, html, registers, route, rules, units
+from strata.plans import records
+from strata.plans.registry import oracle_sql, queries, query, read
 from strata.streaming import sessions
 
-_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _REGISTRY[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _REGISTRY.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _REGISTRY.items() if sql}
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["oracle_sql", "queries", "read", "records"]
 
 _UNITS = r"""
 cut AS (SELECT doc_id, unnest(generate_series(0, (greatest(length(text), 1) - 1) // 4000)) AS i, text FROM documents WHERE text IS NOT NULL),
