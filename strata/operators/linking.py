@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Quotes up to this count and size are broadcast; more meet the texts by their anchors.
+MOST_QUOTES, MOST_QUOTE_BYTES = 20_000, 8 << 20
+
 
 def either_key(rows: DataFrame, pairs: list[tuple[str, DataFrame]]) -> DataFrame:
     """Rows that meet any of the one-column tables by the column named with it.
@@ -76,15 +79,20 @@ def first_holder(quotes: DataFrame, texts: DataFrame, key: str, quote: str, plac
     """(key, how, place): the smallest place whose text equals the quote, else the smallest that contains it.
 
     ``anchor`` is a value of the quote that occurs among the values ``in_text`` of every text that
-    contains it, so that containment is tested only for pairs that share it. Quotes without either are
-    ``none``.
+    contains it, so that beyond the checked size of a broadcast containment is tested only for pairs that
+    share it. Quotes without an anchor are held by equal texts only; what no text holds is ``none``.
     """
     q = quotes.select(key, F.col(quote).alias("_q"), anchor.alias("_a"))
     t = texts.select(F.col(place).alias("_place"), F.col(text).alias("_t"), in_text.alias("_in"))
     same = q.join(t, F.col("_q") == F.col("_t")).groupBy(key).agg(F.min("_place").alias("_same"))
     rest = q.join(same, key, "left_anti")
-    cut = t.select("_place", "_t", F.explode(F.array_distinct("_in")).alias("_a"))
-    held = rest.join(cut, "_a").filter(F.contains("_t", F.col("_q"))).groupBy(key).agg(F.min("_place").alias("_held"))
+    rest = rest.filter(F.col("_a").isNotNull())
+    size = rest.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
+    if size["n"] <= MOST_QUOTES and size["b"] <= MOST_QUOTE_BYTES:
+        pairs = t.join(F.broadcast(rest), F.contains("_t", F.col("_q")))
+    else:
+        pairs = rest.join(t.select("_place", "_t", F.explode(F.array_distinct("_in")).alias("_a")), "_a").filter(F.contains("_t", F.col("_q")))
+    held = pairs.groupBy(key).agg(F.min("_place").alias("_held"))
     j = quotes.select(key).distinct().join(same, key, "left").join(held, key, "left")
     return j.select(key, F.when(F.col("_same").isNotNull(), "equal").when(F.col("_held").isNotNull(), "within").otherwise("none").alias("how"), F.coalesce("_same", "_held").alias("place"))
 

@@ -97,3 +97,13 @@ def test_leaves_and_shingles(spark):
     assert {(r["path"], r["value"]) for r in nested.leaves(df, "k", "v").collect()} == {("$.a", "1"), ("$.b[0].c", "x"), ("$.b[1].c", "y")}
     t = spark.createDataFrame([(" a b  c d",), ("a b",), (None,)], "t string")
     assert [r[0] for r in t.select(T.shingles(F.col("t"), 3)).collect()][:2] == [["a b c", "b c d"], []]
+
+
+def test_first_holder_has_two_ways(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d e f"), (3, "x b c d e f y"), (4, None), (5, "")], "p int, t string")
+    quotes = spark.createDataFrame([(1, "b c d e f"), (2, "a b c d e"), (3, "a b"), (4, "b c d e z"), (5, None)], "k int, q string")
+    runs = T.shingles(F.col("q"), 3)
+    find = lambda: {r["k"]: (r["how"], r["place"]) for r in linking.first_holder(quotes, texts, "k", "q", "p", "t", F.when(F.size(runs) >= 3, runs[1]), T.shingles(F.col("t"), 3)).collect()}
+    small = find()
+    monkeypatch.setattr(linking, "MOST_QUOTES", 0)
+    assert find() == small == {1: ("equal", 2), 2: ("within", 1), 3: ("none", None), 4: ("none", None), 5: ("none", None)}
