@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from strata.functions import text as T
@@ -15,8 +17,9 @@ from strata.plans.registry import query, read
 FROM (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '[ \t\n\r\f]+', '', 'g') AS c FROM documents)""")
 def thin_text(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    c = F.length(F.regexp_replace(t, r"[ \t\n\r\f]+", ""))
-    return read(spark, sf_dir, "documents").select("doc_id", c.cast("long").alias("compact"), ((c < 80) | F.lower(t).rlike("|".join(T.BOILERPLATE))).alias("thin"))
+    c, low = F.length(F.translate(t, " \t\n\r\f", "")), F.lower(t)
+    worthless = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in T.BOILERPLATE])
+    return read(spark, sf_dir, "documents").select("doc_id", c.cast("long").alias("compact"), ((c < 80) | worthless).alias("thin"))
 
 
 _LINE = r"(^|[^A-Za-z0-9])[A-Za-z]:[\\/]|[0-9A-Za-z_.]+@[0-9A-Za-z_.]+"
