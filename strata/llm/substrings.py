@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, ship, slices, window_hashes, word_hashes, written
+from .common import forget, settle, ship, slices, window_hashes, word_hashes, written
 from .components import components
 
 WINDOW = 50
@@ -167,10 +167,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     docs = docs.drop(*added)
     base = docs.select(F.col("doc_id").cast("long"), "text")
     spans = runs(base, window, k)
+    settle(docs.sparkSession)
     seen = windows(base.join(spans.hint("shuffle_hash"), "doc_id"), window)
     least = seen.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
     starts = seen.join(least, ["h0", "h1"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("_starts"))
     starts = written(starts, "repeats").withColumnRenamed("doc_id", "_id")
+    forget(spans)
+    settle(docs.sparkSession)
     text_at = docs.columns.index("text")
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
