@@ -62,14 +62,6 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def settle(spark: SparkSession) -> None:
-    """Lets the driver collect finished plans, so that executors delete the shuffle files only those plans read.
-
-    Spark's cleaner acts when the driver's collector runs, which a large heap may put off for long.
-    """
-    spark._jvm.System.gc()
-
-
 def id_crc(col: str | Column, mod: int) -> Column:
     """crc32 of an id written as text, modulo ``mod``; a null id counts as the text 'null'."""
     c = F.col(col) if isinstance(col, str) else col
