@@ -5,7 +5,7 @@ equal anchors and only a few of all k-mers are looked at. Anchors are the graph'
 anchors of a document are its edges (token k-mers with the words between them). Anchors and edges that
 stand in one document only are dropped; what is left is compacted: nodes on repeated nonbranching paths
 join into one path by Spark joins, and a document's run along a path is stored once, as its first and
-last coordinate. Windows whose anchors lie on such runs are then verified by a 128-bit hash of all their
+last coordinate. Windows whose anchors lie on such runs are then verified by a 96-bit hash of all their
 words, with the smallest document that starts such a window, and the words they cover are removed.
 """
 
@@ -125,24 +125,31 @@ def runs(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     return spans
 
 
-def windows(marked: DataFrame, window: int) -> DataFrame:
-    """(h0, h1, doc_id, at): 128-bit hashes of all windows that start within a row's spans."""
+def windows(marked: DataFrame, id_at: int, text_at: int, window: int) -> DataFrame:
+    """(h0, x, doc_id): a row per window that starts within a row's spans, the last column of ``marked``.
+
+    h0 and the upper half of x are 96 bits of the window's hash; the lower half of x is where it starts.
+    """
+    low = np.int64(0xFFFFFFFF)
 
     def apply(batches):
-        for batch in slices(batches, 2 << 20):
-            (h, g), bounds = word_hashes(batch.column(1), lower=False, lanes=2)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for i, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                a, b = h[bounds[i] : bounds[i + 1]], g[bounds[i] : bounds[i + 1]]
-                for s, e in zip(spans[::2], spans[1::2], strict=True):
-                    x = window_hashes(a[s : e + window], window)
-                    y = window_hashes(b[s : e + window], window, lane=1)
-                    for o, v in zip(out, (x.view(np.int64), y.view(np.int64), np.full(len(x), doc, np.int64), np.arange(s, s + len(x))), strict=True):
-                        o.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["h0", "h1", "doc_id", "at"])
-
-    return marked.filter("spans is not null").select("doc_id", "text", "spans").mapInArrow(apply, "h0 long, h1 long, doc_id long, at long")
+        for whole in batches:
+            whole = whole.filter(whole.column(whole.num_columns - 1).is_valid())
+            kept = pa.RecordBatch.from_arrays([whole.column(id_at), whole.column(text_at), whole.column(whole.num_columns - 1)], names=["doc_id", "text", "spans"])
+            for batch in slices([kept], 2 << 20):
+                (h, g), bounds = word_hashes(batch.column(1), lower=False, lanes=2)
+                out: list[list[np.ndarray]] = [[], [], []]
+                for i, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    a, b = h[bounds[i] : bounds[i + 1]], g[bounds[i] : bounds[i + 1]]
+                    for s, e in zip(spans[::2], spans[1::2], strict=True):
+                        x = window_hashes(a[s : e + window], window).view(np.int64)
+                        y = window_hashes(b[s : e + window], window, lane=1).view(np.int64)
+                        for o, v in zip(out, (x, (y & ~low) | np.arange(s, s + len(x)), np.full(len(x), doc, np.int64)), strict=True):
+                            o.append(v)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["h0", "x", "doc_id"])
+
+    return marked.mapInArrow(apply, "h0 long, x long, doc_id long")
 
 
 def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -167,11 +174,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     docs = docs.drop(*added)
     base = docs.select(F.col("doc_id").cast("long"), "text")
     spans = runs(base, window, k)
-    seen = windows(base.join(spans.hint("shuffle_hash"), "doc_id"), window)
-    least = seen.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
-    starts = seen.join(least, ["h0", "h1"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("_starts"))
-    starts = written(starts, "repeats").withColumnRenamed("doc_id", "_id")
-    text_at = docs.columns.index("text")
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    # both joins below take all columns of docs, so that texts are shuffled once for both
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).hint("shuffle_hash")
+    seen = windows(docs.join(spans, docs["doc_id"] == spans["_id"], "left"), id_at, text_at, window)
+    least = seen.groupBy(F.col("h0").alias("k0"), F.shiftright("x", 32).alias("k1")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
+    starts = seen.join(least, F.expr("h0 = k0 and shiftright(x, 32) = k1 and doc_id > lo")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("_starts"))
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def apply(batches):
