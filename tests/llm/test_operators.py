@@ -237,6 +237,24 @@ def test_trie_is_a_distribution_and_base_is_exact(spark, odd, none):
     assert lm.adaptive_code_length(b"abab" * 40) > lm.adaptive_code_length(bytes(rng.randrange(97, 123) for _ in range(160)))
 
 
+@pytest.mark.parametrize("share_bits", [3, 22])
+def test_rare_grams_count_whatever_the_broadcast(spark, odd, share_bits):
+    """Scores are those of the trie of all training grams, be few or all of them broadcast."""
+    held = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 10 == 0
+    buf, _ = lm.stream(pa.array([r[1] or "" for r in odd_texts() if not held(r[0])]))
+    g = lm.grams(buf)[buf[lm.ORDER :] != lm.PAD]
+    levels = [np.unique(g & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(lm.ORDER + 1)]
+    trie = lm.Trie(levels, len(g))
+    want = []
+    for i, t, *_ in odd_texts():
+        b, _ = lm.stream(pa.array([t or ""]))
+        want.append((str(i), trie.log_probability(lm.grams(b)[b[lm.ORDER :] != lm.PAD]).sum()))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lm.score(odd, share_bits=share_bits).collect())
+    want.sort()
+    assert any(held(r[0]) for r in odd_texts()) and [i for i, _ in got] == [i for i, _ in want]
+    assert [v for _, v in got] == pytest.approx([v for _, v in want], rel=1e-9)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16))
