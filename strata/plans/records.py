@@ -122,6 +122,18 @@ def lookup_fallback(spark, sf_dir):
     return linking.first_holder(q, d, "item_id", "text", "doc_id", "text", anchor, shingles)
 
 
+@query(r"""WITH q AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + doc_id, text FROM documents),
+e AS (SELECT item_id, q.text, s FROM q LEFT JOIN (SELECT text, min(doc_id) AS s FROM documents GROUP BY text) d ON d.text = q.text),
+h AS (SELECT item_id, min(doc_id) AS h FROM e JOIN documents d ON contains(d.text, e.text) WHERE s IS NULL GROUP BY item_id)
+SELECT item_id, CASE WHEN s IS NOT NULL THEN 'equal' WHEN h IS NOT NULL THEN 'within' ELSE 'none' END AS how, coalesce(s, h) AS place FROM e LEFT JOIN h USING (item_id)""")
+def lookup_every(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    q = read(spark, sf_dir, "benchmark").select("item_id", "text").union(d.select(F.col("doc_id") + 100000, "text"))
+    shingles = T.shingles(F.col("text"), 3)
+    anchor = F.when(F.size(shingles) >= 3, shingles[1])
+    return linking.first_holder(q, d, "item_id", "text", "doc_id", "text", anchor, shingles)
+
+
 @query("""SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 48) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY l_returnflag""")
 def either_key(spark, sf_dir):
     parts = read(spark, sf_dir, "part").filter("p_size > 48").select("p_partkey")

@@ -107,3 +107,16 @@ def test_first_holder_has_two_ways(spark, monkeypatch):
     small = find()
     monkeypatch.setattr(linking, "MOST_QUOTES", 0)
     assert find() == small == {1: ("equal", 2), 2: ("within", 1), 3: ("none", None), 4: ("none", None), 5: ("none", None)}
+
+
+def test_every_document_is_looked_up(spark):
+    from oracle import SF
+
+    from strata.plans import catalogue
+
+    got = {r["item_id"]: (r["how"], r["place"]) for r in catalogue.queries()["lookup_every"](spark, SF).collect()}
+    docs = catalogue.read(spark, SF, "documents").select("doc_id", "text").collect()
+    first = {}
+    for r in sorted(docs, key=lambda r: r["doc_id"]):
+        first.setdefault(r["text"], r["doc_id"])
+    assert len(docs) > 50 and all(got[100000 + r["doc_id"]] == ("equal", first[r["text"]]) for r in docs if r["text"] is not None)
