@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,28 +77,45 @@ def closure(links: DataFrame, child: str, parent: str, most: int = 64) -> DataFr
     raise ValueError("links form a cycle")
 
 
-def first_holder(quotes: DataFrame, texts: DataFrame, key: str, quote: str, place: str, text: str, anchor: Column, in_text: Column) -> DataFrame:
+def first_holder(quotes: DataFrame, texts: DataFrame, key: str, quote: str, place: str, text: str, anchor: Column, in_text: Column, unanchored: bool = False) -> DataFrame:
     """(key, how, place): the smallest place whose text equals the quote, else the smallest that contains it.
 
     ``anchor`` is a value of the quote that occurs among the values ``in_text`` of every text that
     contains it, so that beyond the checked size of a broadcast containment is tested only for pairs that
-    share it. Quotes without an anchor are held by equal texts only; what no text holds is ``none``.
+    share it. Quotes without an anchor are held by equal texts only, or, with ``unanchored``, by containing
+    texts too, tested in broadcast blocks of bounded size; what no text holds is ``none``.
     """
     q = quotes.select(key, F.col(quote).alias("_q"), anchor.alias("_a"))
     t = texts.select(F.col(place).alias("_place"), F.col(text).alias("_t"), in_text.alias("_in"))
     same = q.join(t, F.col("_q") == F.col("_t")).groupBy(key).agg(F.min("_place").alias("_same"))
-    rest = q.join(same, key, "left_anti")
-    rest = rest.filter(F.col("_a").isNotNull())
+    left = q.join(same, key, "left_anti")
+    rest = left.filter(F.col("_a").isNotNull())
     size = rest.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
     if size["n"] <= MOST_QUOTES and size["b"] <= MOST_QUOTE_BYTES:
         pairs = t.join(F.broadcast(rest), F.contains("_t", F.col("_q")))
     else:
         pairs = rest.join(t.select("_place", "_t", F.explode(F.array_distinct("_in")).alias("_a")), "_a").filter(F.contains("_t", F.col("_q")))
     held = pairs.groupBy(key).agg(F.min("_place").alias("_held"))
+    if unanchored:
+        loose = left.filter(F.col("_a").isNull() & F.col("_q").isNotNull())
+        held = held.unionByName(_contained(loose.select(key, "_q"), t, key)).groupBy(key).agg(F.min("_held").alias("_held"))
     j = quotes.select(key).distinct().join(same, key, "left").join(held, key, "left")
     return j.select(key, F.when(F.col("_same").isNotNull(), "equal").when(F.col("_held").isNotNull(), "within").otherwise("none").alias("how"), F.coalesce("_same", "_held").alias("place"))
 
 
+def _contained(quotes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(key, _held): the smallest place whose text contains the quote, tested for distinct quotes block by block."""
+    q = quotes.select("_q").distinct()
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
+    blocks = max(1, -(-size["n"] // max(1, MOST_QUOTES)), -(-size["b"] // MOST_QUOTE_BYTES))
+    found = []
+    for b in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b)
+        pairs = texts.select("_place", "_t").join(F.broadcast(part), F.contains("_t", F.col("_q")))
+        found.append(pairs.groupBy("_q").agg(F.min("_place").alias("_held")))
+    return quotes.join(reduce(DataFrame.unionByName, found), "_q").select(key, "_held")
+
+
 def numbered(rows: DataFrame, known: DataFrame, key: str, group: str, order: str) -> DataFrame:
     """New rows numbered by their place among all rows of their group, so known ones leave gaps."""
     w = Window.partitionBy(group).orderBy(order)

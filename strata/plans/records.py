@@ -119,7 +119,7 @@ def lookup_fallback(spark, sf_dir):
     # The three words after the first one of a quote are whole words of any text that contains it.
     shingles = T.shingles(F.col("text"), 3)
     anchor = F.when(F.size(shingles) >= 3, shingles[1])
-    return linking.first_holder(q, d, "item_id", "text", "doc_id", "text", anchor, shingles)
+    return linking.first_holder(q, d, "item_id", "text", "doc_id", "text", anchor, shingles, unanchored=True)
 
 
 @query(r"""WITH q AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + doc_id, text FROM documents),
@@ -131,7 +131,7 @@ def lookup_every(spark, sf_dir):
     q = read(spark, sf_dir, "benchmark").select("item_id", "text").union(d.select(F.col("doc_id") + 100000, "text"))
     shingles = T.shingles(F.col("text"), 3)
     anchor = F.when(F.size(shingles) >= 3, shingles[1])
-    return linking.first_holder(q, d, "item_id", "text", "doc_id", "text", anchor, shingles)
+    return linking.first_holder(q, d, "item_id", "text", "doc_id", "text", anchor, shingles, unanchored=True)
 
 
 @query("""SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 48) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY l_returnflag""")

@@ -120,3 +120,14 @@ def test_every_document_is_looked_up(spark):
     for r in sorted(docs, key=lambda r: r["doc_id"]):
         first.setdefault(r["text"], r["doc_id"])
     assert len(docs) > 50 and all(got[100000 + r["doc_id"]] == ("equal", first[r["text"]]) for r in docs if r["text"] is not None)
+
+
+def test_quotes_without_an_anchor_are_found_within_texts(spark, monkeypatch):
+    texts = spark.createDataFrame([(3, "x a b y"), (1, "a b c d e f"), (2, "c d"), (4, None)], "p int, t string")
+    quotes = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "b y"), (4, "q"), (5, None), (6, "a b"), (7, "b c d e f")], "k int, q string")
+    runs = T.shingles(F.col("q"), 3)
+    find = lambda: {r["k"]: (r["how"], r["place"]) for r in linking.first_holder(quotes, texts, "k", "q", "p", "t", F.when(F.size(runs) >= 3, runs[1]), T.shingles(F.col("t"), 3), unanchored=True).collect()}
+    small = find()
+    monkeypatch.setattr(linking, "MOST_QUOTES", 2)
+    blocks = find()
+    assert small == blocks == {1: ("within", 1), 2: ("equal", 2), 3: ("within", 3), 4: ("none", None), 5: ("none", None), 6: ("within", 1), 7: ("within", 1)}
