@@ -85,10 +85,15 @@ def first_holder(quotes: DataFrame, texts: DataFrame, key: str, quote: str, plac
     share it. Quotes without an anchor are held by equal texts only, or, with ``unanchored``, by containing
     texts too, tested in broadcast blocks of bounded size; what no text holds is ``none``.
     """
+    digest = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256))
     q = quotes.select(key, F.col(quote).alias("_q"), anchor.alias("_a"))
     t = texts.select(F.col(place).alias("_place"), F.col(text).alias("_t"), in_text.alias("_in"))
-    same = q.join(t, F.col("_q") == F.col("_t")).groupBy(key).agg(F.min("_place").alias("_same"))
-    left = q.join(same, key, "left_anti")
+    # Texts meet by their digests, and each digest once, so that neither texts nor pairs of copies are shuffled.
+    places = t.groupBy(digest("_t").alias("_d")).agg(F.min("_place").alias("_same")).filter(F.col("_d").isNotNull())
+    same = q.select(key, digest("_q").alias("_d")).join(places, "_d").groupBy(key).agg(F.min("_same").alias("_same"))
+    left = q.withColumn("_d", digest("_q")).join(places, "_d", "left_anti").drop("_d")
+    cut = quotes.sparkSession.conf.get("spark.checkpoint.dir", None) or quotes.sparkSession.sparkContext.getCheckpointDir()
+    left = left.checkpoint() if cut else left.cache()
     rest = left.filter(F.col("_a").isNotNull())
     size = rest.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
     if size["n"] <= MOST_QUOTES and size["b"] <= MOST_QUOTE_BYTES:
