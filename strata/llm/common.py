@@ -62,6 +62,15 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a few numbers that a broadcast takes at most (some 20 MB in memory).
+MOST_BROADCAST = 400_000
+
+
+def small(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if its count allows; beyond, joins shuffle as they would."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def id_crc(col: str | Column, mod: int) -> Column:
     """crc32 of an id written as text, modulo ``mod``; a null id counts as the text 'null'."""
     c = F.col(col) if isinstance(col, str) else col
