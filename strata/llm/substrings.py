@@ -1,12 +1,19 @@
-"""Removal of long repeated word spans by a compacted, minimiser-sampled de Bruijn graph.
+"""Removal of long repeated word spans over a compacted, minimiser-sampled de Bruijn graph.
 
 Of every window of WINDOW words, the k-mer with the smallest hash is its anchor, so equal windows have
-equal anchors and only a few of all k-mers are looked at. Anchors are the graph's nodes, and neighbouring
-anchors of a document are its edges (token k-mers with the words between them). Anchors and edges that
-stand in one document only are dropped; what is left is compacted: nodes on repeated nonbranching paths
-join into one path by Spark joins, and a document's run along a path is stored once, as its first and
-last coordinate. Windows whose anchors lie on such runs are then verified by a 96-bit hash of all their
-words, with the smallest document that starts such a window, and the words they cover are removed.
+equal anchors and only a few of all k-mers are looked at. Anchors are the graph's nodes; an edge is the
+token sequence from one anchor of a document to the end of its next one. Edges that several documents have
+are repeated. Each repeated edge is kept once, with the coordinates of the first document that has it, and
+nonbranching edges that follow each other there are compacted, by joins with the nodes' degrees, to a path.
+A document's run along a path is its first and last coordinate; runs that lead through a branch along the
+same first document are one. What such a run covers also stands in a smaller document, as one span: these
+words go by their coordinates alone, without a row per window.
+
+What is left to decide are windows that hold an anchor of several documents but do not lie within such a
+run: those at a run's ends, and those of the first documents themselves. They are compared by a 96-bit hash
+of all their words. Any other window was decided by a smaller document, so the smallest document that has a
+window is always among those compared, and the result is that of comparing all windows. Edges meet by 128
+bits of hashes.
 """
 
 from __future__ import annotations
@@ -15,148 +22,218 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, ship, slices, window_hashes, word_hashes, written
-from .components import components
+from .common import _BASE, forget, mix, ship, slices, word_hashes, written
 
 WINDOW = 50
 #: Words of an anchor. A window holds WINDOW - ANCHOR + 1 of them.
-ANCHOR = 24
+ANCHOR = 16
 
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
-def anchors(h: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the k-mers that are the smallest (leftmost on ties) of some window."""
-    if len(h) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = window_hashes(h, k)
-    w = window - k + 1
-    # minima of all runs of w, from doubled runs
-    low, size = g, 1
-    while size * 2 <= w:
-        low = np.minimum(low[: len(low) - size], low[size:])
-        size *= 2
-    n = len(g) - w + 1
-    low = np.minimum(low[:n], low[w - size : w - size + n])
-    # a k-mer is an anchor if it equals the minimum of a window that covers it
-    hit = np.zeros(len(g), bool)
-    for d in range(w):
-        hit[d : d + n] |= g[d : d + n] == low
-    at = np.flatnonzero(hit)
-    return at, g[at]
 
+def _powers(lane: int, inverse: bool, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of a lane's base (odd, so it has an inverse modulo 2^64), kept for the next call."""
+    have = _POWERS.get((lane, inverse))
+    if have is None or len(have) < n:
+        base = int(_BASE[lane])
+        have = np.full(max(n, 1 << 16), np.uint64(pow(base, -1, 1 << 64) if inverse else base), np.uint64)
+        have[0] = 1
+        have = _POWERS[lane, inverse] = np.multiply.accumulate(have)
+    return have[:n]
 
-def anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc_id, n, at, anchor) of documents of at least ``window`` words; a row per anchor."""
 
-    def apply(batches):
-        for batch in slices(batches, 4 << 20):
-            (h,), bounds = word_hashes(batch.column(1), lower=False)
-            ids, places, hashes = [], [], []
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                at, g = anchors(h[bounds[i] : bounds[i + 1]], window, k)
-                if len(at):
-                    ids.append(np.full(len(at), doc, np.int64))
-                    places.append(at)
-                    hashes.append(g.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, places, hashes)], names=["doc_id", "at", "anchor"])
+class Words:
+    """Word hashes of many texts in a row, with prefix sums that give the hash of any span."""
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, at long, anchor long")
+    def __init__(self, h: np.ndarray, lane: int):
+        self.lane = lane
+        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(lane, False, len(h)))))
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of spans; equal spans have equal hashes wherever they stand."""
+        inverse = _powers(self.lane, True, len(self.prefix))
+        return mix((self.prefix[end] - self.prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
-def compacted(found: DataFrame) -> DataFrame:
-    """(anchor, path) of repeated anchors: anchors on one repeated nonbranching path have one path.
 
-    An edge leads from an anchor to the next one of the same document and is kept if it occurs in more
-    than one place. It is nonbranching when it is the only one out of its first and into its last node.
-    """
-    edges = found.select(F.col("anchor").alias("b"), "before").filter("before is not null").groupBy(F.col("before").alias("a"), "b").agg(F.count("*").alias("n")).filter("n > 1 and a <> b")
-    edges = written(edges.select("a", "b"), "edges")
-    single = edges.groupBy("a").agg(F.count("*").alias("o"), F.min("b").alias("b")).filter("o = 1")
-    into = edges.groupBy("b").agg(F.count("*").alias("i")).filter("i = 1").select("b")
-    paths = components(single.join(into, "b", "left_semi"), "a", "b")
-    forget(edges)
-    return paths.toDF("anchor", "path")
+def sliding(x: np.ndarray, w: int, best) -> np.ndarray:
+    """best (a numpy minimum or maximum) of all runs of w, from doubled runs."""
+    size, out = 1, x
+    while size * 2 <= w:
+        out = best(out[: len(out) - size], out[size:])
+        size *= 2
+    n = len(x) - w + 1
+    return best(out[:n], out[w - size : w - size + n])
+
+
+def anchors(h: Words, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the k-mers that are the smallest (all of them on ties) of some window within a text."""
+    n, w = int(bounds[-1]), window - k + 1
+    if n < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    place = np.arange(n - k + 1)
+    kmer = h.spans(place, place + k)
+    low = sliding(kmer, w, np.minimum)
+    change = np.zeros(n + 2, np.int64)
+    long = np.flatnonzero(np.diff(bounds) >= window)
+    np.add.at(change, bounds[long], 1)
+    np.add.at(change, bounds[long + 1] - window + 1, -1)
+    low[np.cumsum(change)[: len(low)] == 0] = 0  # windows over the border of two texts
+    none = np.zeros(w - 1, np.uint64)
+    # a k-mer is the smallest of a window that covers it if it equals the largest minimum of those windows
+    at = np.flatnonzero((kmer == sliding(np.concatenate((none, low, none)), w, np.maximum)) & (kmer > 0))
+    return np.searchsorted(bounds, at, "right") - 1, at, kmer[at]
 
 
-def runs(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, spans): the spans of window starts, as pairs of first and last place, that may be repeated.
+ANCHORS = "doc_id long, tkey int, i int, at int, anchor long, edge long"
 
-    A run is a stretch of neighbouring repeated anchors on one path, kept as its end coordinates only.
+
+def anchor_rows(base: DataFrame, window: int, k: int) -> DataFrame:
+    """A row per anchor of (doc_id, tkey, text): its number and place in the text, its hash and that of the edge to the next one."""
+
+    def apply(batches):
+        for batch in slices(batches, 4 << 20):
+            (h, g), bounds = word_hashes(batch.column(2), lower=False, lanes=2)
+            text, at, hashes = anchors(Words(h, 0), bounds, window, k)
+            if not len(at):
+                continue
+            first = np.searchsorted(text, text)
+            follows = np.r_[text[1:] == text[:-1], False]
+            edge = Words(g, 1).spans(at, np.where(follows, np.r_[at[1:], 0] + k, at))
+            where = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(where), batch.column(1).take(where), pa.array((np.arange(len(at)) - first).astype(np.int32)), pa.array((at - bounds[text]).astype(np.int32)),
+                 pa.array(hashes.view(np.int64)), pa.array(edge.view(np.int64), mask=~follows)], names=[c.split()[0] for c in ANCHORS.split(", ")])
+
+    return base.filter("doc_id is not null").mapInArrow(apply, ANCHORS)
+
+
+def compacted(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(anchor, edge, first, path, pos) of repeated edges, compacted to nonbranching paths, and the table it was made of.
+
+    places: doc_id, tkey, i, anchor, edge, to (the next anchor). ``first`` is the document (doc_id, tkey)
+    that an edge is kept by, the smallest that has it, and ``pos`` its number there. A path begins where
+    the edge before it in that document is not repeated, is kept by another document, or leads into a node
+    that has another repeated edge into or out of it; it is named by its first edge's number.
+    """
+    edges = places.groupBy("anchor", "edge").agg(F.min(F.struct("doc_id", "tkey", "i")).alias("x"), F.max("doc_id").alias("last"), F.first("to").alias("to"))
+    edges = written(edges.filter("x.doc_id <> last").select("anchor", "edge", "to", F.struct("x.doc_id", "x.tkey").alias("first"), F.col("x.i").alias("pos")), "edges")
+    out = edges.groupBy(F.col("anchor").alias("node")).count().filter("count = 1").select("node")
+    into = edges.groupBy(F.col("to").alias("node")).count().filter("count = 1").select("node")
+    plain = out.join(into, "node").select(F.col("node").alias("anchor"), F.lit(True).alias("plain"))
+    along = Window.partitionBy("first").orderBy("pos")
+    begins = ~(F.coalesce("plain", F.lit(False)) & (F.lag("pos").over(along) == F.col("pos") - 1))
+    marked = edges.join(plain, "anchor", "left").withColumn("_begin", F.when(F.coalesce(begins, F.lit(True)), F.col("pos")))
+    paths = marked.withColumn("path", F.max("_begin").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return written(paths.select("anchor", "edge", "first", "path", "pos"), "paths"), edges
+
+
+def decided(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """(doc_id, tkey, cuts, spans) of texts that share an anchor with another document.
+
+    cuts: begin and end of word spans that stand in a smaller document too, by the paths. spans: first and
+    last start of the windows that are left to compare.
     """
     rows = written(anchor_rows(docs, window, k), "anchors")
     repeated = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("anchor")
-    found = rows.join(repeated, "anchor", "left_semi")
-    # neighbours within a document: its anchors, in order, side by side in one row
-    lists = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "anchor"))).alias("x"))
+    lists = rows.join(repeated, "anchor").groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("i", "at", "anchor", "edge"))).alias("x"))
     lists = written(lists, "anchor-lists")
-    pair = lists.select("doc_id", F.posexplode("x").alias("i", "y"), "x").select(
-        "doc_id", "y.at", "y.anchor", F.when((F.col("i") > 0) & (F.col("y.at") - F.try_element_at("x", F.col("i"))["at"] <= window - k + 1), F.try_element_at("x", F.col("i"))["anchor"]).alias("before"))
-    paths = compacted(pair)
-    placed = pair.join(paths, "anchor", "left").select("doc_id", "at", F.coalesce("path", "anchor").alias("path"))
+    forget(rows)
+    after = F.try_element_at("x", F.col("p") + 2)
+    places = lists.select("doc_id", "tkey", "x", F.posexplode("x").alias("p", "y")).filter(after["i"] == F.col("y.i") + 1)
+    places = places.select("doc_id", "tkey", "y.i", "y.anchor", "y.edge", after["anchor"].alias("to"))
+    paths, edges = compacted(places)
+    runs = places.join(paths, ["anchor", "edge"]).filter("doc_id > first.doc_id")
+    runs = runs.groupBy("doc_id", "tkey", "first", "path", (F.col("i") - F.col("pos")).alias("shift")).agg(F.array_sort(F.collect_list("i")).alias("i"))
+    # along a path, a document's numbers keep their distance to the first document's; a run ends where they skip
+    pieces = F.filter(F.transform("i", lambda v, p: F.struct(v.alias("v"), p.alias("p"))), lambda y: (y["p"] == 0) | (F.try_element_at("i", y["p"]) != y["v"] - 1))
+    runs = runs.withColumn("s", pieces).withColumn("r", F.explode(F.transform("s", lambda y, q: F.struct(y["v"].alias("a"), (F.try_element_at("i", F.coalesce(F.try_element_at("s", q + 2)["p"], F.size("i")))).alias("b")))))
+    runs = written(runs.select("doc_id", "tkey", "first", "path", "shift", "r.a", "r.b"), "runs")
+    forget(paths, edges)
+    of_doc = runs.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first", "shift"))).alias("runs"))
     reach = window - k
 
-    def join_runs(pdf_batches):
-        for batch in pdf_batches:
-            ids, out = [], []
-            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+    def join_runs(batches):
+        for batch in batches:
+            cuts, spans = [], []
+            for x, found in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 v = x.values
-                at, path = v.field("at").to_numpy(), v.field("path").to_numpy()
-                order = np.argsort(at, kind="stable")
-                at, path = at[order], path[order]
-                # a run ends where the path changes or the anchors lie too far apart to share a window
-                cut = np.flatnonzero((path[1:] != path[:-1]) | (at[1:] - at[:-1] > reach + 1)) + 1
-                first, last = at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]]
-                lo, hi = np.maximum(first - reach, 0), last
-                # runs that touch are one span
-                top = np.maximum.accumulate(hi)
-                new = np.r_[True, lo[1:] > top[:-1] + 1]
-                begin = lo[new]
-                end = np.r_[top[np.flatnonzero(new)[1:] - 1], top[-1]]
-                ids.append(doc)
-                out.append(np.stack((begin, end), 1).ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "spans"])
-
-    spans = placed.groupBy("doc_id").agg(F.collect_list(F.struct("at", "path")).alias("x")).mapInArrow(join_runs, "doc_id long, spans array<long>")
-    spans = written(spans, "spans")
-    forget(rows, lists)
-    return spans
-
-
-def windows(marked: DataFrame, id_at: int, text_at: int, window: int) -> DataFrame:
-    """(h0, x, doc_id): a row per window that starts within a row's spans, the last column of ``marked``.
-
-    h0 and the upper half of x are 96 bits of the window's hash; the lower half of x is where it starts.
+                i, at = v.field("i").to_numpy(), v.field("at").to_numpy().astype(np.int64)
+                whole: list[list] = []
+                for r in found or []:  # through a branch, a run goes on along the same document
+                    if whole and whole[-1][1] + 1 == r["a"] and whole[-1][2:] == [r["first"], r["shift"]]:
+                        whole[-1][1] = r["b"]
+                    else:
+                        whole.append([r["a"], r["b"], r["first"], r["shift"]])
+                begin = at[np.searchsorted(i, [r[0] for r in whole])] if whole else at[:0]
+                end = at[np.searchsorted(i, [r[1] + 1 for r in whole])] + k if whole else at[:0]
+                fit = end - begin >= window
+                begin, end = begin[fit], end[fit]
+                cuts.append(np.stack((begin, end), 1).ravel())
+                # starts of windows that hold a shared anchor, less those of windows within a cut
+                size = int(at[-1]) + 2
+                change = np.zeros(size + 1, np.int64)
+                np.add.at(change, np.maximum(at - reach, 0), 1)
+                np.add.at(change, at + 1, -1)
+                gone = np.zeros(size + 1, np.int64)
+                np.add.at(gone, np.minimum(begin, size), 1)
+                np.add.at(gone, np.minimum(end - window + 1, size), -1)
+                left = np.r_[False, (np.cumsum(change)[:-1] > 0) & (np.cumsum(gone)[:-1] == 0), False]
+                edge = np.flatnonzero(left[1:] != left[:-1])
+                edge[1::2] -= 1
+                spans.append(edge)
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind), pa.array(spans, kind)], names=["doc_id", "tkey", "cuts", "spans"])
+
+    out = written(lists.join(of_doc, ["doc_id", "tkey"], "left").mapInArrow(join_runs, "doc_id long, tkey int, cuts array<long>, spans array<long>"), "spans")
+    forget(lists, runs)
+    return out
+
+
+def windows(marked: DataFrame, at: tuple[int, int, int, int], window: int) -> DataFrame:
+    """(h0, x, doc_id, tkey): a row per window of ``marked`` that starts within a row's spans.
+
+    at: places of doc_id, tkey, text and spans. h0 and the upper half of x are 96 bits of the window's
+    hash; the lower half of x is where it starts.
     """
     low = np.int64(0xFFFFFFFF)
+    names = ["doc_id", "tkey", "text", "spans"]
 
     def apply(batches):
         for whole in batches:
-            whole = whole.filter(whole.column(whole.num_columns - 1).is_valid())
-            kept = pa.RecordBatch.from_arrays([whole.column(id_at), whole.column(text_at), whole.column(whole.num_columns - 1)], names=["doc_id", "text", "spans"])
-            for batch in slices([kept], 2 << 20):
-                (h, g), bounds = word_hashes(batch.column(1), lower=False, lanes=2)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for i, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    a, b = h[bounds[i] : bounds[i + 1]], g[bounds[i] : bounds[i + 1]]
-                    for s, e in zip(spans[::2], spans[1::2], strict=True):
-                        x = window_hashes(a[s : e + window], window).view(np.int64)
-                        y = window_hashes(b[s : e + window], window, lane=1).view(np.int64)
-                        for o, v in zip(out, (x, (y & ~low) | np.arange(s, s + len(x)), np.full(len(x), doc, np.int64)), strict=True):
-                            o.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["h0", "x", "doc_id"])
-
-    return marked.mapInArrow(apply, "h0 long, x long, doc_id long")
-
-
-def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of ``starts``."""
+            some = whole.filter(whole.column(at[3]).is_valid())
+            kept = pa.RecordBatch.from_arrays([some.column(c) for c in at], names=names)
+            for batch in slices([kept], 4 << 20):
+                (h, g), bounds = word_hashes(batch.column(2), lower=False, lanes=2)
+                spans = batch.column(3)
+                pairs = spans.flatten().to_numpy().reshape(-1, 2)
+                row = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()) // 2)
+                # a start too near to the end of its text has no window
+                first, last = pairs[:, 0], np.minimum(pairs[:, 1], np.diff(bounds)[row] - window)
+                n = np.maximum(last - first + 1, 0)
+                start = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                row = np.repeat(row, n)
+                if not len(start):
+                    continue
+                s = start + bounds[row]
+                x = Words(h, 0).spans(s, s + window).view(np.int64)
+                y = Words(g, 1).spans(s, s + window).view(np.int64)
+                where = pa.array(row)
+                out = [pa.array(x), pa.array((y & ~low) | start), batch.column(0).take(where), batch.column(1).take(where)]
+                yield from pa.Table.from_arrays(out, names=["h0", "x", "doc_id", "tkey"]).to_batches(max_chunksize=200_000)
+
+    return marked.mapInArrow(apply, "h0 long, x long, doc_id long, tkey int")
+
+
+def covered(starts: np.ndarray, cuts: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n words lie in a window that starts at one of ``starts`` or within a cut."""
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(starts + window, n), -1)
+    np.add.at(change, cuts[::2], 1)
+    np.add.at(change, cuts[1::2], -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -165,45 +242,68 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller
     doc_id; all windows are judged on the input. Kept words are joined by one space; where nothing is
-    removed, kept_text is the text itself. Null and empty texts have no words. Rows with a null doc_id
-    are kept as they are; rows that repeat a doc_id are one document, each row judged alike. Columns of
-    docs named like those added are replaced. An empty table gives an empty one.
+    removed, kept_text is the text itself. Null and empty texts have no words; very long ones are taken
+    whole. Rows with a null doc_id are kept as they are and judge no other row. Rows that repeat a doc_id
+    are judged each by its own text, and not against one another. Columns of docs named like those added
+    are replaced. An empty table gives an empty one.
     """
     ship(docs.sparkSession)
     added = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    docs = docs.drop(*added)
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = runs(base, window, k)
-    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
-    # both joins below take all columns of docs, so that texts are shuffled once for both
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).hint("shuffle_hash")
-    seen = windows(docs.join(spans, docs["doc_id"] == spans["_id"], "left"), id_at, text_at, window)
-    least = seen.groupBy(F.col("h0").alias("k0"), F.shiftright("x", 32).alias("k1")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
-    starts = seen.join(least, F.expr("h0 = k0 and shiftright(x, 32) = k1 and doc_id > lo")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("_starts"))
+    docs = docs.drop(*added).withColumn("_tkey", (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - 2**31).cast("int"))
+    found = decided(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_tkey").alias("tkey"), "text"), window, k)
+    at = tuple(docs.columns.index(c) for c in ("doc_id", "_tkey", "text"))
+    plan = found.toDF("_id", "_key", "_cuts", "_spans").hint("shuffle_hash")
+    # both uses of the joined texts below are the same plan up to here, so texts are shuffled once
+    on = (docs["doc_id"] == plan["_id"]) & (docs["_tkey"] == plan["_key"])
+    marked = docs.join(plan, on, "left").drop("_id", "_key")
+    seen = windows(marked, (*at, len(docs.columns) + 1), window)
+    upper = F.shiftright("x", 32)
+    least = seen.groupBy(F.col("h0").alias("k0"), upper.alias("k1")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
+    starts = seen.join(least, (F.col("h0") == F.col("k0")) & (upper == F.col("k1")) & (F.col("doc_id") > F.col("lo")))
+    starts = starts.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).agg(F.collect_set(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("_starts"))
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = [c for c in docs.columns if c != "_tkey"]
 
     def apply(batches):
         for batch in slices(batches, 8 << 20):
             out: list[list] = [[], [], [], []]
-            for text, s in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                words = raw.split()  # bytes split at ASCII white space only
+            texts, s, c = (batch.column(batch.schema.get_field_index(x)) for x in ("text", "_starts", "_cuts"))
+            for text, start, cut in zip(texts.to_pylist(), s, c, strict=True):
+                words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space only
                 n, gone = len(words), 0
-                if s.is_valid and n:
-                    at = s.values.to_numpy()
-                    drop = covered(at[at < n], n, window)
+                begin = start.values.to_numpy() if start.is_valid else np.zeros(0, np.int64)
+                ends = cut.values.to_numpy() if cut.is_valid else np.zeros(0, np.int64)
+                if len(begin) or len(ends):
+                    drop = covered(begin, ends, n, window)
                     gone = int(drop.sum())
                     if gone:
                         words = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
                 joined = b" ".join(words)
                 for o, v in zip(out, (n, gone, hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if gone else text), strict=True):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(o, t) for o, t in zip(out, types, strict=True)]], names=[*batch.schema.names[:-1], *added])
+            kept = [batch.column(batch.schema.get_field_index(x)) for x in names]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(o, t) for o, t in zip(out, types, strict=True)]], names=[*names, *added])
 
-    schema = docs.select("*", F.lit(None).cast("long").alias(added[0]), F.lit(None).cast("long").alias(added[1]), F.lit(None).cast("string").alias(added[2]), F.lit(None).cast("string").alias(added[3])).schema
-    joined = docs.join(starts.hint("shuffle_hash"), docs["doc_id"] == starts["_id"], "left").select(*docs.columns, "_starts")
-    return joined.mapInArrow(apply, schema)
+    schema = docs.select(*names, F.lit(None).cast("long").alias(added[0]), F.lit(None).cast("long").alias(added[1]), F.lit(None).cast("string").alias(added[2]), F.lit(None).cast("string").alias(added[3])).schema
+    starts = starts.hint("shuffle_hash")
+    joined = marked.join(starts, (marked["doc_id"] == starts["_id"]) & (marked["_tkey"] == starts["_key"]), "left").select(*names, "_cuts", "_starts")
+    out = joined.mapInArrow(apply, schema)
+    out._strata_parts = [found]
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: All windows of all documents, compared word for word.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT s, min(doc_id) AS lo FROM x GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM x JOIN f USING (s) WHERE doc_id > lo),
+d AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM g GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda v, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN d ON d.doc_id = w.doc_id
+"""
