@@ -22,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, a directory set on the context, or a local one.
+
+    The last is for tests: a session that is not local must name a folder.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = getattr(spark.sparkContext, "_strata_dir", None)
         if not where:
             where = spark.sparkContext._strata_dir = "file://" + tempfile.mkdtemp(prefix="strata-shared-")
@@ -52,6 +57,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``written``, after which the tables that an operator's result was read from are deleted."""
+    out = written(df, label)
+    forget(*getattr(df, "_strata_parts", []))
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that no later plan reads."""
     for df in tables:

@@ -97,7 +97,7 @@ def document_sets(batch_text: pa.Array, shingle: int = SHINGLE) -> list[np.ndarr
     return out
 
 
-SETS = "doc_id long, n_shingles long, sig binary, bands array<long>, sketch array<long>"
+SETS = "doc_id long, text_key long, n_shingles long, sig binary, bands array<long>, sketch array<long>"
 
 
 def summaries(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -109,15 +109,15 @@ def summaries(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def apply(batches):
         for batch in slices(batches, 4 << 20):
-            sets = document_sets(batch.column(1), shingle)
+            sets = document_sets(batch.column(2), shingle)
             sizes = np.array([len(x) for x in sets], np.int64)
             some = sizes > 0
             samples = signatures([x for x in sets if len(x)])
             sigs = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            arrays = [batch.column(0), pa.array(sizes), pa.array(sigs, pa.binary()), lists(some, band_keys(samples)), lists(some, odd_sketches(samples))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "sig", "bands", "sketch"])
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes), pa.array(sigs, pa.binary()), lists(some, band_keys(samples)), lists(some, odd_sketches(samples))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "n_shingles", "sig", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(apply, SETS)
 
 
 def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -256,21 +256,21 @@ def _parts(members: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept and text_key (xxhash64 of the text).
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id reachable by links, itself included, and kept marks that document. Texts that are
     null, empty or white space have no shingles and link with nothing; very long texts are taken whole.
-    Rows that repeat a doc_id are one document with several sets, which are linked with one another. Rows
-    with a null doc_id have no component and are kept. Other columns are ignored; an empty table gives an
-    empty one.
+    Rows that repeat a doc_id are judged each by its own text: of those in one component, the rows of the
+    smallest text_key are kept. Rows with a null doc_id have no component and are kept. Other columns are
+    ignored; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     base = written(summaries(docs, shingle), "minhash")
     usable = F.col("sig").isNotNull() & F.col("doc_id").isNotNull()
-    classes = written(base.filter(usable).groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = written(base.filter(usable).groupBy("sig").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     # a doc_id may stand for several sets, so classes have numbers of their own
-    classes = classes.withColumn("doc_id", F.col("id")).withColumn("id", F.xxhash64("sig"))
+    classes = classes.withColumn("doc_id", F.col("m.doc_id")).withColumn("id", F.xxhash64("sig"))
     banded = classes.select("id", "doc_id", "n_shingles", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min(F.struct("doc_id", "id")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("key", "n", F.col("m.id").alias("least"))
     member = written(banded.drop("doc_id").join(buckets, "key"), "buckets")
@@ -310,23 +310,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     second = components(more)
     forget(rest, more)
 
-    named = classes.select("sig", "id", "doc_id").join(first, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    named = named.join(second.toDF("c", "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
-    # rows that repeat a doc_id are one document
-    found = base.filter(usable).select("doc_id", "sig").distinct()
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    twice = found.join(again, "doc_id").join(named.select("sig", "c"), "sig").select("doc_id", "c")
-    joined = components(twice.join(twice.groupBy("doc_id").agg(F.min("c").alias("d")), "doc_id").select(F.col("c").alias("a"), F.col("d").alias("b")))
-    named = named.join(joined.toDF("c", "component"), "c", "left").withColumn("c", F.coalesce("component", "c")).select("sig", "doc_id", "c")
-    least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    named = named.join(least, "c", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = base.filter(usable).select("doc_id", "n_shingles", "sig").join(named, "sig").drop("sig")
-    alone = base.filter(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = classes.select("sig", "id", "m").join(first, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    named = named.join(second.toDF("c", "component"), "c", "left").withColumn("c", F.coalesce("component", "c"))
+    least = named.groupBy("c").agg(F.min("m").alias("l"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    named = named.join(least, "c", "left").select("sig", F.coalesce("l", "m").alias("l"))
+    out = base.filter(usable).join(named, "sig").select("doc_id", "n_shingles", F.col("l.doc_id").alias("component_id"), (F.struct("doc_id", "text_key") == F.col("l")).alias("kept"), "text_key")
+    alone = base.filter(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_key")
+    out = out.unionByName(alone)
+    out._strata_parts = [base, classes, first, second]
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs, percent=85)
+    return near_duplicates(docs, percent=85).drop("text_key")
 
 
 #: Links between all documents that share a shingle, and what can be reached by them.

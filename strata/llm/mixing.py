@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, small, written
 
 _DRAW = float(2**52)
 
@@ -53,7 +53,8 @@ def _planned(docs: DataFrame, seed: str, key: str, **how) -> DataFrame:
     """docs with _mx_size, _mx_all, _mx_target and _mx_copies."""
     sized = docs.withColumn("_mx_size", word_count(F.col("text")))
     sums = sized.groupBy("source").agg(F.sum("_mx_size").alias("source_size"))
-    targets = source_targets(sums, **how).toDF("_mx_source", "_mx_all", "_mx_target")
+    # a row per source; broadcast behind a check of their number, so that texts need not be dealt by a few hot sources
+    targets = small(written(source_targets(sums, **how).toDF("_mx_source", "_mx_all", "_mx_target"), "targets"))
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["_mx_source"]), "left").drop("_mx_source")
     rate = F.when(F.col("_mx_all") > 0, F.col("_mx_target") / F.col("_mx_all")).otherwise(F.lit(0.0))
     more = F.when(draw(F.col(key), seed) < rate - F.floor(rate), 1).otherwise(0)

@@ -9,6 +9,7 @@ the longest piece left, and takes it out. Only lengths and coordinates are shuff
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -76,7 +77,7 @@ class WordIds:
                 young[w] = old[w]
             else:
                 m = _LETTERS_MARKS.fullmatch(w)
-                split[w] = (m[1], m[2]) if m and m[1].decode().isalpha() else (w,)
+                split[w] = (m[1], m[2]) if m and _ends_in_letter(m[1].decode()) else (w,)
         self.encode(list({x for t in split.values() for x in t if x not in parts}))
         for w, t in split.items():
             young[w] = b"".join([parts[x] for x in t])
@@ -104,6 +105,11 @@ class WordIds:
 _LETTERS_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
 
 
+def _ends_in_letter(stem: str) -> bool:
+    """Whether a stem of letters ends in one as the tokenizer sees it; a mark would join the punctuation that follows."""
+    return stem.isalpha() and unicodedata.normalize("NFC", stem.lower())[-1].isalpha()
+
+
 def tokenizer(path: str) -> WordIds:
     if path not in _TOKENIZERS:
         import os
@@ -119,27 +125,34 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+PIECES = "uid long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids.
+    """Pieces of every document: uid, doc_id, piece, start, length, ids_crc32 and, if asked for, the ids.
 
     A document is its text's ids and then ``end``. Null and empty texts are the end id alone. Only
-    documents longer than the capacity are cut, at its multiples. Rows repeating a doc_id are cut alike.
+    documents longer than the capacity are cut, at its multiples; very long texts are taken whole. Rows
+    repeating a doc_id are cut alike. uid tells the pieces of one table apart, once it is written. Other
+    columns are ignored; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     schema = PIECES + (", ids binary" if ids else "")
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches):
+        from pyspark import TaskContext
+
         words = tokenizer(vocabulary or default_vocabulary())
+        uid = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2 << 20):
             out: dict[str, list] = defaultdict(list)
             for doc, body in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist()), strict=True):
                 body += tail
                 for piece, at in enumerate(range(0, len(body), capacity * 4)):
                     part = body[at : at + capacity * 4]
+                    out["uid"].append(uid)
+                    uid += 1
                     out["doc_id"].append(doc)
                     out["piece"].append(piece)
                     out["start"].append(at // 4)
@@ -147,7 +160,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     out["ids_crc32"].append(zlib.crc32(part))
                     if ids:
                         out["ids"].append(part)
-            fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * ids
+            fields = [("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * ids
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in fields], names=[k for k, _ in fields])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
@@ -222,8 +235,8 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id (group * 2^32 + sequence within it) and offset.
 
-    parts has doc_id, piece and length from 1 to the capacity. Rows that repeat are packed one by one.
-    An empty table gives an empty one.
+    parts has uid, doc_id, piece and length from 1 to the capacity. Rows that repeat, and those without a
+    doc_id, are packed one by one. An empty table gives an empty one.
     """
     ship(parts.sparkSession)
     groups = max(1, -(-parts.count() // GROUP))
@@ -237,13 +250,21 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pdf.assign(sequence_id=seq, offset=np.concatenate((np.zeros(full, np.int64), offsets)))
 
     schema = parts.withColumn("_group", F.lit(0).cast("long")).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-    key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(groups))
+    key = F.pmod(F.xxhash64("uid"), F.lit(groups))
     return parts.withColumn("_group", key).groupBy("_group").applyInPandas(group, schema).drop("_group")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Tokenises, cuts and packs documents; the pieces are written once, so nothing is tokenised twice."""
-    return pack(written(pieces(docs, vocabulary, capacity, end), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
+    """Tokenises, cuts and packs documents; the pieces are written once, so nothing is tokenised twice.
+
+    With ``ids``, each piece comes with its ids (little-endian unsigned 32-bit); only coordinates are packed,
+    and the ids join them at the end. Nulls, repeats, long texts and empty tables are those of ``pieces``.
+    """
+    parts = written(pieces(docs, vocabulary, capacity, end, ids), "pieces")
+    placed = pack(parts.drop("ids"), capacity)
+    out = (placed.join(parts.select("uid", "ids"), "uid") if ids else placed).drop("uid")
+    out._strata_parts = [parts]
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:

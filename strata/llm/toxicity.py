@@ -1,7 +1,7 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
 A logistic model over the words that occur in a text is fitted on a bounded sample of labelled rows.
-For every training text that names a group, the identity term is swapped for another one, and the
+For every training text that names a group, the identity term is swapped for other ones, and the mean
 squared change of the logit is penalised, so that a mention of a group alone does not move the score.
 Fitting happens on the driver over at most ``MOST_TRAINING`` rows; scoring runs over whole texts.
 """
@@ -66,20 +66,24 @@ class Model:
         return self.bias + sum(w[x] for x in sorted(found))
 
 
-def swapped(words: set[str], identity: tuple[str, ...] = IDENTITY) -> set[str] | None:
-    """The words after every identity term is replaced by the next one of the list; None without such a term."""
+#: How far along the list of identity terms the partners of a swap stand; the fit takes the mean over them.
+SWAPS = (1, 5, 11)
+
+
+def swapped(words: set[str], identity: tuple[str, ...] = IDENTITY, step: int = 1) -> set[str] | None:
+    """The words after every identity term is replaced by the one ``step`` further on the list; None without such a term."""
     place = {w: i for i, w in enumerate(identity)}
     found = {w for w in words if w in place}
     if not found:
         return None
-    return (words - found) | {identity[(place[w] + 1) % len(identity)] for w in found}
+    return (words - found) | {identity[(place[w] + step) % len(identity)] for w in found}
 
 
-def solve(names: list[str], rows: list[tuple[list[int], int, list[int] | None]], ridge: float = 1.0, fairness: float = 5.0, rounds: int = 25) -> Model:
+def solve(names: list[str], rows: list[tuple[list[int], int, list[list[int]] | None]], ridge: float = 1.0, fairness: float = 5.0, rounds: int = 25) -> Model:
     """Newton's method on the log loss, an L2 term and the squared logit change under swapped identities.
 
-    rows: features as places in names, label, and the features after the swap (None without a group
-    mention). Without rows of both labels the model is a constant.
+    rows: features as places in names, label, and the features after each swap (None without a group
+    mention); a row's penalty is the mean over its swaps. Without rows of both labels the model is a constant.
     """
     n, pos = len(rows), sum(y for _, y, _ in rows)
     if not 0 < pos < n:
@@ -96,7 +100,8 @@ def solve(names: list[str], rows: list[tuple[list[int], int, list[int] | None]],
     x, y = matrix([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     fixed = ridge * np.eye(m)
     fixed[-1, -1] = 0
-    pairs = [(r[0], r[2]) for r in rows if r[2] is not None]
+    pairs = [(r[0], other) for r in rows for other in r[2] or []]
+    fairness /= max((len(r[2]) for r in rows if r[2]), default=1)
     for s in range(0, len(pairs), 1000):
         change = matrix([a for a, _ in pairs[s : s + 1000]]) - matrix([b for _, b in pairs[s : s + 1000]])
         fixed += 2 * fairness * (change.T @ change)
@@ -118,12 +123,14 @@ def solve(names: list[str], rows: list[tuple[list[int], int, list[int] | None]],
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """(id, y, text): labelled rows out of the held-out fold, the MOST_TRAINING smallest by a hash of the id.
 
-    Null ids, labels or texts teach nothing. Conflicting labels of one id are both used.
+    Null ids, labels or texts teach nothing. Conflicting labels of one id are both used. Where rows of the
+    documents repeat an id, the one whose text has the smallest digest teaches.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_crc("doc_id", folds) != 0)).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "y").limit(MOST_TRAINING)  # a bounded table
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text")
-    return texts.join(F.broadcast(known), "id").select("id", "y", "text")
+    found = texts.join(F.broadcast(known.distinct()), "id")
+    return found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[str, ...] = IDENTITY, **how) -> Model:
@@ -151,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[st
     best = [r["feature"] for r in ranked.filter("g >= 3.5").orderBy(F.desc("g"), "feature").limit(MOST_WORDS).collect()]
     best = best or [r["feature"] for r in ranked.orderBy(F.desc("g"), "feature").limit(50).collect()]
     groups = [r["feature"] for r in counts.filter(F.col("feature").isin(list(identity))).collect()]
-    names = sorted({*best, *groups, *(swapped({g}, identity).pop() for g in groups)})
+    names = sorted({*best, *groups, *(swapped({g}, identity, step).pop() for g in groups for step in SWAPS)})
     column = {f: j for j, f in enumerate(names)}
 
     def index(batches):
@@ -159,24 +166,25 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[st
             xs, zs = [], []
             for t in batch.column(2).to_pylist():
                 words = words_of(t)
-                other = swapped(words, identity)
+                others = [swapped(words, identity, step) for step in SWAPS]
                 xs.append(sorted(column[f] for f in features(words) if f in column))
-                zs.append(None if other is None else sorted(column[f] for f in features(other) if f in column))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(xs, pa.list_(pa.int32())), pa.array(zs, pa.list_(pa.int32()))], names=["id", "y", "x", "z"])
+                zs.append(None if others[0] is None else [sorted(column[f] for f in features(x) if f in column) for x in others])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(xs, pa.list_(pa.int32())), pa.array(zs, pa.list_(pa.list_(pa.int32())))], names=["id", "y", "x", "z"])
 
-    table = rows.select(F.col("id").cast("long"), "y", "text").mapInArrow(index, "id long, y int, x array<int>, z array<int>").toArrow().to_pylist()
+    table = rows.select(F.col("id").cast("long"), "y", "text").mapInArrow(index, "id long, y int, x array<int>, z array<array<int>>").toArrow().to_pylist()
     table.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     forget(rows)
     return solve(names, [(r["x"], r["y"], r["z"]) for r in table], **how)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score and predicted. Null and empty texts get the score of no words.
+def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with score and predicted. Null and empty texts get the score of no words; very long ones are read whole.
 
-    Only the text is read by the model. Columns named score or predicted are replaced.
+    Only the text is read by the model. Columns of docs named like the two that are added are replaced; rows
+    that repeat are scored alike; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
-    base = docs.drop("score", "predicted")
+    base = docs.drop(score, predicted)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WORDS weights and the identity terms at most
     place = base.columns.index(text)
 
@@ -185,9 +193,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in slices(batches, 8 << 20, text):
             logits = np.array([m.logit(words_of(t)) for t in batch.column(place).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, score, predicted])
 
-    schema = base.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
+    schema = base.withColumn(score, F.lit(0.0)).withColumn(predicted, F.lit(0)).schema
     for f in schema.fields:
         f.nullable = True
     return base.mapInArrow(apply, schema)
