@@ -24,8 +24,10 @@ BASES = (911382323, 972663749)
 #: Code points of a sketched span; spans kept in a sketch.
 SPAN = 12
 SKETCH = 64
-#: Bytes of text that one bucket of neighbouring documents holds, on average.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text that one bucket of neighbouring documents holds, on average, and buckets at most.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 100_000
+#: Rows looked at for each border between buckets.
+SAMPLED = 20
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _INVERSE: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -139,32 +141,59 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """doc_id, text, _bucket and _ghost: buckets of documents next to each other in descending order of doc_id.
+def cuts_of(ids: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Borders (id, hash) of n buckets of about equal size, from about SAMPLED rows a bucket, taken by hash."""
+    rows = ids.count()
+    share = min(1.0, SAMPLED * n / max(rows, 1))
+    some = ids.filter(F.pmod(F.xxhash64("_id", "_h"), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).toArrow()
+    i, h = some["_id"].to_numpy(), some["_h"].to_numpy()
+    order = np.lexsort((h, i))
+    at = order[np.linspace(0, len(order), n + 1).astype(int)[1:-1]] if len(order) >= n else order
+    return i[at], h[at]
 
-    A bucket also gets, as a ghost, the first row of the bucket after it (the last one: of the first).
-    Bucket borders are approximate quantiles, at most a few per BUCKET_BYTES of text, so no task holds
-    the whole order. Null ids count as smaller than any; equal ids follow each other in text order.
+
+def bucket_of(i: np.ndarray, h: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the borders are at or below each (id, hash), by binary search."""
+    out, stop = np.searchsorted(cuts[0], i, "left"), np.searchsorted(cuts[0], i, "right")
+    for x in np.unique(i[out < stop]):  # ids on a border: their hashes decide
+        mine = i == x
+        lo, hi = np.searchsorted(cuts[0], x, "left"), np.searchsorted(cuts[0], x, "right")
+        out[mine] = lo + np.searchsorted(cuts[1][lo:hi], h[mine], "right")
+    return out
+
+
+def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text, _id, _h, _bucket, _ghost) and the number of buckets: documents next to each other in order.
+
+    The order is that of descending _id (the doc_id; nulls count as smaller than any) and of _h, a hash of
+    the text. A bucket holds about BUCKET_BYTES of text, or more where that would make more than
+    MOST_BUCKETS. As a ghost, it also gets the row that follows its last one, the first row of the bucket
+    after it (the last one: of the first). So a bucket is a task of its own, and what the driver and a
+    broadcast hold is bounded by MOST_BUCKETS, whatever the data.
     """
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    total = d.select(F.sum(F.octet_length("text")).alias("b")).collect()[0]["b"] or 0
-    n = int(total // BUCKET_BYTES) + 1
-    cuts = sorted({int(x) for x in d.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (20 * n))}) if n > 1 else []
     spark = docs.sparkSession
-    bucket = F.lit(0)
-    if cuts:  # number of borders at or below the id, by binary search in a literal array
-        places = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(places, lambda c: c <= F.col("doc_id"))))
-    d = d.withColumn("_bucket", bucket.cast("int"))
-    heads = d.groupBy("_bucket").agg(F.max("doc_id").alias("m")).orderBy(F.desc("_bucket")).collect()  # a row per bucket
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("doc_id", "text", key.alias("_id"), F.xxhash64("text").alias("_h"))
+    total = d.select(F.sum(F.octet_length("text")).alias("b")).collect()[0]["b"] or 0
+    n = min(MOST_BUCKETS, int(total // BUCKET_BYTES) + 1)
+    shared = spark.sparkContext.broadcast(cuts_of(d.select("_id", "_h"), n) if n > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+    def deal(batches):
+        for batch in batches:
+            i, h = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("_id", "_h"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket_of(i, h, shared.value).astype(np.int32))], names=[*batch.schema.names, "_bucket"])
+
+    heads = d.select("_id", "_h").mapInArrow(deal, "_id long, _h long, _bucket int")
+    heads = heads.groupBy("_bucket").agg(F.min(F.struct((-F.col("_id") - 1).alias("down"), "_h")).alias("x")).orderBy(F.desc("_bucket")).collect()  # a row per bucket
+    d = d.mapInArrow(deal, "doc_id long, text string, _id long, _h long, _bucket int")
     if not heads:
-        return d.withColumn("_ghost", F.lit(False))
-    rows = [(heads[i]["m"], heads[i - 1]["_bucket"]) for i in range(len(heads))]
-    ghost = spark.createDataFrame(rows, "g_id long, g_bucket int")
-    first = d.join(F.broadcast(ghost), F.col("doc_id").eqNullSafe(F.col("g_id")))  # as many rows as buckets
-    first = first.groupBy("g_bucket").agg(F.min(F.struct("text", "doc_id")).alias("x"))
-    first = first.select("x.doc_id", "x.text", F.col("g_bucket").alias("_bucket"), F.lit(True).alias("_ghost"))
-    return d.withColumn("_ghost", F.lit(False)).unionByName(first)
+        return d.withColumn("_ghost", F.lit(False)), 1
+    rows = [(-r["x"]["down"] - 1, r["x"]["_h"], heads[k - 1]["_bucket"]) for k, r in enumerate(heads)]
+    ghosts = F.broadcast(spark.createDataFrame(rows, "_id long, _h long, _to int"))
+    first = d.drop("_bucket").join(ghosts, ["_id", "_h"]).groupBy("_to").agg(F.min(F.struct("text", "doc_id", "_id", "_h")).alias("x"))
+    first = first.select("x.doc_id", "x.text", "x._id", "x._h", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost"))
+    return d.withColumn("_ghost", F.lit(False)).unionByName(first), len(heads) if len(heads) == n else n
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -172,13 +201,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts are empty. The next document is the one after it in descending order of doc_id; after
     the last comes the first, so a single document follows itself. Rows that repeat a doc_id follow
-    each other in text order. An empty table gives an empty one; other columns are ignored.
+    each other in the order of a hash of their texts. Very long texts are taken whole. An empty table gives
+    an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    near = neighbours(docs)
-    buckets = near.select("_bucket").distinct().count() or 1
-    dealt = near.repartition(max(buckets, 1), "_bucket").sortWithinPartitions(F.desc("_bucket"), "_ghost", F.desc_nulls_last("doc_id"), "text")
+    near, n = neighbours(docs)
+    dealt = near.repartitionById(n, "_bucket").sortWithinPartitions(F.desc("_bucket"), "_ghost", F.desc("_id"), "_h", "text").select("doc_id", "text", "_bucket", "_ghost")
 
     def apply(batches):
         before = None  # (doc_id, text, bucket, prefix, fingerprint, sketch) of a row that waits for its next one

@@ -301,14 +301,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     mixed = mixed.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key")  # of buckets with equal members, one
     rest = written(rest.join(mixed, "key"), "rest")
     forget(member, parts, links)
-    nb = _parts(rest, "key")
-    m = rest.join(nb, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    nb = written(_parts(rest, "key"), "parts")
+    m = rest.join(small(nb), "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     side = F.when(F.col("mine") == F.col("other"), BOTH).when(F.col("mine") < F.col("other"), LEFT).otherwise(RIGHT)
     m = m.select(F.col("key").alias("k"), F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), side.alias("side"), "id", "component")
     more = block_links(m, sketches, sets, limit, percent)
     second = components(more)
-    forget(rest, more)
+    forget(rest, more, nb)
 
     named = classes.select("sig", "id", "m").join(first, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     named = named.join(second.toDF("c", "component"), "c", "left").withColumn("c", F.coalesce("component", "c"))

@@ -3,8 +3,8 @@
 Groups (equal texts) are summed with a partial aggregate, dealt by hash into blocks of bounded size, and
 each block is differenced on its own: the two partial partitions of largest spread are merged again and
 again, the heaviest part of one with the lightest of the other. What a block leaves is one partial
-partition (a row of shard sums), and those are differenced in the same way, so only a few numbers per
-block reach the driver, whatever the number of documents.
+partition (a row of shard sums); those are dealt into blocks and differenced in the same way, level by
+level, until one block is left. All of it runs in executors.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, ship, written
+from .common import forget, ship, small, written
 
 #: Groups in a block, on average.
 BLOCK = 20_000
+#: Partial partitions that are differenced at once on the levels above.
+WIDE = 2_000
 #: Rows in one numbering unit of a shard, on average.
 UNIT = 50_000
 
@@ -58,8 +60,8 @@ def difference(sums: list[tuple[float, ...]]) -> list[list[int]]:
     return out
 
 
-def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
-    """(gkey, gsize) to (gkey, shard). gkey is a hash; each group has one row."""
+def assign_groups(groups: DataFrame, shards: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(gkey, gsize) to (gkey, shard), and the tables it reads. gkey is a hash; each group has one row."""
     n = groups.count()
     blocks = max(1, -(-n // BLOCK))
 
@@ -71,15 +73,31 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
 
     dealt = groups.withColumn("block", F.pmod(F.xxhash64("gkey"), F.lit(blocks)))
     local = written(dealt.groupBy("block").applyInPandas(block, "block long, gkey string, gsize long, part int"), "kk")
-    rows = local.groupBy("block", "part").agg(F.sum("gsize").alias("s")).collect()  # shards numbers a block
-    names = sorted({r["block"] for r in rows})
-    sums = {b: [0.0] * shards for b in names}
-    for r in rows:
-        sums[r["block"]][r["part"]] = float(r["s"])
-    final = difference([tuple(sums[b]) for b in names])
-    spark = groups.sparkSession
-    moves = spark.createDataFrame([(int(b), p, s) for b, row in zip(names, final, strict=True) for p, s in enumerate(row)], "block long, part int, shard int")
-    return local.join(moves, ["block", "part"]).select("gkey", "shard")
+    sums = local.groupBy(F.col("block").alias("item")).agg(F.array(*[F.sum(F.when(F.col("part") == p, F.col("gsize")).otherwise(0)).cast("double") for p in range(shards)]).alias("sums"))
+    final = written(places(sums, shards), "places")
+    placed = local.join(small(final), F.col("block") == F.col("item")).select("gkey", F.element_at("final", F.col("part") + 1).alias("shard"))
+    return placed, [local, final]
+
+
+def places(sums: DataFrame, shards: int) -> DataFrame:
+    """(item, final) from (item, sums): the shard of each part of every partial partition, by levels of blocks."""
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item")
+        final = difference([tuple(s) for s in pdf["sums"]])
+        moved = [[float(s[f.index(p)]) for p in range(shards)] for s, f in zip(pdf["sums"], final, strict=True)]
+        return pd.DataFrame({"item": pdf["item"], "up": pdf["up"], "final": final, "moved": moved})
+
+    sums = written(sums, "sums")
+    blocks = max(1, -(-sums.count() // WIDE))
+    dealt = sums.withColumn("up", F.pmod(F.xxhash64("item", F.lit(blocks)), F.lit(blocks)))
+    here = written(dealt.groupBy("up").applyInPandas(level, "item long, up long, final array<int>, moved array<double>"), "level")
+    forget(sums)
+    if blocks == 1:
+        return here.select("item", "final")
+    above = here.groupBy(F.col("up").alias("item")).agg(F.array(*[F.sum(F.col("moved")[p]) for p in range(shards)]).alias("sums"))
+    above = places(above, shards).toDF("up", "top")
+    return here.join(above, "up").select("item", F.transform("final", lambda f: F.element_at("top", f + 1)).alias("final"))
 
 
 def shard(docs: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
@@ -97,19 +115,17 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
         sized = sized.drop(text)
     sized = written(sized, "sized")
     groups = sized.groupBy("gkey").agg(F.sum("size").alias("gsize"))
-    placed = sized.join(assign_groups(groups, shards), "gkey")
+    assigned, parts = assign_groups(groups, shards)
     units = max(1, -(-sized.count() // (UNIT * shards)))
-    placed = written(placed.withColumn("_unit", F.pmod(F.xxhash64(*[c for c in ("doc_id", "gkey") if c in placed.columns]), F.lit(units)).cast("int")), "placed")
-    counts = {(r["shard"], r["_unit"]): r["n"] for r in placed.groupBy("shard", "_unit").agg(F.count("*").alias("n")).collect()}
-    starts, rows = 0, []
-    for s in range(shards):
-        starts = 0
-        for u in range(units):
-            rows.append((s, u, starts))
-            starts += counts.get((s, u), 0)
-    offsets = docs.sparkSession.createDataFrame(rows, "shard int, _unit int, _start long")
-    order = Window.partitionBy("shard", "_unit").orderBy(*[c for c in ("doc_id", "gkey") if c in placed.columns])
-    return placed.withColumn("_n", F.row_number().over(order)).join(offsets, ["shard", "_unit"]).withColumn("slot", F.col("_start") + F.col("_n") - 1).drop("_unit", "_start", "_n")
+    keys = [c for c in ("doc_id", "gkey") if c in sized.columns]
+    placed = sized.join(assigned, "gkey").withColumn("_unit", F.pmod(F.xxhash64(*keys, F.lit(0)), F.lit(units)).cast("int"))
+    placed = written(placed, "placed")
+    forget(sized, *parts)
+    before = Window.partitionBy("shard").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("shard", "_unit").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    order = Window.partitionBy("shard", "_unit").orderBy(*keys)
+    out = placed.withColumn("_n", F.row_number().over(order)).join(small(written(offsets, "offsets")), ["shard", "_unit"])
+    return out.withColumn("slot", F.col("_start") + F.col("_n") - 1).drop("_unit", "_start", "_n")
 
 
 def query(docs: DataFrame) -> DataFrame:

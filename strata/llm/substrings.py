@@ -94,7 +94,7 @@ def anchor_rows(base: DataFrame, window: int, k: int) -> DataFrame:
     """A row per anchor of (doc_id, tkey, text): its number and place in the text, its hash and that of the edge to the next one."""
 
     def apply(batches):
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             (h, g), bounds = word_hashes(batch.column(2), lower=False, lanes=2)
             text, at, hashes = anchors(Words(h, 0), bounds, window, k)
             if not len(at):
@@ -138,9 +138,10 @@ def decided(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     """
     rows = written(anchor_rows(docs, window, k), "anchors")
     repeated = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("anchor")
+    repeated = written(repeated, "repeated")  # so that the join deals both sides itself and can split a hot anchor
     lists = rows.join(repeated, "anchor").groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("i", "at", "anchor", "edge"))).alias("x"))
     lists = written(lists, "anchor-lists")
-    forget(rows)
+    forget(rows, repeated)
     after = F.try_element_at("x", F.col("p") + 2)
     places = lists.select("doc_id", "tkey", "x", F.posexplode("x").alias("p", "y")).filter(after["i"] == F.col("y.i") + 1)
     places = places.select("doc_id", "tkey", "y.i", "y.anchor", "y.edge", after["anchor"].alias("to"))
@@ -205,7 +206,7 @@ def windows(marked: DataFrame, at: tuple[int, int, int, int], window: int) -> Da
         for whole in batches:
             some = whole.filter(whole.column(at[3]).is_valid())
             kept = pa.RecordBatch.from_arrays([some.column(c) for c in at], names=names)
-            for batch in slices([kept], 4 << 20):
+            for batch in slices([kept], 2 << 20):
                 (h, g), bounds = word_hashes(batch.column(2), lower=False, lanes=2)
                 spans = batch.column(3)
                 pairs = spans.flatten().to_numpy().reshape(-1, 2)
