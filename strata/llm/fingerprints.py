@@ -185,11 +185,11 @@ def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket_of(i, h, shared.value).astype(np.int32))], names=[*batch.schema.names, "_bucket"])
 
     heads = d.select("_id", "_h").mapInArrow(deal, "_id long, _h long, _bucket int")
-    heads = heads.groupBy("_bucket").agg(F.min(F.struct((-F.col("_id") - 1).alias("down"), "_h")).alias("x")).orderBy(F.desc("_bucket")).collect()  # a row per bucket
+    heads = heads.groupBy("_bucket").agg(F.min(F.struct(F.bitwise_not("_id").alias("down"), "_h")).alias("x")).orderBy(F.desc("_bucket")).collect()  # a row per bucket
     d = d.mapInArrow(deal, "doc_id long, text string, _id long, _h long, _bucket int")
     if not heads:
         return d.withColumn("_ghost", F.lit(False)), 1
-    rows = [(-r["x"]["down"] - 1, r["x"]["_h"], heads[k - 1]["_bucket"]) for k, r in enumerate(heads)]
+    rows = [(~r["x"]["down"], r["x"]["_h"], heads[k - 1]["_bucket"]) for k, r in enumerate(heads)]
     ghosts = F.broadcast(spark.createDataFrame(rows, "_id long, _h long, _to int"))
     first = d.drop("_bucket").join(ghosts, ["_id", "_h"]).groupBy("_to").agg(F.min(F.struct("text", "doc_id", "_id", "_h")).alias("x"))
     first = first.select("x.doc_id", "x.text", "x._id", "x._h", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost"))

@@ -115,6 +115,33 @@ def test_repeats_match_brute_force(odd):
             assert r["n_removed"] or r["kept_text"] == r["text"]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, none):
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    df = spark.createDataFrame([(1, passage), (2, passage), (2, other), (None, passage)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"][:1], r["n_removed"]) for r in substrings.remove_repeats(df).collect()), key=repr)
+    assert got == [(1, "p", 0), (2, "p", 60), (2, "u", 0), (None, "p", 0)]
+    kept = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()), key=repr)
+    assert kept == [(1, 1, True), (2, 1, False), (2, 2, True), (None, None, True)]
+    assert substrings.query(none).count() == minhash.query(none).count() == 0
+
+
+def test_runs_skip_what_a_document_has_of_its_own(spark):
+    """A document leaves a path for as many anchors as the path has there, and comes back."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    texts = [base]
+    for n in range(12):
+        t = base[:]
+        for _ in range(3):
+            at = rng.randrange(len(t) - 160)
+            t[at : at + rng.randrange(1, 150)] = [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 150))]
+        texts.append(t + base[n * 10 : n * 10 + 50 + n])
+    rows = [(i, " ".join(t)) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    want = brute_removed(rows, 50)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+
+
 def test_mix_and_plan(odd, none):
     plan = mixing.mix_plan(odd).collect()
     n = Counter(r["doc_id"] for r in mixing.mix(odd).collect())
@@ -157,6 +184,23 @@ def test_pieces_round_trip_and_pack(odd):
     assert len(bins) <= -(-sum(r["length"] for r in got) // 64) + 1
 
 
+def test_word_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    t, ids, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(8)
+    alphabet = list("abzA09!?.,|-'\"$ \t\n") + ["İ", "é", "e\u0301", "ß", "日", "本", "😀", "ǅ", "\u0307", "\u00a0", "Ω", "<|"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 12))) for _ in range(4000)] + ["İ!", "İ?x", "x İ|"]
+    got = ids.ids(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_come_with_their_ids(odd, none):
+    got = packing.pack_documents(odd, capacity=64, ids=True).collect()
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
+    assert packing.pack_documents(none).count() == 0
+
+
 def test_fullest_is_fullest():
     rng = random.Random(2)
     for _ in range(200):
@@ -189,6 +233,32 @@ def test_differencing_is_tight():
     assert max(sums) - min(sums) <= 5
 
 
+def test_shards_of_many_blocks(spark, monkeypatch):
+    """Levels of blocks give every part of a block another shard, and sizes stay near equal."""
+    monkeypatch.setattr(sharding, "BLOCK", 300)
+    monkeypatch.setattr(sharding, "WIDE", 3)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 97 as int))").alias("a")).select("doc_id", F.concat(F.col("doc_id").cast("string"), "a").alias("text"))
+    sizes = Counter()
+    for r in sharding.shard(df, 4).collect():
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 4 and max(sizes.values()) - min(sizes.values()) < 0.005 * sum(sizes.values())
+
+
+def test_likeness_is_near_the_share_of_common_spans(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.query(docs).collect()}
+    spans = lambda t: {t[i : i + max(1, min(fingerprints.SPAN, len(t) // 3))] for i in range(len(t) - max(1, min(fingerprints.SPAN, len(t) // 3)) + 1)} if t else set()
+    off, equal = [], {}
+    for k, (doc, text) in enumerate(texts):
+        following = texts[(k + 1) % len(texts)][1]
+        for other, name in ((fingerprints.edited(text, following), "near_edited"), (following, "near_next")):
+            a, b = spans(text), spans(other)
+            off.append(abs(got[doc][name] - (1.0 if text == other else 2 * len(a & b) / max(1, len(a) + len(b)))))
+        assert equal.setdefault(text, got[doc]["fingerprint"]) == got[doc]["fingerprint"]
+    assert np.mean(off) < 0.04 and max(off) < 0.35
+
+
 def test_fingerprints(odd, none):
     rows = [r for r in odd_texts() if r[0] is not None]
     order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-r[0], r[1])) + [(None, odd_texts()[-1][1])]
@@ -255,20 +325,47 @@ def test_rare_grams_count_whatever_the_broadcast(spark, odd, share_bits):
     assert [v for _, v in got] == pytest.approx([v for _, v in want], rel=1e-9)
 
 
+def linked(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        x, y = label[a], label[b]
+        if x != y:
+            label = [min(x, y) if v in (x, y) else v for v in label]
+    return label
+
+
 def test_vectors(spark):
+    """Planted copies at cosines from 0.9 up, in two lengths, against all pairs: links, components and what cannot link."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 16))
-    x = np.concatenate((x, x[:60] + 0.09 * rng.normal(size=(60, 16)), x[:5]))
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0], 1), (904, [], 1), (905, [None] * 16, 1), (None, [1.0] * 16, 1)]
-    got = {r["vec_id"]: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")).collect()}
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(300, 32))
+    side -= (side * x[:300]).sum(1, keepdims=True) * x[:300]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.95, (300, 1))
+    x = np.concatenate((x, c * x[:300] + np.sqrt(1 - c**2) * side, x[:5], np.repeat(x[7:8], 400, 0) + 0.01 * rng.normal(size=(400, 32))))
+    short = np.array([[1.0, 2.0], [1.0, 2.1], [-1.0, 0.5], [1e300, 2e300]])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(9000 + i, v.tolist(), 1) for i, v in enumerate(short)]
+    odd = [(i, v, 1) for i, v in enumerate([None, [0.0] * 32, [float("nan")] * 32, [], [None] * 32, [float("inf")] * 32], 9900)] + [(None, [1.0] * 32, 1)]
+    out = embeddings.near_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, n_links int")).collect()
+    got = {r["vec_id"]: r for r in out}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
     found = sum(got[i]["n_links"] for i in range(len(u)))
-    assert found <= links.sum() and found >= 0.97 * links.sum()
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904, 905)) and got[None]["component_id"] is None
+    assert len(out) == len(rows) + len(odd) and links.sum() > 100_000 and 0.99 * links.sum() <= found <= links.sum()
+    label = linked(len(u), [(a, b) for a, b in np.argwhere(links) if a < b and b < 3305 or a == 7])
+    assert sum(got[i]["component_id"] == label[i] for i in range(len(u))) >= 0.99 * len(u)
+    assert [(got[9000 + i]["n_links"], got[9000 + i]["component_id"]) for i in range(4)] == [(2, 9000), (2, 9000), (0, 9002), (2, 9000)]
+    assert all(r["n_links"] == 0 and r["kept"] and r["component_id"] == r["vec_id"] for r in out if r["vec_id"] is None or r["vec_id"] >= 9900)
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_archives(spark, tmp_path):
     html = ["<p>é</p>", None, "", "<p>é</p>", "WARC/1.1\r\n\r\nWARC/1.1", None]
     rows = [(i, [None, "http://WWW.b.example/x y", "not a url\r\n"][i % 3], h, "extra") for i, h in enumerate(html)] + [(None, "http://a.example", "null id", "extra")]
@@ -306,6 +403,46 @@ def test_toxicity_ignores_group_mentions(spark, odd):
     assert toxicity.train(d.limit(0), lab.limit(0)).bias < 0
 
 
+def test_scores_are_those_of_the_model(spark):
+    """On the supplied table: the query gives the fitted model's logits, and tells held-out rows apart."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.query(docs, labels).collect()}
+    for r in docs.collect():
+        score = 1 / (1 + np.exp(-model.logit(toxicity.words_of(r["text"]))))
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-9) and got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    again = toxicity.train(docs.union(docs.limit(50)), labels)
+    assert again.weights == pytest.approx(model.weights)
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empty texts, repeated rows, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    clash = ("score", "predicted", "kept", "component_id", "_id", "n_words", "kept_text", "text_key")
+    odd = odd.select("*", *[F.lit(7).alias(c) for c in clash])
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["near_duplicates"](spark, odd, SF)
+    sets = {r[0]: shingles(r[1]) for r in odd_texts() if r[0] is not None}
+    ids = sorted(sets)
+    near = [(i, j) for i in range(len(ids)) for j in range(i) if (x := sets[ids[i]]) and (y := sets[ids[j]]) and 100 * len(x & y) >= 80 * len(x | y)]
+    label = linked(len(ids), near)
+    assert sorted((r["doc_id"] for r in left.collect()), key=repr) == sorted([ids[i] for i in range(len(ids)) if label[i] == i] + [None], key=repr)
+    cut = {r["doc_id"]: r for r in stages["substring_dedup"](spark, odd, SF).collect()}
+    want = brute_removed([(r[0], r[1]) for r in odd_texts() if r[0] is not None], 50)
+    for r in odd_texts():
+        if r[0] is not None:
+            kept = cut[r[0]]["text"]
+            assert (hashlib.sha256(" ".join(WORD.findall(kept or "")).encode()).hexdigest() == want[r[0]][2]) if want[r[0]][1] else kept == r[1]
+            assert cut[r[0]]["n_chars"] == (len(kept) if want[r[0]][1] else r[4])
+    for name in ("toxicity", "near_duplicates", "substring_dedup", "mixing"):
+        for table in (odd, none):
+            out = stages[name](spark, table, SF)
+            assert out.columns == table.columns and (table is odd or out.count() == 0)
+    assert stages["toxicity"](spark, odd, SF).select(*clash).distinct().collect() in ([tuple([7] * 8)], [])
+    assert stages["packing"](spark, odd, SF).count() >= len(odd_texts()) and stages["packing"](spark, none, SF).count() == 0
+
+
 def test_pipeline_end_to_end(spark):
     import corpus_pipeline
 
