@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = r"(?U)^\s+|\s+$"
-#: Words of portal pages that make a quote worthless (fixed values).
-BOILERPLATE = ("cookie", "log in", "sign in", "subscribe", "copyright", "all rights reserved")
+#: Quotes that say nothing, and patterns of portal pages that a whole text must match.
+GENERIC_QUOTES = ("국가법령정보센터", "법령", "홈페이지", "보도자료", "정책자료", "자료실", "메인")
+PORTAL_PAGES = (r"\s*국가법령정보센터\s*\|\s*법령\s*국가법령정보센터\s*법령\s*", r"\s*국가법령정보센터\s*\|\s*법령\s*", r"\s*홈\s*>\s*")
 
 
 def strip(c: Column) -> Column:
@@ -26,10 +27,10 @@ def token_estimate(c: Column) -> Column:
 
 
 def clean_cell(c: Column) -> Column:
-    """A table cell without back-ticks and stars, a link replaced by its target, white space collapsed."""
-    bare = F.regexp_replace(c, r"[`*]", "")
-    link = F.regexp_extract(bare, r"\]\(([^)]+)\)", 1)
-    return strip(F.regexp_replace(F.when(link != "", link).otherwise(bare), r"\s+", " "))
+    """A table cell without white space, then back-ticks, then stars at its ends; what is inside stays."""
+    for ends in (r"^`+|`+$", r"^\*+|\*+$"):
+        c = F.regexp_replace(strip(c), ends, "")
+    return strip(c)
 
 
 def slug(c: Column, most: int = 60) -> Column:
@@ -50,10 +51,20 @@ def size_bucket(b: Column) -> Column:
             .when(b < 10 * kib * kib, "under_10m").otherwise("over_10m"))
 
 
+def collapsed(c: Column) -> Column:
+    """White space collapsed to single blanks, none at the ends; a null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+
+
+def portal_page(c: Column) -> Column:
+    """Whether a collapsed text is nothing but a portal's frame."""
+    return c.rlike("(?i)^(" + "|".join(PORTAL_PAGES) + ")$")
+
+
 def weak_quote(c: Column, least: int = 18, distinct: int = 6) -> Column:
-    """Too short, of too few different characters, or portal boilerplate."""
-    text = strip(F.coalesce(c, F.lit("")))
-    return (F.length(text) < least) | (F.size(F.array_distinct(F.split(text, ""))) <= distinct) | F.lower(text).rlike("|".join(BOILERPLATE))
+    """Too short, of too few different characters, a generic fragment or a portal's frame; outer quote marks do not count."""
+    text = F.regexp_replace(F.regexp_replace(collapsed(c), '^"+|"+$', ""), "^'+|'+$", "")
+    return (F.length(text) < least) | (F.size(F.array_distinct(F.split(text, ""))) <= distinct) | text.isin(*GENERIC_QUOTES) | portal_page(text)
 
 
 def homepage_url(c: Column) -> Column:
@@ -62,10 +73,11 @@ def homepage_url(c: Column) -> Column:
 
 
 def relation(a: Column, b: Column) -> Column:
-    """How two counts agree: exact, close (within 5 percent, at least 2), both_present, one-sided, missing."""
-    near = F.greatest(F.lit(2), F.bround(F.greatest(a, b) * 0.05).cast("long"))
-    return (F.when(a.isNull() & b.isNull(), "missing").when(a.isNull(), "target_only").when(b.isNull(), "source_only")
-            .when(a == b, "exact").when(F.abs(a - b) <= near, "close").when((a > 0) & (b > 0), "both_present").otherwise("mismatch"))
+    """How two counts agree: exact, close (within 5 percent, at least 2), both_present, one-sided, mismatch; missing_signal without either."""
+    near = F.greatest(F.lit(2), F.bround(F.greatest(F.abs(a), F.abs(b)) * 0.05).cast("long"))
+    both = F.when(F.abs(a - b) <= near, "close").otherwise("both_present")
+    return (F.when(a.isNull() | b.isNull(), "missing_signal").when(a == b, "exact").when((a > 0) & (b > 0), both)
+            .when((a == 0) & (b > 0), "target_only").when((a > 0) & (b == 0), "source_only").otherwise("mismatch"))
 
 
 def metric_similarity(a: Column, b: Column) -> Column:
@@ -92,8 +104,8 @@ def truthy(c: Column, words: tuple[str, ...] = ("1", "true", "yes", "y")) -> Col
 
 
 def tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Distinct Latin tokens of at least four characters that begin with a letter, without stop words."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"[a-z][a-z0-9_-]{3,}"), 0))
+    """Distinct tokens without stop words: Latin ones of four characters or more that begin with a letter, Hangul ones of two."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"[a-z][a-z0-9_-]{3,}|[가-힣]{2,}"), 0))
     return F.array_except(found, F.array(*[F.lit(w) for w in stop])) if stop else found
 
 

@@ -2,14 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.shipping import ship
+
 #: A quote table up to this size is broadcast; a larger one is met through shared word shingles.
 MOST_QUOTES, MOST_QUOTE_BYTES = 20_000, 8 << 20
 ANCHOR = 4
 
 
+def held(texts: DataFrame, quotes: DataFrame, text: str, quote: str, place: str) -> DataFrame:
+    """(_q, _place): for each distinct quote that a text contains, the smallest place of such a text.
+
+    A block of at most MOST_QUOTES quotes and about MOST_QUOTE_BYTES becomes one automaton, which each task
+    runs over its texts once, whatever the number of quotes in it. Quotes beyond one block take more passes.
+    Nulls and empty quotes are in no text.
+    """
+    ship(texts.sparkSession)
+    q = quotes.select(F.col(quote).alias("_q")).filter(F.length("_q") > 0).distinct()
+    t = texts.select(F.col(place).alias("_place"), F.col(text).alias("_t")).filter("_place is not null and _t is not null")
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
+    blocks = max(1, -(-size["n"] // MOST_QUOTES), -(-size["b"] // MOST_QUOTE_BYTES))
+    found = []
+    for b in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b) if blocks > 1 else q
+        kind = t.schema["_place"].dataType.simpleString()
+        found.append(t.mapInArrow(_scan([r["_q"] for r in part.collect()], pa.string() if kind == "string" else pa.int64()), f"_q string, _place {'string' if kind == 'string' else 'long'}"))
+    return reduce(DataFrame.unionByName, found).groupBy("_q").agg(F.min("_place").alias("_place"))
+
+
+def _scan(needles: list[str], kind: pa.DataType):
+    def apply(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, x in enumerate(needles):
+            machine.add_word(x, i)
+        least: dict = {}
+        if needles:
+            machine.make_automaton()
+            for batch in batches:
+                for at, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for i in {i for _, i in machine.iter(body)}:
+                        least[i] = min(at, least.get(i, at))
+        yield pa.RecordBatch.from_arrays([pa.array([needles[i] for i in least], pa.string()), pa.array(list(least.values()), kind)], names=["_q", "_place"])
+
+    return apply
+
+
 def _anchor_words(c):
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
@@ -17,16 +61,17 @@ def _anchor_words(c):
 def supported(quotes: DataFrame, evidence: DataFrame, key: str, quote: str = "text", text: str = "text") -> DataFrame:
     """Keys of quotes that some evidence text contains verbatim.
 
-    A small quote table (its count and bytes are checked) is broadcast and tested by containment. A
-    larger one meets the evidence in an equi-join on an inner shingle of ANCHOR words, which any text
-    that contains the quote has too, before the containment test; quotes of fewer than ANCHOR + 2 words
-    have no such shingle and stay with the broadcast test in blocks of bounded size.
+    A small quote table (its count and bytes are checked) is found in one pass of an automaton. A larger one
+    meets the evidence in an equi-join on an inner shingle of ANCHOR words, which any text that contains the
+    quote has too, before the containment test; quotes of fewer than ANCHOR + 2 words have no such shingle
+    and take passes of automata of bounded size.
     """
     q = quotes.select(F.col(key), F.col(quote).alias("_q")).filter(F.length("_q") > 0)
     e = evidence.select(F.col(text).alias("_t")).filter(F.col("_t").isNotNull())
+    here = e.withColumn("_at", F.lit(0))
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
     if size["n"] <= MOST_QUOTES and size["b"] <= MOST_QUOTE_BYTES:
-        return e.join(F.broadcast(q), F.contains("_t", F.col("_q"))).select(key).distinct()
+        return q.join(held(here, q, "_t", "_q", "_at"), "_q").select(key).distinct()
     words = _anchor_words(F.col("_q"))
     long = q.withColumn("_w", words).filter(F.size("_w") >= ANCHOR + 2).withColumn("_a", F.array_join(F.slice("_w", 2, ANCHOR), " ")).drop("_w")
     texts = e.withColumn("_w", _anchor_words(F.col("_t")))
@@ -34,11 +79,7 @@ def supported(quotes: DataFrame, evidence: DataFrame, key: str, quote: str = "te
     texts = texts.filter(F.size("_w") >= ANCHOR).select("_t", F.explode(shingles).alias("_a"))
     found = texts.join(long, "_a").filter(F.contains("_t", F.col("_q"))).select(key)
     short = q.filter(F.size(words) < ANCHOR + 2)
-    blocks = max(1, -(-size["n"] // MOST_QUOTES))
-    for b in range(blocks):
-        part = short.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b)
-        found = found.union(e.join(F.broadcast(part), F.contains("_t", F.col("_q"))).select(key))
-    return found.distinct()
+    return found.union(short.join(held(here, short, "_t", "_q", "_at"), "_q").select(key)).distinct()
 
 
 def unsupported(quotes: DataFrame, evidence: DataFrame, key: str, **how) -> DataFrame:

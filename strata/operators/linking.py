@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.evidence import held
+
 #: Quotes up to this count and size are broadcast; more meet the texts by their anchors.
 MOST_QUOTES, MOST_QUOTE_BYTES = 20_000, 8 << 20
 
@@ -83,7 +83,7 @@ def first_holder(quotes: DataFrame, texts: DataFrame, key: str, quote: str, plac
     ``anchor`` is a value of the quote that occurs among the values ``in_text`` of every text that
     contains it, so that beyond the checked size of a broadcast containment is tested only for pairs that
     share it. Quotes without an anchor are held by equal texts only, or, with ``unanchored``, by containing
-    texts too, tested in broadcast blocks of bounded size; what no text holds is ``none``.
+    texts too, found by automata of bounded size; what no text holds is ``none``.
     """
     digest = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256))
     q = quotes.select(key, F.col(quote).alias("_q"), anchor.alias("_a"))
@@ -97,28 +97,35 @@ def first_holder(quotes: DataFrame, texts: DataFrame, key: str, quote: str, plac
     rest = left.filter(F.col("_a").isNotNull())
     size = rest.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
     if size["n"] <= MOST_QUOTES and size["b"] <= MOST_QUOTE_BYTES:
-        pairs = t.join(F.broadcast(rest), F.contains("_t", F.col("_q")))
+        found = rest.select(key, "_q").join(held(t, rest, "_t", "_q", "_place"), "_q").groupBy(key).agg(F.min("_place").alias("_held"))
     else:
         pairs = rest.join(t.select("_place", "_t", F.explode(F.array_distinct("_in")).alias("_a")), "_a").filter(F.contains("_t", F.col("_q")))
-    held = pairs.groupBy(key).agg(F.min("_place").alias("_held"))
+        found = pairs.groupBy(key).agg(F.min("_place").alias("_held"))
     if unanchored:
         loose = left.filter(F.col("_a").isNull() & F.col("_q").isNotNull())
-        held = held.unionByName(_contained(loose.select(key, "_q"), t, key)).groupBy(key).agg(F.min("_held").alias("_held"))
-    j = quotes.select(key).distinct().join(same, key, "left").join(held, key, "left")
+        loose = loose.select(key, "_q").join(held(t, loose, "_t", "_q", "_place"), "_q").select(key, F.col("_place").alias("_held"))
+        found = found.unionByName(loose).groupBy(key).agg(F.min("_held").alias("_held"))
+    j = quotes.select(key).distinct().join(same, key, "left").join(found, key, "left")
     return j.select(key, F.when(F.col("_same").isNotNull(), "equal").when(F.col("_held").isNotNull(), "within").otherwise("none").alias("how"), F.coalesce("_same", "_held").alias("place"))
 
 
-def _contained(quotes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """(key, _held): the smallest place whose text contains the quote, tested for distinct quotes block by block."""
-    q = quotes.select("_q").distinct()
-    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
-    blocks = max(1, -(-size["n"] // max(1, MOST_QUOTES)), -(-size["b"] // MOST_QUOTE_BYTES))
-    found = []
-    for b in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b)
-        pairs = texts.select("_place", "_t").join(F.broadcast(part), F.contains("_t", F.col("_q")))
-        found.append(pairs.groupBy("_q").agg(F.min("_place").alias("_held")))
-    return quotes.join(reduce(DataFrame.unionByName, found), "_q").select(key, "_held")
+def find_records(ids: DataFrame, records: DataFrame, key: str, path: str, text: str) -> DataFrame:
+    """(key, how, path): the record <key>.md, else the first in order of paths that names the key.
+
+    A record names a key if its stem contains it or its text has a line ``source_id: key``, back-ticks
+    allowed. Stems meet keys by automata, and lines by an equi-join on
+    the ids that texts declare. Null keys and paths find nothing.
+    """
+    k = ids.select(F.col(key).cast("string").alias("_k")).filter(F.length("_k") > 0).distinct()
+    r = records.select(F.col(path).alias("_p"), F.regexp_replace(path, r"\.md$", "").alias("_stem"), F.col(text).alias("_t")).filter("_p is not null")
+    exact = k.join(r.filter(F.col("_p").endswith(".md")).select(F.col("_stem").alias("_k"), "_p"), "_k").groupBy("_k").agg(F.min("_p").alias("_exact"))
+    left = k.join(exact, "_k", "left_anti")
+    declared = r.select("_p", F.explode(F.regexp_extract_all("_t", F.lit(r"\bsource_id\b\s*:\s*`?(\w+)"), 1)).alias("_k"))
+    line = left.join(declared, "_k").select("_k", "_p")
+    within = held(r, left, "_stem", "_k", "_p").select(F.col("_q").alias("_k"), F.col("_place").alias("_p"))
+    other = line.unionByName(within).groupBy("_k").agg(F.min("_p").alias("_other"))
+    out = ids.select(key).distinct().withColumn("_k", F.col(key).cast("string")).join(exact, "_k", "left").join(other, "_k", "left")
+    return out.select(key, F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_other").isNotNull(), "named").otherwise("none").alias("how"), F.coalesce("_exact", "_other").alias("path"))
 
 
 def numbered(rows: DataFrame, known: DataFrame, key: str, group: str, order: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -70,17 +71,41 @@ def hash_split(df: DataFrame, key: str, share: float = 0.7) -> DataFrame:
     return rest.unionByName(border).drop("_h", "_p")
 
 
-def greedy_cover(features: DataFrame, key: str, feature: str, most: int = 10) -> list:
-    """Keys picked one after another, each covering the most features still uncovered; ties to the smallest key.
+#: Features that a cover tells apart at most.
+MOST_FEATURES = 4_096
 
-    Bounded by ``most`` iterations; only counts and one key per iteration reach the driver.
+
+def greedy_cover(features: DataFrame, key: str, feature: str, most: int = 10, family: str | None = None) -> list:
+    """Keys picked one after another: first the richest of each family, then those with the most features still uncovered.
+
+    Ties go to the key with more features, then to the smallest key; when nothing new is left to cover, picks
+    go on in that order up to ``most``. Each key's features become one bitmap, so a round is an aggregate
+    without a shuffle of rows; only one key a round reaches the driver.
     """
-    left, picks = features.select(key, feature).distinct(), []
-    for _ in range(most):
-        best = left.groupBy(key).count().orderBy(F.desc("count"), key).limit(1).collect()
-        if not best:
-            break
-        picks.append(best[0][key])
-        covered = left.filter(F.col(key) == best[0][key]).select(feature)
-        left = left.join(covered, feature, "left_anti")
+    names = [r[0] for r in features.select(feature).filter(F.col(feature).isNotNull()).distinct().orderBy(feature).limit(MOST_FEATURES + 1).collect()]
+    if len(names) > MOST_FEATURES:
+        raise ValueError("too many different features")
+    words = -(-len(names) // 32) or 1
+    number = F.broadcast(features.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], features.select(feature).schema.add("_i", IntegerType())))
+    bit = lambda w: F.bit_or(F.when(F.floor(F.col("_i") / 32) == w, F.shiftleft(F.lit(1).cast("long"), F.col("_i") % 32)).otherwise(0))
+    cut = features.sparkSession.conf.get("spark.checkpoint.dir", None) or features.sparkSession.sparkContext.getCheckpointDir()
+    maps = features.join(number, feature).groupBy(key, *([family] if family else [])).agg(*[bit(w).alias(f"_b{w}") for w in range(words)])
+    maps = maps.checkpoint() if cut else maps.cache()
+    total = sum((F.bit_count(f"_b{w}") for w in range(words)), F.lit(0))
+    covered, picks = [0] * words, []
+
+    def take(rows: DataFrame) -> bool:
+        new = sum((F.bit_count(F.col(f"_b{w}").bitwiseAND(F.lit(~covered[w]))) for w in range(words)), F.lit(0))
+        best = rows.filter(~F.col(key).isin(picks) if picks else F.lit(True)).select(key, new.alias("n"), total.alias("t"), *[f"_b{w}" for w in range(words)]).orderBy(F.desc("n"), F.desc("t"), key).limit(1).collect()
+        for r in best:
+            picks.append(r[key])
+            for w in range(words):
+                covered[w] |= r[f"_b{w}"]
+        return bool(best)
+
+    if family:
+        for r in maps.select(family).distinct().orderBy(family).limit(most).collect():
+            take(maps.filter(F.col(family).eqNullSafe(F.lit(r[0]))))
+    while len(picks) < most and take(maps):
+        pass
     return picks

@@ -2,46 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions.text import fold_key
+
 #: Weight of a hit by the cue's kind (fixed values).
 WEIGHTS = {"example": 6.0, "description": 4.0, "direct": 3.0, "positive": 2.0, "negative": -3.0}
-LEAST_SCORE, MARGIN = 2.5, 1.5
+LEAST_SCORE, MARGIN, MOST_CUES = 2.5, 1.5, 10_000
 
 
 def route(requests: DataFrame, cues: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, outcome, target, score): matched, ambiguous (others within the margin) or not_found.
+    """(key, outcome, target, score): matched, ambiguous (below the least score, or others within the margin) or not_found.
 
-    cues: target, position, kind, cue. The catalogue is a small fixed table; scores sum per target, and a
-    request's targets are compared by aggregates, not by sorting all requests.
+    cues: target, position, kind, cue. A target counts if its cues sum to more than 0; without one, a request
+    is not found. The catalogue is configuration: one beyond MOST_CUES rows is refused. Scores sum per
+    target, and a request's targets are compared by aggregates, not by sorting all requests.
     """
+    if cues.limit(MOST_CUES + 1).count() > MOST_CUES:
+        raise ValueError("a catalogue of cues must be a small table")
     weight = F.element_at(F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
     hits = requests.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_t")).join(F.broadcast(cues.withColumn("_w", weight)), F.contains("_t", F.lower("cue")))
-    scores = hits.groupBy(key, "target", "position").agg(F.sum("_w").alias("score"))
+    scores = hits.groupBy(key, "target", "position").agg(F.sum("_w").alias("score")).filter("score > 0")
     w = Window.partitionBy(key)
     ranked = scores.withColumn("_best", F.max(F.struct("score", (-F.col("position")).alias("p"), "target")).over(w))
     near = ranked.groupBy(key).agg(F.max("_best").alias("b"), F.count_if(F.col("score") >= F.col("_best.score") - MARGIN).alias("n"))
     out = requests.select(key).join(near, key, "left")
     found = F.coalesce(F.col("b.score") >= LEAST_SCORE, F.lit(False))
-    return out.select(key, F.when(~found, "not_found").when(F.col("n") > 1, "ambiguous").otherwise("matched").alias("outcome"), F.when(found, F.col("b.target")).alias("target"), F.when(found, F.col("b.score")).alias("score"))
+    return out.select(key, F.when(F.col("b").isNull(), "not_found").when(~found | (F.col("n") > 1), "ambiguous").otherwise("matched").alias("outcome"), F.when(found, F.col("b.target")).alias("target"), F.when(found, F.col("b.score")).alias("score"))
 
 
 def by_alias(requests: DataFrame, query: str, aliases: list[tuple[str, str, str]]) -> DataFrame:
-    """(query, target, tier) by the first tier that an alias meets.
+    """(query, target, tier) by the first tier that an alias meets, both without case, blanks, underscores and hyphens.
 
-    Tier 0: the query contains a term on hold; 1: it equals an alias; 2: it contains one; 3: an alias
-    contains it and it has at least four characters, the longest alias first. Within a tier the catalogue's
-    order decides. The catalogue is configuration, so its entries are literals of one expression.
+    Tier 0: a term on hold equals, contains or is within the query; 1: an alias equals it; 2: an alias contains
+    it; 3: an alias of at least four characters is within it, the longest first. Within a tier the
+    catalogue's order decides. An empty query meets nothing. The catalogue is configuration, so its entries
+    are literals of one expression.
     """
-    q, picks = F.col(query), []
-    for i, (kind, alias, target) in enumerate(aliases):
-        inside = F.contains(q, F.lit(alias))
+    q, picks = fold_key(F.coalesce(F.col(query), F.lit(""))), []
+    for i, (kind, name, target) in enumerate(aliases):
+        alias = re.sub(r"[\s_\-]+", "", name.strip().lower())
+        if not alias:
+            continue
+        inside, around = F.contains(q, F.lit(alias)), F.contains(F.lit(alias), q)
         if kind == "hold":
-            tier = F.when(inside, 0)
+            tier = F.when(inside | around, 0)
         else:
-            tier = F.when(q == alias, 1).when(inside, 2).when((F.length(q) >= 4) & F.contains(F.lit(alias), q), 3)
+            tier = F.when(q == alias, 1).when(around, 2)
+            if len(alias) >= 4:
+                tier = tier.when(inside, 3)
         rank = F.struct(tier.alias("tier"), F.when(tier == 3, -len(alias)).otherwise(0).alias("n"), F.lit(i).alias("i"), F.lit(target).alias("target"))
-        picks.append(F.when(tier.isNotNull(), rank))
+        picks.append(F.when(tier.isNotNull() & (q != ""), rank))
     best = requests.select(query, F.array_min(F.array_compact(F.array(*picks))).alias("_b"))
     return best.select(query, F.col("_b.target").alias("target"), F.col("_b.tier").alias("tier"))

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from strata.functions.text import relation
 
 
+#: Least score of each band of confidence (fixed values).
+BANDS = (("high_confidence", 0.95), ("medium_confidence", 0.75), ("weak_signal", 0.45))
+
+
 def confidence(pairs: DataFrame, rule: str, source: str, target: str) -> DataFrame:
-    """Per rule: how many pairs agree in which way, and (exact + 0.7 close + 0.4 both) / compared."""
+    """Per rule: how many pairs agree in which way, (exact + 0.7 close + 0.4 both) / compared, and its band.
+
+    Pairs that lack a value are not compared; a rule without compared pairs scores 0.
+    """
     r = pairs.withColumn("_r", relation(F.col(source), F.col(target)))
     n = lambda k: F.count_if(F.col("_r") == k)
-    compared = F.count_if(F.col("_r") != "missing")
-    return r.groupBy(rule).agg(
-        n("exact").alias("exact"), n("close").alias("close"), n("both_present").alias("both_present"), compared.alias("compared"),
-        F.bround((n("exact") + n("close") * 0.7 + n("both_present") * 0.4) / F.nullif(compared, F.lit(0)), 4).alias("confidence"))
+    compared = F.count_if(F.col("_r") != "missing_signal")
+    score = F.coalesce(F.bround((n("exact") + n("close") * 0.7 + n("both_present") * 0.4) / F.nullif(compared, F.lit(0)), 4), F.lit(0.0))
+    out = r.groupBy(rule).agg(n("exact").alias("exact"), n("close").alias("close"), n("both_present").alias("both_present"), compared.alias("compared"), score.alias("confidence"))
+    band = F.lit("exploratory")
+    for name, least in reversed(BANDS):
+        band = F.when(F.col("confidence") >= least, name).otherwise(band)
+    return out.withColumn("band", band)
 
 
 def gate(facts: DataFrame, group: str, need: dict[str, int]) -> DataFrame:

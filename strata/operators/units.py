@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,19 +14,20 @@ from strata.functions.text import token_estimate
 MOST, LEAST = 4000, 800
 
 
+def next_break(body: str, at: int, most: int, least: int) -> int:
+    """Where a piece that begins at ``at`` ends: the last blank line more than ``least`` in, else ``most`` further on."""
+    if len(body) - at <= most:
+        return len(body)
+    blank = body.rfind("\n\n", at + least + 1, at + most)
+    return blank if blank >= 0 else at + most
+
+
 def chunk_text(text: str, most: int = MOST, least: int = LEAST) -> list[str]:
-    """Stripped pieces of at most ``most`` characters, cut at the last blank line that lies more than ``least`` in."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(n, at + most)
-        if end < n:
-            cut = text.rfind("\n\n", at, end)
-            if cut > at + least:
-                end = cut
-        if piece := text[at:end].strip():
-            out.append(piece)
-        at = end
-    return out
+    """Pieces of at most ``most`` characters of the stripped text, each stripped; empty ones are left out."""
+    body, places = text.strip(), [0]
+    while places[-1] < len(body):
+        places.append(next_break(body, places[-1], most, least))
+    return [piece for a, b in pairwise(places) if (piece := body[a:b].strip())]
 
 
 def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

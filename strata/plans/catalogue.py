@@ -13,23 +13,27 @@ from strata.streaming import sessions
 __all__ = ["oracle_sql", "queries", "read", "records"]
 
 _UNITS = r"""
-cut AS (SELECT doc_id, unnest(generate_series(0, (greatest(length(text), 1) - 1) // 4000)) AS i, text FROM documents WHERE text IS NOT NULL),
-units AS (SELECT doc_id, i::INTEGER + 1 AS unit_no, regexp_replace(substr(text, i * 4000 + 1, 4000), '^\s+|\s+$', '', 'g') AS unit_text FROM cut)
+body AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, t, 0 AS a, 0 AS e FROM body UNION ALL
+  SELECT doc_id, t, e AS a, CASE WHEN length(t) - e <= 4000 THEN length(t) WHEN length(regexp_extract(substr(t, e + 802, 3199), '(?s)^(.*)\n\n', 0)) > 0
+    THEN e + 801 + length(regexp_extract(substr(t, e + 802, 3199), '(?s)^(.*)\n\n', 1)) ELSE e + 4000 END FROM cut WHERE e < length(t)),
+pieces AS (SELECT doc_id, a, regexp_replace(substr(t, a + 1, e - a), '^\s+|\s+$', '', 'g') AS unit_text FROM cut WHERE e > a),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a)::INTEGER AS unit_no, unit_text FROM pieces WHERE unit_text <> '')
 """
 
 
-@query(f"WITH {_UNITS} SELECT doc_id, unit_no, unit_text FROM units WHERE unit_text <> ''")
+@query(f"WITH RECURSIVE {_UNITS} SELECT doc_id, unit_no, unit_text FROM units WHERE unit_text <> ''")
 def unit_chunks(spark, sf_dir):
     return units.chunk(read(spark, sf_dir, "documents"))
 
 
-@query(f"WITH {_UNITS} SELECT doc_id, count(*) AS n_units, sum(greatest(1, length(unit_text) // 4))::BIGINT AS tokens FROM units WHERE unit_text <> '' GROUP BY doc_id")
+@query(f"WITH RECURSIVE {_UNITS} SELECT doc_id, count(*) AS n_units, sum(greatest(1, length(unit_text) // 4))::BIGINT AS tokens FROM units WHERE unit_text <> '' GROUP BY doc_id")
 def unit_counts(spark, sf_dir):
     u = units.chunk(read(spark, sf_dir, "documents"))
     return u.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.sum(T.token_estimate(F.col("unit_text"))).alias("tokens"))
 
 
-@query(f"""WITH {_UNITS} SELECT doc_id, unit_no, greatest(1, length(unit_text) // 4)::INTEGER AS token_estimate, substr(unit_text, 1, 1200) AS preview
+@query(f"""WITH RECURSIVE {_UNITS} SELECT doc_id, unit_no, greatest(1, length(unit_text) // 4)::INTEGER AS token_estimate, substr(unit_text, 1, 1200) AS preview
 FROM units WHERE unit_text <> '' AND contains(lower(unit_text), 'worthless') ORDER BY token_estimate, doc_id, unit_no LIMIT 8""")
 def context_search(spark, sf_dir):
     return units.search(units.chunk(read(spark, sf_dir, "documents")), "worthless")
@@ -55,12 +59,16 @@ def quote_missing(spark, sf_dir):
     return evidence.unsupported(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id")
 
 
-@query(r"""SELECT conv_id, turn, length(t) < 18 AS short_text,
-length(t) < 18 OR len(list_distinct(string_split(t, ''))) <= 6 OR regexp_matches(lower(t), 'cookie|log in|sign in|subscribe|copyright|all rights reserved') AS weak
-FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations)""")
+_PORTAL = "|".join(T.PORTAL_PAGES)
+_GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC_QUOTES)
+
+
+@query(rf"""SELECT conv_id, turn, length(t) < 18 AS short_text, length(t) < 18 OR len(list_distinct(string_split(t, ''))) <= 6 OR t IN ({_GENERIC}) OR regexp_full_match(t, '(?i)({_PORTAL})') AS weak
+FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') AS t FROM conversations)""")
 def weak_quotes(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", (F.length(T.strip(F.coalesce("text", F.lit("")))) < 18).alias("short_text"), T.weak_quote(F.col("text")).alias("weak"))
+    bare = F.regexp_replace(F.regexp_replace(T.collapsed(F.col("text")), '^"+|"+$', ""), "^'+|'+$", "")
+    return c.select("conv_id", "turn", (F.length(bare) < 18).alias("short_text"), T.weak_quote(F.col("text")).alias("weak"))
 
 
 @query(r"""SELECT page_id, regexp_matches(url, '^https?://[^/]+/?(#.*)?$') AS homepage, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin,
@@ -179,11 +187,12 @@ def bag_overlap(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS a FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, 15 * count(*) AS b FROM supplier GROUP BY 1),
-p AS (SELECT n_regionkey, a, b, CASE WHEN a IS NULL AND b IS NULL THEN 'missing' WHEN a IS NULL THEN 't' WHEN b IS NULL THEN 's' WHEN a = b THEN 'exact'
-WHEN abs(a - b) <= greatest(2, round_even(greatest(a, b) * 0.05, 0)) THEN 'close' WHEN a > 0 AND b > 0 THEN 'both_present' ELSE 'mismatch' END AS r
-FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey)
-SELECT n_regionkey, count(*) FILTER (r = 'exact') AS exact, count(*) FILTER (r = 'close') AS close, count(*) FILTER (r = 'both_present') AS both_present, count(*) FILTER (r <> 'missing') AS compared,
-round_even((count(*) FILTER (r = 'exact') + count(*) FILTER (r = 'close') * 0.7::DOUBLE + count(*) FILTER (r = 'both_present') * 0.4::DOUBLE) / nullif(count(*) FILTER (r <> 'missing'), 0), 4) AS confidence FROM p GROUP BY n_regionkey""")
+p AS (SELECT n_regionkey, CASE WHEN a IS NULL OR b IS NULL THEN 'missing_signal' WHEN a = b THEN 'exact' WHEN a > 0 AND b > 0 THEN
+  CASE WHEN abs(a - b) <= greatest(2, round_even(greatest(abs(a), abs(b)) * 0.05, 0)) THEN 'close' ELSE 'both_present' END
+  WHEN a = 0 AND b > 0 THEN 'target_only' WHEN a > 0 AND b = 0 THEN 'source_only' ELSE 'mismatch' END AS r FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey),
+g AS (SELECT n_regionkey, count(*) FILTER (r = 'exact') AS exact, count(*) FILTER (r = 'close') AS close, count(*) FILTER (r = 'both_present') AS both_present, count(*) FILTER (r <> 'missing_signal') AS compared FROM p GROUP BY n_regionkey),
+h AS (SELECT *, coalesce(round_even((exact + close * 0.7::DOUBLE + both_present * 0.4::DOUBLE) / nullif(compared, 0), 4), 0) AS confidence FROM g)
+SELECT *, CASE WHEN confidence >= 0.95 THEN 'high_confidence' WHEN confidence >= 0.75 THEN 'medium_confidence' WHEN confidence >= 0.45 THEN 'weak_signal' ELSE 'exploratory' END AS band FROM h""")
 def relation_confidence(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
     c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("a"))
@@ -206,8 +215,8 @@ def hash_split(spark, sf_dir):
 
 @query()
 def pilot_cover(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", F.concat_ws(":", "event_type", F.hour("ts").cast("string")).alias("feature"))
-    picks = registers.greedy_cover(e, "user_id", "feature")
+    e = read(spark, sf_dir, "events").select("user_id", (F.col("user_id") % 2).alias("family"), F.concat_ws(":", "event_type", F.hour("ts").cast("string")).alias("feature"))
+    picks = registers.greedy_cover(e, "user_id", "feature", family="family")
     return spark.createDataFrame([(i, int(p)) for i, p in enumerate(picks)], "pick int, user_id long")
 
 
@@ -216,10 +225,10 @@ _CUE_ROWS = ", ".join(f"('{t}', {p}, {route.WEIGHTS[k]}, '{c}')" for t, p, k, c
 
 
 @query(f"""WITH cue(target, p, w, c) AS (VALUES {_CUE_ROWS}),
-s AS (SELECT conv_id, turn, target, p, sum(w)::DOUBLE AS score FROM conversations JOIN cue ON contains(lower(coalesce(text, '')), c) GROUP BY ALL),
+s AS (SELECT conv_id, turn, target, p, sum(w)::DOUBLE AS score FROM conversations JOIN cue ON contains(lower(coalesce(text, '')), c) GROUP BY ALL HAVING sum(w) > 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, p) AS r, max(score) OVER (PARTITION BY conv_id, turn) AS top FROM s),
 n AS (SELECT conv_id, turn, max(top) AS top, count(*) FILTER (score >= top - 1.5) AS k, max(target) FILTER (r = 1) AS target FROM b GROUP BY ALL)
-SELECT conv_id, turn, CASE WHEN top IS NULL OR top < 2.5 THEN 'not_found' WHEN k > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome, CASE WHEN top >= 2.5 THEN target END AS target, CASE WHEN top >= 2.5 THEN top END AS score
+SELECT conv_id, turn, CASE WHEN top IS NULL THEN 'not_found' WHEN top < 2.5 OR k > 1 THEN 'ambiguous' ELSE 'matched' END AS outcome, CASE WHEN top >= 2.5 THEN target END AS target, CASE WHEN top >= 2.5 THEN top END AS score
 FROM conversations LEFT JOIN n USING (conv_id, turn)""")
 def route_query(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").withColumn("_k", F.struct("conv_id", "turn"))

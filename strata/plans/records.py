@@ -13,13 +13,12 @@ from strata.plans.registry import query, read
 # Predicates and scalar functions
 
 
-@query(r"""SELECT doc_id, length(c) AS compact, length(c) < 80 OR regexp_matches(lower(coalesce(text, '')), 'cookie|log in|sign in|subscribe|copyright|all rights reserved') AS thin
-FROM (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '[ \t\n\r\f]+', '', 'g') AS c FROM documents)""")
+@query(rf"""SELECT doc_id, length(c) AS compact, length(c) < 80 OR regexp_full_match(c, '(?i)({"|".join(T.PORTAL_PAGES)})') AS thin
+FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS c FROM documents)""")
 def thin_text(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
-    c, low = F.length(F.translate(t, " \t\n\r\f", "")), F.lower(t)
-    worthless = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in T.BOILERPLATE])
-    return read(spark, sf_dir, "documents").select("doc_id", c.cast("long").alias("compact"), ((c < 80) | worthless).alias("thin"))
+    c = T.collapsed(F.col("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", c.alias("c"))
+    return d.select("doc_id", F.length("c").cast("long").alias("compact"), ((F.length("c") < 80) | T.portal_page(F.col("c"))).alias("thin"))
 
 
 _LINE = r"(^|[^A-Za-z0-9])[A-Za-z]:[\\/]|[0-9A-Za-z_.]+@[0-9A-Za-z_.]+"
@@ -61,13 +60,13 @@ def negated_keyword(spark, sf_dir):
 
 
 @query(r"""SELECT item_id, len(list_distinct(w))::INTEGER AS n_tokens, array_to_string(list_sort(list_distinct(w)), ' ') AS tokens FROM
-(SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{3,}'), lambda x: x NOT IN ('with', 'that', 'this', 'from')) AS w FROM benchmark)""")
+(SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{3,}|[가-힣]{2,}'), lambda x: x NOT IN ('with', 'that', 'this', 'from')) AS w FROM benchmark)""")
 def token_sets(spark, sf_dir):
     w = T.tokens(F.lower("text"), ("with", "that", "this", "from"))
     return read(spark, sf_dir, "benchmark").select("item_id", F.size(w).alias("n_tokens"), F.array_join(F.array_sort(w), " ").alias("tokens"))
 
 
-@query(r"""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{3,}')) AS w FROM benchmark)
+@query(r"""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{3,}|[가-힣]{2,}')) AS w FROM benchmark)
 SELECT a.item_id, len(list_intersect(a.w, b.w))::INTEGER AS shared, round_even(len(list_intersect(a.w, b.w))::DOUBLE / greatest(1, len(a.w)), 4) AS ratio FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
 def token_overlap(spark, sf_dir):
     t = read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.lower("text")).alias("w"))
@@ -110,16 +109,16 @@ def terms_unsupported(spark, sf_dir):
     return evidence.unsupported(terms.withColumn("text", F.col("term")), texts, "term")
 
 
-@query(r"""WITH q AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + doc_id, text FROM documents WHERE doc_id % 50 = 0)
-SELECT item_id, CASE WHEN s IS NOT NULL THEN 'equal' WHEN h IS NOT NULL THEN 'within' ELSE 'none' END AS how, coalesce(s, h) AS place FROM
-(SELECT item_id, (SELECT min(doc_id) FROM documents d WHERE d.text = q.text) AS s, (SELECT min(doc_id) FROM documents d WHERE contains(d.text, q.text) AND regexp_matches(q.text, '[ \t\n\r\f][^ \t\n\r\f]+[ \t\n\r\f]+[^ \t\n\r\f]+[ \t\n\r\f]+[^ \t\n\r\f]+[ \t\n\r\f]')) AS h FROM q)""")
+@query(r"""WITH r AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id || '.md' ELSE 'rec_' || doc_id || '.md' END AS path, CASE WHEN doc_id % 5 = 1 THEN 'source_id: `' || (doc_id + 7) || '`' || chr(10) || coalesce(text, '') ELSE text END AS text FROM documents),
+k AS (SELECT DISTINCT doc_id AS id FROM labels), x AS (SELECT id, min(path) AS p FROM k JOIN r ON path = id || '.md' GROUP BY id),
+n AS (SELECT id, min(path) AS p FROM k JOIN r ON contains(regexp_replace(path, '\.md$', ''), id::VARCHAR) OR list_contains(regexp_extract_all(text, '\bsource_id\b\s*:\s*`?(\w+)', 1), id::VARCHAR) WHERE id NOT IN (SELECT id FROM x) GROUP BY id)
+SELECT k.id AS doc_id, CASE WHEN x.p IS NOT NULL THEN 'exact' WHEN n.p IS NOT NULL THEN 'named' ELSE 'none' END AS how, coalesce(x.p, n.p) AS path FROM k LEFT JOIN x USING (id) LEFT JOIN n USING (id)""")
 def lookup_fallback(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    q = read(spark, sf_dir, "benchmark").select("item_id", "text").union(d.filter("doc_id % 50 = 0").select(F.col("doc_id") + 100000, "text"))
-    # The three words after the first one of a quote are whole words of any text that contains it.
-    shingles = T.shingles(F.col("text"), 3)
-    anchor = F.when(F.size(shingles) >= 3, shingles[1])
-    return linking.first_holder(q, d, "item_id", "text", "doc_id", "text", anchor, shingles, unanchored=True)
+    i = F.col("doc_id")
+    named = F.concat(F.lit("source_id: `"), (i + 7).cast("string"), F.lit("`\n"), F.coalesce("text", F.lit("")))
+    path = F.concat(F.when(i % 3 == 0, "").otherwise("rec_"), i.cast("string"), F.lit(".md"))
+    records = read(spark, sf_dir, "documents").select(path.alias("path"), F.when(i % 5 == 1, named).otherwise(F.col("text")).alias("text"))
+    return linking.find_records(read(spark, sf_dir, "labels").select("doc_id"), records, "doc_id", "path", "text")
 
 
 @query(r"""WITH q AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + doc_id, text FROM documents),
@@ -360,16 +359,16 @@ def alias_collisions(spark, sf_dir):
     return read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("alias")).agg(F.count_distinct("p_brand").alias("owners")).filter("owners > 1")
 
 
-_ALIASES = [("hold", "bolt", "held"), ("alias", "red widget", "red"), ("alias", "widget", "widgets"), ("alias", "blue ring of steel", "blue"), ("alias", "ring", "rings")]
-_ALIAS_ROWS = ", ".join(f"({i}, '{k}', '{a}', '{t}')" for i, (k, a, t) in enumerate(_ALIASES))
+_ALIASES = [("hold", "Bolt", "held"), ("alias", "red widget", "red"), ("alias", "widget", "widgets"), ("alias", "large blue-ring of steel", "blue"), ("alias", "ring", "rings"), ("alias", "gear", "gears")]
+_ALIAS_ROWS = ", ".join(f"({i}, '{k}', '{a.lower().replace(' ', '').replace('-', '')}', '{t}')" for i, (k, a, t) in enumerate(_ALIASES))
 
 
-@query(f"""WITH a(i, kind, alias, target) AS (VALUES {_ALIAS_ROWS}), q AS (SELECT DISTINCT lower(p_name) AS query FROM part),
-h AS (SELECT query, i, alias, target, CASE WHEN kind = 'hold' THEN CASE WHEN contains(query, alias) THEN 0 END WHEN query = alias THEN 1 WHEN contains(query, alias) THEN 2 WHEN length(query) >= 4 AND contains(alias, query) THEN 3 END AS tier FROM q, a),
+@query(f"""WITH a(i, kind, alias, target) AS (VALUES {_ALIAS_ROWS}), q AS (SELECT DISTINCT p_name AS query, regexp_replace(lower(p_name), '[ _-]+', '', 'g') AS n FROM part),
+h AS (SELECT query, i, alias, target, CASE WHEN n = '' THEN NULL WHEN kind = 'hold' THEN CASE WHEN contains(n, alias) OR contains(alias, n) THEN 0 END WHEN n = alias THEN 1 WHEN contains(alias, n) THEN 2 WHEN length(alias) >= 4 AND contains(n, alias) THEN 3 END AS tier FROM q, a),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, CASE WHEN tier = 3 THEN -length(alias) ELSE 0 END, i) AS n FROM h WHERE tier IS NOT NULL)
-SELECT query, target, tier FROM q LEFT JOIN (SELECT * FROM r WHERE n = 1) USING (query)""")
+SELECT q.query, target, tier FROM q LEFT JOIN (SELECT * FROM r WHERE r.n = 1) r ON r.query = q.query""")
 def alias_router(spark, sf_dir):
-    q = read(spark, sf_dir, "part").select(F.lower("p_name").alias("query")).distinct()
+    q = read(spark, sf_dir, "part").select(F.col("p_name").alias("query")).distinct()
     return route.by_alias(q, "query", _ALIASES)
 
 

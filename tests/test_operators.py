@@ -15,16 +15,18 @@ def test_chunk_breaks_at_late_blank_lines_only():
     late = "a" * 801 + "\n\n" + "b" * 4000
     assert len(units.chunk_text(late)[0]) == 801
     assert units.chunk_text(" \n ") == []
+    assert [len(c) for c in units.chunk_text("\n " + "x" * 4001 + " ")] == [4000, 1]
+    assert [len(c) for c in units.chunk_text("a" * 800 + "\n\n" + "b" * 5000)] == [4000, 1802]
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [(0, 0, "exact"), (10, 12, "close"), (10, 13, "both_present"), (100, 105, "close"), (100, 106, "both_present"), (0, 3, "mismatch"), (3, 0, "mismatch"), (None, None, "missing"), (None, 1, "target_only")])
+@pytest.mark.parametrize(("a", "b", "want"), [(0, 0, "exact"), (10, 12, "close"), (10, 13, "both_present"), (100, 105, "close"), (100, 106, "both_present"), (0, 3, "target_only"), (3, 0, "source_only"), (0, 1, "target_only"), (-1, 1, "mismatch"), (None, None, "missing_signal"), (None, 1, "missing_signal")])
 def test_relation(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a long, b long")
     assert df.select(T.relation(F.col("a"), F.col("b")).alias("r")).collect()[0]["r"] == want
 
 
 def test_weak_quotes_and_urls(spark):
-    rows = [("a" * 17, True), ("abcdefghijklmnopqr", False), ("abcabcabcabcabcabcabc", True), ("please subscribe to our letter", True), (None, True)]
+    rows = [("a" * 17, True), ("abcdefghijklmnopqr", False), ("abcabcabcabcabcabcabc", True), ("please subscribe to our letter", False), (" '\"국가법령정보센터 | 법령 국가법령정보센터 법령\" ", False), ("\"국가법령정보센터 |  법령 국가법령정보센터 법령\"", True), (None, True)]
     df = spark.createDataFrame(rows, "q string, w boolean")
     assert all(r["x"] == r["w"] for r in df.select("w", T.weak_quote(F.col("q")).alias("x")).collect())
     assert spark.sql("select 'https://a.example/' u").select(T.homepage_url(F.col("u"))).collect()[0][0]
