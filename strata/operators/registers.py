@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import LongType
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -86,8 +86,8 @@ def greedy_cover(features: DataFrame, key: str, feature: str, most: int = 10, fa
     if len(names) > MOST_FEATURES:
         raise ValueError("too many different features")
     words = -(-len(names) // 32) or 1
-    number = F.broadcast(features.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], features.select(feature).schema.add("_i", IntegerType())))
-    bit = lambda w: F.bit_or(F.when(F.floor(F.col("_i") / 32) == w, F.shiftleft(F.lit(1).cast("long"), F.col("_i") % 32)).otherwise(0))
+    number = F.broadcast(features.sparkSession.createDataFrame([(n, i // 32, 1 << i % 32) for i, n in enumerate(names)], features.select(feature).schema.add("_w", LongType()).add("_bit", LongType())))
+    bit = lambda w: F.bit_or(F.when(F.col("_w") == w, F.col("_bit")).otherwise(0))
     cut = features.sparkSession.conf.get("spark.checkpoint.dir", None) or features.sparkSession.sparkContext.getCheckpointDir()
     maps = features.join(number, feature).groupBy(key, *([family] if family else [])).agg(*[bit(w).alias(f"_b{w}") for w in range(words)])
     maps = maps.checkpoint() if cut else maps.cache()

@@ -72,3 +72,9 @@ def scorecard(facts: DataFrame, key: str, parts: dict[str, tuple[Column, int]],
     raw = F.greatest(F.lit(0), F.least(F.lit(100), total - F.col("deducted")))
     df = df.withColumn("total", F.when(F.col("blocked"), F.least(F.lit(59), raw)).otherwise(raw).cast("long"))
     return df.withColumn("level", F.least(F.lit(5), F.floor(F.col("total") / 20)).cast("int"))
+
+
+def signals(pairs: DataFrame, declared: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(rule, priority, a, b): a row per pair and declared rule (name, source column, target column, priority)."""
+    found = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(p).alias("priority"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")) for n, a, b, p in declared])
+    return pairs.select(F.explode(found).alias("_s")).select("_s.*")
