@@ -28,9 +28,7 @@ def token_estimate(c: Column) -> Column:
 
 def clean_cell(c: Column) -> Column:
     """A table cell without white space, then back-ticks, then stars at its ends; what is inside stays."""
-    for ends in (r"^`+|`+$", r"^\*+|\*+$"):
-        c = F.regexp_replace(strip(c), ends, "")
-    return strip(c)
+    return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^`+|`+$", ""), r"^\*+|\*+$", ""))
 
 
 def slug(c: Column, most: int = 60) -> Column:

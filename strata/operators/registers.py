@@ -48,6 +48,13 @@ def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     return j.select(*[value(c).alias(c) for c in base.columns])
 
 
+def versioned(base: DataFrame, delta: DataFrame, key: str, version: int) -> DataFrame:
+    """base (with version) after an upsert: its rows, the delta's at the new version, and which of each key is current."""
+    changed = delta.select(F.col(key).alias("_k")).distinct()
+    old = base.join(changed, base[key] == F.col("_k"), "left").withColumn("current", F.col("_k").isNull()).drop("_k")
+    return old.unionByName(delta.withColumn("version", F.lit(version)).withColumn("current", F.lit(True)))
+
+
 def hash_split(df: DataFrame, key: str, share: float = 0.7) -> DataFrame:
     """Deterministic split: the share of rows with the smallest SHA-256 of their key is discovery.
 

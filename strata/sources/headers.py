@@ -100,3 +100,12 @@ def merged(*layers: str | dict | None) -> dict:
         for k, v in (layer if isinstance(layer, dict) else {}).items():
             out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def at(config: dict, path: str, default=None):
+    """The value at a dotted path of nested objects, else the default."""
+    for part in path.split("."):
+        if not isinstance(config, dict) or part not in config:
+            return default
+        config = config[part]
+    return config

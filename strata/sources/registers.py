@@ -34,9 +34,9 @@ def table_rows(files: DataFrame, key: str = "path", text: str = "text") -> DataF
 
 
 def bullets(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, name, value) of ``- **name**: value`` bullets; a name's last line wins."""
+    """(key, name, value) of bullets ``- **name**: value``, ``- `name`: value`` and ``- name: value``; a name's last line wins."""
     line = files.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
-    pattern = r"^\s*[-*]\s+(?:\*\*|`)([^*`]+)(?:\*\*|`)\s*:\s*(.*)$"
+    pattern = r"^\s*[-*]\s+(?:\*\*|`)?([^*`:]+)(?:\*\*|`)?\s*:\s*(.*)$"
     found = line.filter(F.col("line").rlike(pattern)).select(key, "pos", F.lower(strip(F.regexp_extract("line", pattern, 1))).alias("name"), strip(F.regexp_extract("line", pattern, 2)).alias("value"))
     return found.groupBy(key, "name").agg(F.max_by("value", "pos").alias("value"))
 
@@ -46,6 +46,13 @@ def section(text: Column, heading: str) -> Column:
     return F.regexp_extract(text, rf"(?is)(?:^|\n)##\s+\d+\.\s*{heading}[^\n]*\n(.*?)(?=\n##\s+\d+\.|\z)", 1)
 
 
+def append_events(rows: DataFrame, path: str, mirror: str | None = None) -> None:
+    """Appends rows to a log of JSON lines and, where asked for, to its CSV mirror."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+    if mirror:
+        rows.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns]).write.mode("append").options(header=True, escape='"', emptyValue="").csv(mirror)
+
+
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; lines that do not parse are skipped."""
     parsed = spark.read.text(path).select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("e"))

@@ -98,3 +98,21 @@ def test_sessions_on_a_stream(spark, tmp_path):
     q = sessions.sessions(stream).writeStream.format("memory").queryName("sess").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["n_events"], r["total"]) for r in spark.table("sess").collect()] == [(2, 3.0)]
+
+
+def test_compatible_texts_lose_white_space_only(spark):
+    import unicodedata
+
+    from strata.functions import korean
+
+    texts = ["ｆｕｌｌ　width ①", "한 글\u00a0x", None, "", "ﬁ e\u0301\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert {r["k"]: r["plain"] for r in korean.compatible(df, "k", "t").collect()} == {i: "".join(c for c in unicodedata.normalize("NFKC", t or "") if not c.isspace()) for i, t in enumerate(texts)}
+
+
+def test_greedy_cover_seeds_families_and_fills_up(spark):
+    rows = [("a", 0, "x"), ("a", 0, "y"), ("b", 0, "x"), ("b", 0, "y"), ("b", 0, "z"), ("c", 1, "x"), ("d", 1, "w"), ("d", 1, "x"), ("e", 1, None)]
+    df = spark.createDataFrame(rows, "k string, f int, feature string")
+    assert registers.greedy_cover(df, "k", "feature", 10, family="f") == ["b", "d", "a", "c"]
+    assert registers.greedy_cover(df, "k", "feature", 2) == ["b", "d"]
+    assert registers.greedy_cover(df.limit(0), "k", "feature") == []
