@@ -1,8 +1,9 @@
 """WARC archives of captured pages and globally ordered capture histories.
 
-Records are text, so Spark's own writer makes the archives: each file is a gzip stream of WARC/1.1
-records, any Hadoop file system will do, and a lost executor's files are written again by the commit
-protocol. Of equal payloads the first page's record is a response, the others are revisits of it.
+Each WARC/1.1 record is a gzip member of its own, so that a reader can seek to any record by the offset in
+the index. Spark's own writer puts the members together: any Hadoop file system will do, and a lost
+executor's files are written again by the commit protocol. Archives are bounded by records and by bytes and
+are read member by member. Of equal payloads the first page's record is a response, the others are revisits of it.
 Archives are parsed by the lengths in their headers. Each archive gives one locally sorted run of index
 lines; the runs are cut at common key ranges and each range is merged by a k-way loser tree, so that the
 index is ordered by URL key and timestamp across all files.
@@ -10,8 +11,8 @@ index is ordered by URL key and timestamp across all files.
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections import defaultdict
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import forget, new_path, ship, written
 
-#: Records in an archive at most.
-RECORDS = 1_000
+#: Records in an archive at most, and bytes of payload in it at most (or one record).
+RECORDS, ARCHIVE_BYTES = 1_000, 512 << 20
+#: Bytes of a record in one gzip member at most: a member's length field then ends in a zero byte.
+MEMBER_BYTES = (1 << 24) - 1
 #: Index lines in one merged range, on average.
 RANGE = 100_000
 #: Capture time of page 0 where the pages bring no time; page n is taken n seconds later, modulo TURN.
@@ -45,6 +48,7 @@ def base32_sha1(body: Column) -> Column:
 
 
 def record_id(page: Column) -> Column:
+    """A name made of the page_id; rows that repeat a page_id are told apart by archive and offset."""
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
 
 
@@ -78,36 +82,95 @@ def records(typed: DataFrame) -> DataFrame:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    return typed.select(F.concat(F.concat_ws("\r\n", *lines), end, end, block, end).alias("value"))
+    return typed.select(F.concat(F.concat_ws("\r\n", *lines), end, end, block, end, end).cast("binary").alias("value"))
+
+
+def members(texts: DataFrame) -> DataFrame:
+    """(value): each record's gzip members, less the last byte.
+
+    That byte is the highest of the member's length and always zero, so the text writer's line end, set to
+    one zero byte, completes each record and the file is plain gzip members one after another.
+    """
+
+    def apply(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 200):
+                out = []
+                for x in batch.column(0).slice(s, 200):
+                    body = x.as_py()
+                    out.append(b"".join(zlib.compress(body[i : i + MEMBER_BYTES], 6, 31) for i in range(0, len(body), MEMBER_BYTES))[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    return texts.mapInArrow(apply, "value binary").select(F.col("value").cast("string"))
 
 
 def write_archives(pages: DataFrame, path: str, captured: str | None = None, least_bytes: int = 0) -> None:
-    """Writes a record per row of pages (page_id, url, html) to gzip archives below ``path``.
+    """Writes a record per row of pages (page_id, url, html) to archives of gzip members below ``path``.
 
-    A null html is an empty payload, a null url about:blank. Rows that repeat the smallest page_id of a
+    Very large pages are written whole. A null html is an empty payload, a null url about:blank. Rows that repeat the smallest page_id of a
     payload are all responses. captured names a timestamp column, if there is one.
     """
     when = F.col(captured) if captured else F.timestamp_seconds(F.lit(int(BEGIN.timestamp())) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(TURN)))
     p = pages.select(F.col("page_id").cast("long"), "url", "html", when.alias("captured"))
-    text = records(with_types(p, least_bytes))
-    text.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    typed = with_types(p, least_bytes)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    most = p.agg(F.max(size)).collect()[0][0] or 0
+    fair = ARCHIVE_BYTES // RECORDS
+    # pages larger than an archive's share get archives of fewer records
+    for part, n in ((typed, RECORDS),) if most <= fair else ((typed.filter(F.col("bytes") <= fair), RECORDS), (typed.filter(F.col("bytes") > fair), max(1, ARCHIVE_BYTES // most))):
+        members(records(part)).write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", n).text(path)
+
+
+def unpacked(content: bytes):
+    """(offset, bytes) of each gzip member; bytes that are no gzip are one member."""
+    if content[:2] != b"\x1f\x8b":
+        yield 0, content
+        return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        d, parts, stop, step = zlib.decompressobj(31), [], at, 4096
+        while not d.eof and stop < len(view):
+            parts.append(d.decompress(view[stop : stop + step]))
+            stop, step = min(len(view), stop + step), 1 << 16
+        if not d.eof:
+            raise ValueError(f"gzip member at {at} has no end")
+        yield at, b"".join(parts)
+        at = stop - len(d.unused_data)
 
 
 def parse(content: bytes):
-    """(offset, headers, block) of each record of an archive; offsets are those of the unpacked stream."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at = 0
-    while at < len(data):
+    """(offset, headers, block) of each record of an archive; offsets are those of the record's first gzip member.
+
+    A record may take several members, and a member may hold several records, which then share its offset.
+    """
+    data, at, begin = b"", 0, 0
+    parts = unpacked(content)
+    while True:
+        if at >= len(data):
+            found = next(parts, None)
+            if found is None:
+                return
+            (begin, data), at = found, 0
+            if not data:
+                continue
         if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at {at}")
-        stop = data.index(b"\r\n\r\n", at)
+            raise ValueError(f"no WARC record at {begin}")
+        while (stop := data.find(b"\r\n\r\n", at)) < 0:
+            data += next(parts)[1]
         headers = {}
         for line in data[at:stop].decode("utf-8").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             headers[name.lower()] = value.strip()
-        n = int(headers["content-length"])
-        yield at, headers, data[stop + 4 : stop + 4 + n]
-        at = stop + 4 + n + 4
+        end = stop + 4 + int(headers["content-length"])
+        if len(data) < end + 4:  # the rest of a long record is in the next members
+            more = [data]
+            size = len(data)
+            while size < end + 4:
+                more.append(next(parts)[1])
+                size += len(more[-1])
+            data = b"".join(more)
+        yield begin, headers, data[stop + 4 : end]
+        at = end + 4
 
 
 def url_key(url: str) -> str:
@@ -234,7 +297,8 @@ def archive_index(pages: DataFrame, captured: str | None = None, least_bytes: in
     """Writes the archives (to ``keep``, else a temporary shared folder), reads them back and merges their index.
 
     Extra columns are ignored; an empty table gives an empty index. Rows that repeat are captured one by
-    one. Rows with a null page_id have a null page_id and never are the page a revisit refers to.
+    one, also when they repeat a page_id. Rows with a null page_id have a null page_id and never are the page a
+    revisit refers to.
     """
     spark = pages.sparkSession
     ship(spark)

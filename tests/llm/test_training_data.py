@@ -377,6 +377,26 @@ def test_archives(spark, tmp_path):
     assert warc.archive_index(df.limit(0)).count() == 0
 
 
+def test_archives_are_members_that_can_be_sought(spark, tmp_path, monkeypatch):
+    """Large pages, a record of several members, repeated ids; each index offset begins a readable gzip stream."""
+    import gzip
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4 << 20)
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    rng = random.Random(3)
+    html = ["small", "x" * 3_000_000, "".join(rng.choice("abc é") for _ in range(900_000)), "small", "y" * 5_000_000]
+    rows = [(i, f"http://h{i}.example/", h) for i, h in enumerate(html)] + [(3, "http://again.example/", "small")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = f"file://{tmp_path}/w"
+    got = warc.archive_index(df, keep=path).collect()
+    assert Counter((r["page_id"], r["payload_bytes"], r["record_type"]) for r in got) == Counter((i, len(h.encode()), "revisit" if i == 3 else "response") for i, _, h in rows)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "w").glob("part-*")}
+    assert len(files) > 2
+    for r in got:
+        whole = gzip.decompress(files[r["run"]][r["record_offset"] :])
+        assert whole.startswith(b"WARC/1.1") and f"WARC-Record-ID: <urn:x-page:{r['page_id']}>".encode() in whole[:300]
+
+
 @pytest.mark.parametrize("k", range(9))
 def test_loser_tree(k):
     rng = random.Random(k)
