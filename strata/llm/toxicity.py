@@ -8,12 +8,14 @@ Fitting happens on the driver over at most ``MOST_TRAINING`` rows; scoring runs
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,14 @@ from .common import forget, id_crc, ship, slices, written
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their id.
 MOST_TRAINING = 8_000
-#: Features with weights at most: those whose presence differs most between the labels.
-MOST_WORDS = 1_000
+#: Training rows that a feature with a weight is in at least.
+LEAST_ROWS = 2
+#: Standard errors between the labels from which on a feature has the plain ridge penalty.
+SURE = 3.5
 #: Lengths of the word beginnings that are features beside the words.
 STEMS = (4, 5, 6, 7)
 #: What a row of label 1 weighs in the fit, against 1 for a row of label 0.
-POSITIVE = 1.4
+POSITIVE = 3.0
 #: Group mentions that must not decide a score (fixed values).
 IDENTITY = (
     "asian", "atheist", "black", "blind", "buddhist", "catholic", "christian", "deaf", "disabled", "elderly",
@@ -63,7 +67,7 @@ class Model:
         found = {x for x in words if x in w}
         for n in STEMS:
             found.update(x for x in {y[:n] + "*" for y in words if len(y) > n} if x in w)
-        return self.bias + sum(w[x] for x in sorted(found))
+        return self.bias + math.fsum(w[x] for x in found)
 
 
 #: How far along the list of identity terms the partners of a swap stand; the fit takes the mean over them.
@@ -79,45 +83,70 @@ def swapped(words: set[str], identity: tuple[str, ...] = IDENTITY, step: int = 1
     return (words - found) | {identity[(place[w] + step) % len(identity)] for w in found}
 
 
-def solve(names: list[str], rows: list[tuple[list[int], int, list[list[int]] | None]], ridge: float = 1.0, fairness: float = 5.0, rounds: int = 25) -> Model:
-    """Newton's method on the log loss, an L2 term and the squared logit change under swapped identities.
+@dataclass
+class Lists:
+    """A sparse matrix of 0, 1 and -1 by lists of columns; column -1 is a constant where ``ones`` is set."""
+
+    columns: np.ndarray
+    rows: np.ndarray
+    signs: np.ndarray
+    n: int
+    ones: bool
+
+    @classmethod
+    def of(cls, signed: np.ndarray, lengths: np.ndarray, ones: bool) -> Lists:
+        """signed: column + 1, negative where the entry is -1; lengths: entries of each row."""
+        return cls(np.abs(signed) - 1, np.repeat(np.arange(len(lengths)), lengths), np.sign(signed).astype(float), len(lengths), ones)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, w[self.columns] * self.signs, self.n) + (w[-1] if self.ones else 0.0)
+
+    def back(self, r: np.ndarray, m: int, squares: bool = False) -> np.ndarray:
+        out = np.bincount(self.columns, r[self.rows] * (1.0 if squares else self.signs), m)
+        if self.ones:
+            out[-1] = r.sum()
+        return out
+
 
-    rows: features as places in names, label, and the features after each swap (None without a group
-    mention); a row's penalty is the mean over its swaps. Without rows of both labels the model is a constant.
+def solve(x: Lists, y: np.ndarray, change: Lists, penalty: np.ndarray, fairness: float = 5.0, rounds: int = 25) -> np.ndarray:
+    """Newton's method on the log loss, an L2 term by feature and the squared logit change under swapped identities.
+
+    x: features of each row; change: the features that a swap takes (1) and brings (-1), one row a swap, the
+    swaps of a text together weighing 1; penalty: by feature, the last one is the constant's. The steps come
+    from conjugate gradients, so that no matrix of features by features is built.
     """
-    n, pos = len(rows), sum(y for _, y, _ in rows)
-    if not 0 < pos < n:
-        return Model(bias=4.0 if pos else -4.0)
-    m = len(names) + 1
+    m, c, w = len(penalty), np.where(y > 0, POSITIVE, 1.0), np.zeros(len(penalty))
+    fair = 2 * fairness / len(SWAPS)
 
-    def matrix(lists: list[list[int]]) -> np.ndarray:
-        out = np.zeros((len(lists), m), np.float32)
-        out[:, -1] = 1
-        for i, x in enumerate(lists):
-            out[i, x] = 1
-        return out
+    def loss(w: np.ndarray) -> float:
+        z = x.times(w)
+        return float((c * (np.logaddexp(0, z) - y * z)).sum() + penalty @ (w * w) / 2 + fair * (change.times(w) ** 2).sum() / 2)
 
-    x, y = matrix([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    fixed = ridge * np.eye(m)
-    fixed[-1, -1] = 0
-    pairs = [(r[0], other) for r in rows for other in r[2] or []]
-    fairness /= max((len(r[2]) for r in rows if r[2]), default=1)
-    for s in range(0, len(pairs), 1000):
-        change = matrix([a for a, _ in pairs[s : s + 1000]]) - matrix([b for _, b in pairs[s : s + 1000]])
-        fixed += 2 * fairness * (change.T @ change)
-    w, c = np.zeros(m), np.where(y > 0, POSITIVE, 1.0)
     for _ in range(rounds):
-        hessian, slope = fixed + 1e-9 * np.eye(m), fixed @ w
-        for s in range(0, n, 1000):
-            part, t = x[s : s + 1000], slice(s, s + 1000)
-            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-            hessian += (part * (c[t] * p * (1 - p)).astype(np.float32)[:, None]).T @ part
-            slope = slope + (c[t] * (p - y[t])) @ part
-        step = np.linalg.solve(hessian, slope)
-        w -= step
-        if np.abs(step).max() < 1e-5:
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        curve = c * p * (1 - p)
+        slope = x.back(c * (p - y), m) + penalty * w + fair * change.back(change.times(w), m)
+        scale = x.back(curve, m, squares=True) + penalty + fair * change.back(np.ones(change.n), m, squares=True) + 1e-9
+        step, left = np.zeros(m), -slope
+        towards = left / scale
+        size = left @ towards
+        enough = 1e-4 * size
+        for _ in range(200):
+            if size <= enough:
+                break
+            bent = x.back(curve * x.times(towards), m) + penalty * towards + fair * change.back(change.times(towards), m)
+            far = size / (towards @ bent)
+            step, left = step + far * towards, left - far * bent
+            better = left / scale
+            size, before = left @ better, size
+            towards = better + size / before * towards
+        now, part = loss(w), 1.0
+        while part > 1e-3 and loss(w + part * step) > now:
+            part /= 2
+        w = w + part * step
+        if np.abs(part * step).max() < 1e-5:
             break
-    return Model(float(w[-1]), {t: float(w[j]) for j, t in enumerate(names)})
+    return w
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -133,9 +162,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFra
     return found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[str, ...] = IDENTITY, **how) -> Model:
-    """Fits the model; executors count features and index rows, the driver gets MOST_WORDS names and index lists."""
-    ship(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[str, ...] = IDENTITY, ridge: float = 1.0, **how) -> Model:
+    """Fits the model; executors count features and index rows, the driver gets names and index lists of the bounded sample.
+
+    Every feature that LEAST_ROWS training rows hold has a weight, whatever the size of the sample. The ridge
+    penalty of a feature whose presence differs by z standard errors between the labels is (SURE / z)^2 times
+    that of a sure one, so weak features are shrunk and none is left out. Without rows of both labels the
+    model is a constant.
+    """
+    spark = docs.sparkSession
+    ship(spark)
     rows = written(training_rows(docs, labels, folds), "labelled")
 
     def count(batches):
@@ -150,31 +186,43 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[st
 
     total = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
+    if not pos or not neg:
+        forget(rows)
+        return Model(bias=4.0 if pos else -4.0)
     counts = rows.mapInArrow(count, "feature string, y int, n long").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    p, q = (F.col("a") + 0.5) / (pos + 1), (F.col("b") + 0.5) / (neg + 1)
-    sure = F.abs(p - q) / F.sqrt(p * (1 - p) / (pos + 1) + q * (1 - q) / (neg + 1))
-    frequent = F.col("a") + F.col("b") >= (3 if pos + neg > 100 else 1)
-    ranked = counts.filter(frequent).withColumn("g", sure)
-    best = [r["feature"] for r in ranked.filter("g >= 3.5").orderBy(F.desc("g"), "feature").limit(MOST_WORDS).collect()]
-    best = best or [r["feature"] for r in ranked.orderBy(F.desc("g"), "feature").limit(50).collect()]
-    groups = [r["feature"] for r in counts.filter(F.col("feature").isin(list(identity))).collect()]
-    names = sorted({*best, *groups, *(swapped({g}, identity, step).pop() for g in groups for step in SWAPS)})
-    column = {f: j for j, f in enumerate(names)}
+    held = counts.filter((F.col("a") + F.col("b") >= LEAST_ROWS) | F.col("feature").isin(list(identity))).toArrow()
+    p, q = (held.column(1).to_numpy() + 0.5) / (pos + 1), (held.column(2).to_numpy() + 0.5) / (neg + 1)
+    z = np.abs(p - q) / np.sqrt(p * np.abs(1 - p) / (pos + 1) + q * np.abs(1 - q) / (neg + 1) + 1e-12)
+    sure = dict(zip(held.column(0).to_pylist(), z.tolist(), strict=True))
+    for g in [g for g in identity if g in sure]:
+        for step in SWAPS:
+            sure.setdefault(swapped({g}, identity, step).pop(), 0.0)
+    names = sorted(sure)
+    penalty = np.append(ridge * np.maximum(1.0, SURE / np.maximum([sure[f] for f in names], 0.05)) ** 2, 0.0)
+    shared = spark.sparkContext.broadcast({f: j + 1 for j, f in enumerate(names)})
 
     def index(batches):
+        column = shared.value
         for batch in slices(batches, 8 << 20):
             xs, zs = [], []
             for t in batch.column(2).to_pylist():
                 words = words_of(t)
-                others = [swapped(words, identity, step) for step in SWAPS]
-                xs.append(sorted(column[f] for f in features(words) if f in column))
-                zs.append(None if others[0] is None else [sorted(column[f] for f in features(x) if f in column) for x in others])
+                own = {column[f] for f in features(words) if f in column}
+                xs.append(sorted(own))
+                others = [{column[f] for f in features(x) if f in column} for x in (swapped(words, identity, step) for step in SWAPS) if x is not None]
+                zs.append([[*sorted(own - o), *sorted(-j for j in o - own)] for o in others])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(xs, pa.list_(pa.int32())), pa.array(zs, pa.list_(pa.list_(pa.int32())))], names=["id", "y", "x", "z"])
 
-    table = rows.select(F.col("id").cast("long"), "y", "text").mapInArrow(index, "id long, y int, x array<int>, z array<array<int>>").toArrow().to_pylist()
-    table.sort(key=lambda r: (r["id"], r["y"], r["x"]))
+    table = rows.select(F.col("id").cast("long"), "y", "text").mapInArrow(index, "id long, y int, x array<int>, z array<array<int>>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     forget(rows)
-    return solve(names, [(r["x"], r["y"], r["z"]) for r in table], **how)
+    shared.destroy()
+
+    def lists(column, ones: bool) -> Lists:
+        column = column.combine_chunks()
+        return Lists.of(pc.list_flatten(column).to_numpy().astype(np.int64), pc.list_value_length(column).to_numpy().astype(np.int64), ones)
+
+    w = solve(lists(table.column("x"), True), table.column("y").to_numpy().astype(float), lists(pc.list_flatten(table.column("z")), False), penalty, **how)
+    return Model(float(w[-1]), dict(zip(names, w[:-1].tolist(), strict=True)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
@@ -185,7 +233,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score
     """
     ship(docs.sparkSession)
     base = docs.drop(score, predicted)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WORDS weights and the identity terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the features of at most MOST_TRAINING texts
     place = base.columns.index(text)
 
     def apply(batches):
