@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -144,14 +145,17 @@ def word_hashes(column: pa.Array, lower: bool, lanes: int = 1) -> tuple[list[np.
     if not len(starts):
         return [np.zeros(0, np.uint64) for _ in range(lanes)], bounds
     spans = np.diff(np.append(starts, n))
-    place = np.arange(starts[0], n) - np.repeat(starts, spans)
+    kind = np.int32 if n < 1 << 31 else np.int64  # arrays of a number per byte are the peak of memory here
+    place = np.arange(starts[0], n, dtype=kind)
+    place -= np.repeat(starts.astype(kind), spans)
     # bytes after a word's end are white space and weigh nothing
     tab = _LOW if lower else _BYTE
     out = []
-    lengths = np.add.reduceat(solid.astype(np.int64), starts).astype(np.uint64)
+    lengths = np.add.reduceat(solid, starts, dtype=np.uint64)
     for k in range(lanes):
-        value = tab[k][data[starts[0] :]] * powers(_BASE[k], int(spans.max()))[place]
-        value[~solid[starts[0] :]] = 0
+        value = tab[k][data[starts[0] :]]
+        value *= powers(_BASE[k], int(spans.max()))[place]
+        value *= solid[starts[0] :]
         out.append(mix(np.add.reduceat(value, starts - starts[0]) + lengths * np.uint64(0xA24BAED4963EE407)))
     return out, bounds
 
@@ -173,8 +177,16 @@ def window_hashes(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     return mix((prefix[k:] - prefix[:-k]) * powers(inverse, n))
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the system, for a worker is used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def slices(batches, most_bytes: int = 8 << 20, text: str = "text"):
-    """Record batches cut so that each holds at most about ``most_bytes`` of text (or one row)."""
+    """Record batches cut so that each holds at most about ``most_bytes`` of text (or one row); freed memory goes back after each batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -185,3 +197,5 @@ def slices(batches, most_bytes: int = 8 << 20, text: str = "text"):
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        del column, offsets, batch
+        release()

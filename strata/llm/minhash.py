@@ -108,7 +108,7 @@ def summaries(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
 
     def apply(batches):
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             sets = document_sets(batch.column(2), shingle)
             sizes = np.array([len(x) for x in sets], np.int64)
             some = sizes > 0
@@ -124,7 +124,7 @@ def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(id, shingles) of rows (id, sig, text) whose text has the set of that digest."""
 
     def apply(batches):
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             found = [(i, x) for i, sig, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), document_sets(batch.column(2), shingle), strict=True) if hashlib.blake2b(x.tobytes(), digest_size=16).digest() == sig]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))], names=["id", "shingles"])
 

@@ -30,6 +30,8 @@ from .common import _BASE, forget, mix, ship, slices, word_hashes, written
 WINDOW = 50
 #: Words of an anchor. A window holds WINDOW - ANCHOR + 1 of them.
 ANCHOR = 16
+#: Bytes of text that are hashed at a time; each takes some thirty bytes of memory meanwhile.
+SLICE = 1 << 19
 
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -94,7 +96,7 @@ def anchor_rows(base: DataFrame, window: int, k: int) -> DataFrame:
     """A row per anchor of (doc_id, tkey, text): its number and place in the text, its hash and that of the edge to the next one."""
 
     def apply(batches):
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, SLICE):
             (h, g), bounds = word_hashes(batch.column(2), lower=False, lanes=2)
             text, at, hashes = anchors(Words(h, 0), bounds, window, k)
             if not len(at):
@@ -203,27 +205,27 @@ def windows(marked: DataFrame, at: tuple[int, int, int, int], window: int) -> Da
     names = ["doc_id", "tkey", "text", "spans"]
 
     def apply(batches):
-        for whole in batches:
-            some = whole.filter(whole.column(at[3]).is_valid())
-            kept = pa.RecordBatch.from_arrays([some.column(c) for c in at], names=names)
-            for batch in slices([kept], 2 << 20):
-                (h, g), bounds = word_hashes(batch.column(2), lower=False, lanes=2)
-                spans = batch.column(3)
-                pairs = spans.flatten().to_numpy().reshape(-1, 2)
-                row = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()) // 2)
-                # a start too near to the end of its text has no window
-                first, last = pairs[:, 0], np.minimum(pairs[:, 1], np.diff(bounds)[row] - window)
-                n = np.maximum(last - first + 1, 0)
-                start = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                row = np.repeat(row, n)
-                if not len(start):
-                    continue
-                s = start + bounds[row]
-                x = Words(h, 0).spans(s, s + window).view(np.int64)
-                y = Words(g, 1).spans(s, s + window).view(np.int64)
-                where = pa.array(row)
-                out = [pa.array(x), pa.array((y & ~low) | start), batch.column(0).take(where), batch.column(1).take(where)]
-                yield from pa.Table.from_arrays(out, names=["h0", "x", "doc_id", "tkey"]).to_batches(max_chunksize=200_000)
+        for some in slices(batches, SLICE):
+            batch = pa.RecordBatch.from_arrays([some.column(c) for c in at], names=names).filter(some.column(at[3]).is_valid())
+            if not batch.num_rows:
+                continue
+            (h, g), bounds = word_hashes(batch.column(2), lower=False, lanes=2)
+            spans = batch.column(3)
+            pairs = spans.flatten().to_numpy().reshape(-1, 2)
+            row = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()) // 2)
+            # a start too near to the end of its text has no window
+            first, last = pairs[:, 0], np.minimum(pairs[:, 1], np.diff(bounds)[row] - window)
+            n = np.maximum(last - first + 1, 0)
+            start = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            row = np.repeat(row, n)
+            if not len(start):
+                continue
+            s = start + bounds[row]
+            x = Words(h, 0).spans(s, s + window).view(np.int64)
+            y = Words(g, 1).spans(s, s + window).view(np.int64)
+            where = pa.array(row)
+            out = [pa.array(x), pa.array((y & ~low) | start), batch.column(0).take(where), batch.column(1).take(where)]
+            yield from pa.Table.from_arrays(out, names=["h0", "x", "doc_id", "tkey"]).to_batches(max_chunksize=200_000)
 
     return marked.mapInArrow(apply, "h0 long, x long, doc_id long, tkey int")
 
@@ -266,7 +268,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> Da
     names = [c for c in docs.columns if c != "_tkey"]
 
     def apply(batches):
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 2 << 20):
             out: list[list] = [[], [], [], []]
             texts, s, c = (batch.column(batch.schema.get_field_index(x)) for x in ("text", "_starts", "_cuts"))
             for text, start, cut in zip(texts.to_pylist(), s, c, strict=True):
