@@ -21,6 +21,9 @@ _QUERIES = {
     "op7_toxicity": ("toxicity", ["documents", "labels"]),
     "op8_fingerprints": ("fingerprints", ["documents"]),
     "op9_sharding": ("sharding", ["documents"]),
+    "op11_sentencepiece": ("sentencepieces", ["documents"]),
+    "op12_spelling": ("spelling", ["documents"]),
+    "op13_periodic_runs": ("runs", ["documents"]),
 }
 
 
