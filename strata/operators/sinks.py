@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,5 +81,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="strata-shared-")
+        where = getattr(spark.sparkContext, "_strata_folder", None)
+        if not where:
+            folder = tempfile.mkdtemp(prefix="strata-shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            where = spark.sparkContext._strata_folder = f"file://{folder}"
     return where.rstrip("/")

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as T
 from strata.operators import evidence, html, registers, route, rules, units
-from strata.plans import drafting, formats, records, rulebook, stages
+from strata.plans import documents, drafting, formats, records, rulebook, stages
 from strata.plans.registry import oracle_sql, queries, query, read
 from strata.streaming import sessions
 
-__all__ = ["drafting", "formats", "oracle_sql", "queries", "read", "records", "rulebook", "stages"]
+__all__ = ["documents", "drafting", "formats", "oracle_sql", "queries", "read", "records", "rulebook", "stages"]
 
 _UNITS = r"""
 body AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
