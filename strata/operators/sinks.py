@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +88,10 @@ def shared_folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
             where = spark.sparkContext._strata_folder = f"file://{folder}"
     return where.rstrip("/")
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Cuts lineage by a Parquet table in the shared folder, for a table that several parts of a plan read; it outlives any executor."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strata.operators import grids, trees
+from strata.operators import grids, sinks, trees
 from strata.plans.registry import query, read
-from strata.sources import paratext
+from strata.sources import elements, paratext
 from strata.sources.packed import packed
 
 # Tables in record streams: an order is a document with one table, a line is a cell, some cells hold tables again
@@ -48,7 +49,7 @@ o AS (SELECT DISTINCT a.doc, a.table_at, a.cell_at FROM s a JOIN s b ON a.doc =
 @query(f"""WITH {_CELLS} SELECT doc, table_at, cell_at, (row_number() OVER (PARTITION BY doc, table_at ORDER BY cell_at) - 1)::INTEGER AS cell_no, row, col, row_span, column_span, row = 0 AS header, whole, paragraphs, o.cell_at IS NOT NULL AS overlaps
 FROM c LEFT JOIN o USING (doc, table_at, cell_at)""")
 def table_cells(spark, sf_dir):
-    p = grids.placed(_records(spark, sf_dir), "doc")
+    p = sinks.kept(grids.placed(_records(spark, sf_dir), "doc"), "placed")
     c = grids.cells(p, "doc")
     t = grids.table_fields(p.filter("tag = 'TABLE'"))
     return c.join(grids.swept(c, t, "doc").drop("slots"), ["doc", "table_at", "cell_at"]).withColumnRenamed("column", "col")
@@ -63,7 +64,7 @@ g AS (SELECT doc, table_at, count(DISTINCT cell_at) AS n_cells, count(DISTINCT (
 SELECT doc, table_at, (row_number() OVER (PARTITION BY doc ORDER BY table_at) - 1)::INTEGER AS table_no, rows, columns, declared, page_break, repeat_header, zones, CASE WHEN status = 'parsed' AND coalesce(n_cells, 0) <> declared THEN 'cell_count_mismatch' ELSE status END AS status,
 owner_at, owner_cell_at, coalesce(n_cells, 0) AS n_cells, coalesce(covered, 0) AS covered, coalesce(overlapping, 0) AS overlapping, caption_paragraphs FROM t LEFT JOIN g USING (doc, table_at) LEFT JOIN v USING (doc, table_at)""")
 def record_tables(spark, sf_dir):
-    return grids.tables(grids.placed(_records(spark, sf_dir), "doc"), "doc")
+    return grids.tables(sinks.kept(grids.placed(_records(spark, sf_dir), "doc"), "placed"), "doc")
 
 
 # Closures of any graph
@@ -121,3 +122,65 @@ def control_maps(spark, sf_dir):
     m = F.col("to_visible").cast("array<bigint>")
     total = F.aggregate(F.transform(m, lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b)
     return _tokenized(spark, sf_dir).select("doc_id", (F.size("to_visible") - 1).alias("units"), F.element_at("to_visible", -1).alias("width"), "payload_units", "malformed", total.alias("map_sum"), F.md5("visible").alias("visible_md5"))
+
+
+# Sections of XML as blocks and losses: a conversation is a section, a turn a child of its root, in eight forms
+
+_XML_TEXT = "replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_FORMS = [
+    f"'<p a=\"1\"><run><t>' || {_XML_TEXT} || '</t></run></p>'",
+    f"'<p><run><t>' || {_XML_TEXT} || '</t></run><run><hp:tbl rows=\"1\"><tr><tc><p><run><t>in</t></run><run><pic/></run></p></tc></tr></hp:tbl></run></p>'",
+    "'<p><run><rect><pic/><x><pic></pic></x></rect></run></p>'",
+    "'<p><!-- <ole/> --><run><rect><tbl><tr/></tbl><pic/></rect></run><run><ole/></run></p>'",
+    "'<p><run><container><ellipse/></container><equation/><t>end</t></run></p>'",
+    "'<tbl><tr><tc><p><run><t>cell</t></run></p></tc></tr></tbl>'",
+    "'<memo><p><run><t>lost</t></run></p></memo>'",
+    "'<p><run><t>a<tab/>b</t></run><p><run><t>nested</t></run><pic/></p><run><t>c</t></run>off</p>'",
+]
+#: What the forms above must give: kinds in order, text, losses.
+_FORM_BLOCKS = [["paragraph"], ["paragraph", "table"], ["paragraph", "picture", "picture"], ["paragraph", "drawing"], ["paragraph", "drawing"], ["table"], [], ["paragraph"]]
+_FORM_TEXTS = ["coalesce(text, '')", "coalesce(text, '')", "''", "''", "'end'", "NULL", "NULL", "'abc'"]
+_FORM_LOSSES = {3: "unsupported_object:ole", 4: "unsupported_object:equation", 6: "unsupported_section_child:memo"}
+_FORM = "CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_FORMS)) + " END"
+_TURNS = "SELECT conv_id, turn, min(text) AS text FROM {t} GROUP BY conv_id, turn"
+
+
+def _sections(spark, sf_dir):
+    turns = spark.sql(_TURNS.format(t="{c}"), c=read(spark, sf_dir, "conversations"))
+    piece = turns.select("conv_id", "turn", F.expr(_FORM).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda s: s["x"]), "")
+    tail = F.when(F.col("conv_id") % 9 == 0, "<p></run>").when(F.col("conv_id") % 11 == 0, "<p>").otherwise("")
+    return piece.groupBy("conv_id").agg(body.alias("x")).select("conv_id", F.concat(F.lit("<?xml version='1.0'?><sec>"), "x", tail, F.lit("</sec>")).alias("xml"))
+
+
+def _blocks(spark, sf_dir):
+    t = sinks.kept(elements.tokens(_sections(spark, sf_dir), "conv_id", "xml"), "tokens")
+    return elements.section_blocks(t, sinks.kept(elements.elements(t, "conv_id"), "elements"), "conv_id")
+
+
+@query(f"""WITH t AS ({_TURNS.format(t="conversations")}), f AS (SELECT *, (conv_id + turn) % 8 AS form FROM t WHERE conv_id % 9 <> 0 AND conv_id % 11 <> 0),
+b AS (SELECT *, CASE form {" ".join(f"WHEN {i} THEN {b}::VARCHAR[]" for i, b in enumerate(_FORM_BLOCKS))} END AS kinds, CASE form {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_FORM_TEXTS))} END AS body FROM f),
+u AS (SELECT conv_id, turn, body, unnest(kinds) AS kind, generate_subscripts(kinds, 1) AS i FROM b)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, i))::INTEGER AS block_no, kind, i > 1 AS anchored, CASE WHEN kind = 'paragraph' THEN body END AS text FROM u""")
+def section_blocks(spark, sf_dir):
+    blocks, _ = _blocks(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))
+    return blocks.select("conv_id", place.alias("block_no"), "kind", F.col("anchor").isNotNull().alias("anchored"), "text")
+
+
+@query(f"""WITH t AS ({_TURNS.format(t="conversations")}), l AS (SELECT conv_id, CASE (conv_id + turn) % 8 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in _FORM_LOSSES.items())} END AS loss FROM t WHERE conv_id % 9 <> 0 AND conv_id % 11 <> 0
+UNION ALL SELECT DISTINCT conv_id, 'xml_parse_failed' FROM t WHERE conv_id % 9 = 0 OR conv_id % 11 = 0)
+SELECT conv_id, loss, count(*) AS n FROM l WHERE loss IS NOT NULL GROUP BY ALL""")
+def section_losses(spark, sf_dir):
+    return _blocks(spark, sf_dir)[1]
+
+
+_REFS = r"CASE doc_id % 8 WHEN 0 THEN '&#1;' WHEN 1 THEN '&#x0;b' WHEN 2 THEN '&#55296;' WHEN 3 THEN '&#x110000;&#9;' WHEN 4 THEN '&#xfffe;&#xFFFD;' WHEN 5 THEN '&#99999999999999999999999;' WHEN 6 THEN '&#x41;&amp;&#10;' ELSE '' END"
+_BAD = r"&#0*(?:[0-8]|1[124-9]|2[0-9]|3[01]|5529[6-9]|55[3-9][0-9][0-9]|56[0-9]{3}|57[0-2][0-9]{2}|573[0-3][0-9]|5734[0-3]|6553[45]|111411[2-9]|11141[2-9][0-9]|1114[2-9][0-9]{2}|111[5-9][0-9]{3}|11[2-9][0-9]{4}|1[2-9][0-9]{5}|[2-9][0-9]{6}|[1-9][0-9]{7,});|&#x0*(?:[0-8bcBCeEfF]|1[0-9a-fA-F]|[dD][89a-fA-F][0-9a-fA-F]{2}|[fF]{3}[eEfF]|1[1-9a-fA-F][0-9a-fA-F]{4}|[2-9a-fA-F][0-9a-fA-F]{5}|[1-9a-fA-F][0-9a-fA-F]{6,});"
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(x, '{_BAD}', '&#xFFFD;', 'g')) AS md5, len(regexp_extract_all(x, '{_BAD}')) AS n FROM (SELECT doc_id, {_REFS} || coalesce(text, '') || {_REFS} AS x FROM documents)")
+def repaired_texts(spark, sf_dir):
+    x = F.expr(f"{_REFS} || coalesce(text, '') || {_REFS}")
+    r = read(spark, sf_dir, "documents").select("doc_id", elements.repaired(x).alias("r"))
+    return r.select("doc_id", F.md5("r.text").alias("md5"), F.col("r.n").cast("long").alias("n"))
