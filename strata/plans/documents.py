@@ -70,10 +70,10 @@ def record_tables(spark, sf_dir):
 # Closures of any graph
 
 
-_LINKS = "SELECT s_suppkey AS node, s_suppkey * 3 % 97 AS up FROM {t} UNION ALL SELECT s_suppkey, s_suppkey // 2 FROM {t} WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, NULL FROM {t} WHERE s_suppkey % 5 = 0"
+_LINKS = "SELECT s_suppkey AS node, s_suppkey * 2 % 31 AS up FROM {t} UNION ALL SELECT s_suppkey, s_suppkey // 2 FROM {t} WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, NULL FROM {t} WHERE s_suppkey % 5 = 0"
 
 
-@query(f"""WITH RECURSIVE e AS ({_LINKS.format(t="supplier")}), t AS (SELECT node, up AS ancestor, 1 AS depth FROM e WHERE up IS NOT NULL UNION SELECT t.node, e.up, t.depth + 1 FROM t JOIN e ON e.node = t.ancestor WHERE e.up IS NOT NULL AND t.depth < 16)
+@query(f"""WITH RECURSIVE e AS ({_LINKS.format(t="supplier")}), t AS (SELECT node, up AS ancestor, 1 AS depth FROM e WHERE up IS NOT NULL UNION SELECT t.node, e.up, t.depth + 1 FROM t JOIN e ON e.node = t.ancestor WHERE e.up IS NOT NULL AND t.depth < 60)
 SELECT node, ancestor, min(depth) AS depth FROM t GROUP BY ALL""")
 def graph_closure(spark, sf_dir):
     supplier = read(spark, sf_dir, "supplier")
