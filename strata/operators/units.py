@@ -5,11 +5,11 @@ from __future__ import annotations
 from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.shipping import ship
-from strata.functions.text import token_estimate
+from strata.functions.text import strip, token_estimate
 
 MOST, LEAST = 4000, 800
 
@@ -50,3 +50,44 @@ def search(units: DataFrame, term: str, limit: int = 8, preview: int = 1200) ->
     return found.orderBy("token_estimate", "doc_id", "unit_no").limit(limit)
 
 
+
+
+#: Suffixes that a document converter reads, those among them that are images, and the units of others than chunks.
+CONVERTED = (".pdf", ".pptx", ".docx", ".xlsx", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
+IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
+UNIT_TYPES = {".pptx": "slide", ".pdf": "page"}
+
+
+def _suffix(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))
+
+
+def intake_units(files: DataFrame, key: str, path: str, markdown: str) -> DataFrame:
+    """(key, unit_type, unit_no, heading, text, token_estimate) of converted files; heading is a unit's first line that is not blank, without # around it."""
+    suffix = _suffix(F.col(path))
+    ok = files.filter(suffix.isin(*CONVERTED) & F.col(markdown).isNotNull())
+    kind = F.coalesce(*[F.when(suffix == s, t) for s, t in UNIT_TYPES.items()], F.lit("chunk"))
+    units = chunk(ok.select(F.struct(F.col(key), kind.alias("unit_type")).alias("k"), F.col(markdown).alias("text")), "k", "text")
+    first = F.regexp_extract("unit_text", r"(?U)^\s*([^\n]*)", 1)
+    heading = strip(F.regexp_replace(first, r"^[# ]+|[# ]+$", ""))
+    return units.select(f"k.{key}", "k.unit_type", "unit_no", F.substring(heading, 1, 160).alias("heading"), F.col("unit_text").alias("text"), token_estimate(F.col("unit_text")).alias("token_estimate"))
+
+
+def intake_states(files: DataFrame, units: DataFrame, key: str, path: str, markdown: str, error: str) -> DataFrame:
+    """What became of every file, as columns of its inventory row: a failed conversion is a state and not an error.
+
+    A suffix that the converter does not read is not_supported; a named error gives docling_error with its name;
+    markdown without text needs_ocr. Units are counted from ``units``; pages and slides are counted as pages too.
+    """
+    n = units.groupBy(key).agg(F.count("*").alias("_n"))
+    f = files.join(n, key, "left")
+    suffix, units_n = _suffix(F.col(path)), F.coalesce("_n", F.lit(0))
+    reads, failed = suffix.isin(*CONVERTED), F.col(error).isNotNull()
+    base = F.concat(F.lit("references/normalized/"), F.col(key).cast("string"))
+    state = lambda no, bad, good: F.when(~reads, no).when(failed, bad).otherwise(good)
+    return f.select(
+        key, state("not_supported", "error", "normalized").alias("normalized_status"), state("not_supported", F.concat(F.lit("docling_error:"), F.col(error)), F.when(strip(F.coalesce(markdown, F.lit(""))) == "", "needs_ocr").otherwise("docling_parsed")).alias("parse_status"),
+        state("not_required", "unknown", F.when(suffix.isin(*IMAGES), "unknown").otherwise("not_required")).alias("ocr_status"), state("not_indexed", "not_indexed", "pending_index").alias("context_index_status"),
+        state("", "", units_n.cast("string")).alias("context_unit_count"), state("", "", F.when(suffix.isin(*UNIT_TYPES), units_n.cast("string")).otherwise("")).alias("page_count"),
+        state(F.lit(""), F.concat(base, F.lit("/manifest.json")), F.concat(base, F.lit("/manifest.json"))).alias("manifest_path"),
+    )
