@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.operators import geometry as G
-from strata.operators import html, numbering
+from strata.operators import html, numbering, sinks
 from strata.plans.registry import query, read
 from strata.sources import charsets
 from strata.sources import packed as P
+from strata.sources import shapes as S
 
 # Nested shapes: a part hangs below the part whose key is a tenth of its own; each is scaled, turned by quarters and moved
 
@@ -110,3 +111,60 @@ def decoded_pages(spark, sf_dir):
     header = F.when(kind == 3, 'text/html; Charset="UTF-16LE"; x=1').when(kind == 4, "text/html; charset=no-such-charset").when(kind == 5, "charset=iso-8859-1").otherwise("text/html")
     d = charsets.decoded(read(spark, sf_dir, "pages").select("page_id", body.alias("body"), charsets.declared(header).alias("named")), "body", "named")
     return d.select("page_id", "charset", F.md5("text").alias("md5"))
+
+
+# Style records: a part is a document with a shape of characters and one of paragraphs, and a border whose fill its key decides
+
+_FLAGS = "(p_partkey % 2) + (p_partkey % 3 % 2) * 2 + (p_partkey % 4) * 4 + (p_partkey % 19 % 16) * 16 + (p_partkey % 8) * 256 + (p_partkey % 3) * 2048 + (p_partkey % 6 // 3) * 262144 + (p_partkey % 9) * 2097152 + (p_partkey % 5 % 2) * 33554432 + (p_partkey % 17) % 16 * 67108864"
+_PARA_FLAGS = "(p_partkey % 8) * 4 + (p_partkey % 4) * 32 + (p_partkey % 2) * 128 + (p_partkey % 100) * 512 + (p_partkey % 3 % 2) * 524288 + (p_partkey % 4) * 1048576 + (p_partkey % 4) * 8388608 + (p_partkey % 7) * 33554432"
+
+
+def _name(names, code: str, other: str) -> str:
+    return f"coalesce(([{', '.join(repr(n) for n in names)}])[{code} + 1], '{other}')"
+
+
+def _hex(value: str) -> str:
+    return f"'#' || upper(lpad(to_hex({value}), 6, '0'))"
+
+
+@query(f"""SELECT p_partkey, 'char' AS kind, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE concat_ws('|', p_size * 100, (p_size + 6) % 65536, -(p_size % 10), p_partkey % 2 = 1, p_partkey % 3 % 2 = 1, {_name(S.UNDERLINES, "p_partkey % 4", "NONE")}, CASE WHEN p_partkey % 2 = 1 THEN {_name(S.LINE_SHAPES, "p_partkey % 19 % 16", "SOLID")} ELSE 'SOLID' END,
+{_name(S.OUTLINES, "p_partkey % 8", "NONE")}, {_name(S.SHADOWS, "p_partkey % 3", "NONE")}, CASE WHEN p_partkey % 6 >= 3 THEN {_name(S.LINE_SHAPES, "p_partkey % 17 % 16", "SOLID")} ELSE 'NONE' END, {_name(S.MARKS, "p_partkey % 9", "NONE")}, p_partkey % 5 % 2 = 1, {_hex("p_partkey % 256 * 65536 + p_size * 256 + 7")}, CASE WHEN p_partkey % 3 = 0 THEN 'none' ELSE '#000000' END, p_size) END AS fields FROM part
+UNION ALL SELECT p_partkey, 'para', CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE concat_ws('|', {_name(S.HORIZONTAL, "p_partkey % 8", "JUSTIFY")}, {_name(S.VERTICAL, "p_partkey % 4", "BASELINE")}, {_name(S.LATIN_BREAKS, "p_partkey % 4", "KEEP_WORD")}, CASE WHEN p_partkey % 2 = 1 THEN 'KEEP_WORD' ELSE 'BREAK_WORD' END, p_partkey % 100, p_partkey % 3 % 2 = 1, {_name(S.HEADINGS, "p_partkey % 4", "NONE")},
+CASE WHEN p_partkey % 4 = 0 OR p_partkey % 13 = 0 THEN 0 ELSE p_partkey % 1000 END, p_partkey % 7, -p_size, p_size * 10, CASE WHEN p_partkey % 3 = 0 THEN p_size * 7 ELSE p_size * 5 END, CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 0 END) END FROM part""")
+def style_shapes(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"))
+    k, s = F.col("p_partkey"), F.col("p_size")
+    seven = lambda v, w: [(v(i), w) for i in range(7)]
+    flags = lambda e: F.expr(e.replace("//", "div"))
+    char = P.packed(*seven(lambda i: s + i, 2), *seven(lambda i: 100, 1), *seven(lambda i: -(s % 10), 1), *seven(lambda i: 100, 1), *seven(lambda i: 0, 1), (s * 100, 4), (flags(_FLAGS), 4), (-1, 1), (1, 1), (k % 256 + s * 256 + 7 * 65536, 4), (0, 4), (F.when(k % 3 == 0, -1).otherwise(0), 4), (0, 4), (s, 2))
+    para = P.packed((flags(_PARA_FLAGS), 4), (-s, 4), (s * 10, 4), (0, 4), (0, 4), (0, 4), (s * 5, 4), (1, 2), (F.when(k % 13 == 0, 65535).otherwise(k % 1000), 2), (2, 2), (0, 8))
+    more = P.packed((0, 4), (0, 4), (s * 7, 4), (0, 4))
+    para = F.when(k % 3 == 0, F.concat(para, more)).otherwise(para)
+    short = lambda b, m: F.when(k % m == 0, F.substring(b, F.lit(1), F.lit(40))).otherwise(b)
+    bodies = sinks.kept(p.select("p_partkey", short(char, 10).alias("char"), short(para, 11).alias("para")), "shapes")
+    d = bodies.select("p_partkey", S.char_shape(F.col("char")).alias("c"), S.para_shape(F.col("para")).alias("q"))
+    texts = lambda c, names: F.when(F.col(c).isNotNull(), F.concat_ws("|", *[n.cast("string") for n in names]))
+    c, q = F.col("c"), F.col("q")
+    chars = texts("c", [c["height"], c["font_ref"][6], c["spacing"][0], c["italic"], c["bold"], c["underline"], c["underline_shape"], c["outline"], c["shadow"], c["strikeout"], c["sym_mark"], c["use_font_space"], c["text_color"], c["shade_color"], c["border_fill_id"]])
+    paras = texts("q", [q["horizontal"], q["vertical"], q["break_latin"], q["break_other"], q["condense"], q["page_break_before"], q["heading"], q["heading_ref"], q["heading_level"], q["left"], q["right"], q["line_spacing"], q["extension_bytes"]])
+    return d.select("p_partkey", F.lit("char").alias("kind"), chars.alias("fields")).union(d.select("p_partkey", F.lit("para"), paras))
+
+
+@query(f"""SELECT p_partkey, {_name(S.LINES, "p_partkey % 20", "NONE")} || ' ' || ([{', '.join(repr(w) for w in S.WIDTHS)}])[p_size % 16 + 1] || ' mm ' || CASE WHEN p_partkey % 4 = 0 THEN 'none' ELSE {_hex("p_size * 65536 + 515")} END AS left, {_name(S.SLASHES, "p_partkey % 8", "NONE")} AS slash, p_partkey % 3 = 1 AS crooked,
+CASE p_partkey % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'solid' WHEN 2 THEN 'gradation' WHEN 3 THEN 'image' WHEN 4 THEN 'none' WHEN 5 THEN 'gradation' ELSE 'unsupported' END AS type, CASE p_partkey % 7 WHEN 1 THEN '#010203,' || CASE WHEN p_size % 2 = 1 THEN 'none' ELSE '#04050607'[1:1] || '08' || '050607' END WHEN 2 THEN '#0A0B0C,#0D0E0F' ELSE '' END AS colors,
+CASE p_partkey % 7 WHEN 1 THEN {_name(S.HATCHES[1:], "p_size % 6", "")} WHEN 2 THEN {_name(S.GRADATIONS, "p_size % 6", "LINEAR")} WHEN 3 THEN {_name(S.MODES, "p_size % 17", "FIT_SIZE")} || '/' || {_name(S.EFFECTS, "p_size % 5", "REAL_PIC")} END AS style, CASE p_partkey % 7 WHEN 2 THEN '-' || p_size || ',50,60,9,' || CASE WHEN p_size % 3 = 0 THEN '77' ELSE '50' END WHEN 3 THEN '-5,7,' || p_size ELSE '' END AS numbers,
+CASE p_partkey % 7 WHEN 4 THEN 'truncated_fill_type' WHEN 5 THEN 'truncated_gradation_positions' WHEN 6 THEN 'unsupported_fill_type' ELSE 'parsed' END AS status FROM part""")
+def border_fills(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    head = P.packed((k % 8 * 4 + F.when(k % 3 == 1, 256).otherwise(0), 2), (k % 20, 1), (s % 16, 1), (F.when(k % 4 == 0, -1).otherwise(s + 2 * 256 + 3 * 65536), 4), (0, 8), (0, 8), (0, 8))
+    kind = k % 7
+    solid = P.packed((1, 4), (0x030201, 4), (F.when(s % 2 == 1, -1).otherwise(0x08070605), 4), (s % 6 + 1, 4), (0, 4))
+    grade = P.packed((4, 4), (s % 6, 1), (-s, 4), (50, 4), (60, 4), (9, 4), (2, 4), (0x0C0B0A, 4), (0x0F0E0D, 4), (F.when(s % 3 == 0, 1).otherwise(0), 4))
+    grade = F.concat(grade, F.when(s % 3 == 0, F.lit(b"\x4d")).otherwise(F.lit(b"")))
+    image = P.packed((2, 4), (s % 17, 1), (-5, 1), (7, 1), (s % 5, 1), (s, 2), (0, 4))
+    fill = F.when(kind == 0, P.packed((0, 4), (0, 4))).when(kind == 1, solid).when(kind == 2, grade).when(kind == 3, image).when(kind == 4, P.packed((0, 2))).when(kind == 5, P.packed((4, 4), (0, 17), (9, 4))).otherwise(P.packed((8, 4), (0, 4)))
+    d = read(spark, sf_dir, "part").select("p_partkey", F.concat(head, fill).alias("b"))
+    d = sinks.kept(d, "borders")
+    f, line, border = S.fill(F.col("b"), 32), S._line(F.col("b"), 2), P.number(F.col("b"), 0, 2)
+    d = d.select("p_partkey", f.alias("f"), line.alias("l"), S._named(S._bits(border, 2, 7), S.SLASHES, "NONE").alias("slash"), (S._bits(border, 8, 3) > 0).alias("crooked"))
+    return d.select("p_partkey", F.concat_ws(" ", "l.type", "l.width", "l.color").alias("left"), "slash", "crooked", "f.type", F.array_join("f.colors", ",").alias("colors"), "f.style", F.array_join("f.numbers", ",").alias("numbers"), "f.status")
