@@ -137,3 +137,20 @@ def shingles(c: Column, n: int) -> Column:
     words = F.filter(F.split(c, r"[ \t\n\r\f]+"), lambda w: w != "")
     runs = lambda ws: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
     return F.transform(F.array(words), runs)[0]
+
+
+#: What a field says that has no value.
+NO_VALUE = ("", "n/a", "na", "none", "null", "undecided", "미정")
+
+
+def clean_field(c: Column) -> Column:
+    """A field's value without back-ticks around it and without what follows a blank and #, (, // or |; empty where it says that there is none."""
+    bare = strip(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"^`+|`+$", ""))
+    value = strip(F.regexp_replace(bare, r"(?Us)\s+(?:#|\(|//|\|).*$", ""))
+    return F.when(F.lower(value).isin(*NO_VALUE), "").otherwise(value)
+
+
+def link_target(c: Column) -> Column:
+    """The target of the first markdown link, else the cell without blanks and back-ticks around it."""
+    target = F.regexp_extract(F.coalesce(c, F.lit("")), r"\]\(([^)]+)\)", 1)
+    return F.when(F.length(target) > 0, target).otherwise(F.regexp_replace(F.coalesce(c, F.lit("")), "^[` ]+|[` ]+$", ""))

@@ -18,6 +18,22 @@ _WRAPPER = r"(?i)</?(?:html|head|body)\b"
 _HASHES = "array<struct<path:string,sha256:string>>"
 
 
+#: Sections that a chapter's workpack must have, what an unfilled one shows, and how long it is at least.
+SECTIONS = ("Reader Decision", "Reader Takeaway", "Core Question", "Required Answer Boundary", "Paragraph Plan", "Evidence Inputs", "Claim Register Links", "Counterarguments", "Required Visuals", "Forbidden Claims", "Completion Checklist")
+UNFILLED = (r"-\s*chapter_id:\s*$", r"\|\s*\|\s*\|\s*\|", r"\|\s*1\s*\|\s*\|\s*\|\s*\|")
+LEAST_WORKPACK = 900
+
+
+def workpack_issues(text: Column) -> Column:
+    """What a workpack lacks, as texts: length, sections (the first six), filled-in placeholders."""
+    t = F.coalesce(text, F.lit(""))
+    lacks = F.filter(F.array(*[F.when(~F.contains(F.lower(t), F.lit(m.lower())), m) for m in SECTIONS]), lambda m: m.isNotNull())
+    short = F.length(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")) < LEAST_WORKPACK
+    empty = t.rlike("(?im)" + "|".join(UNFILLED))
+    missing = F.concat(F.lit("missing required workpack sections: "), F.array_join(F.slice(lacks, 1, 6), ", "))
+    return F.array_compact(F.array(F.when(short, "too short to guide rich chapter writing"), F.when(F.size(lacks) > 0, missing), F.when(empty, "contains unfilled template placeholders")))
+
+
 def _in(folder: str, names: str) -> Column:
     return F.col("path").rlike(rf"^{folder}/{names}$")
 
@@ -88,6 +104,9 @@ def findings(files: DataFrame, visuals: DataFrame, markers: list[str], presets:
     out.append(each(chapters, [finding("chapter_wrapped", F.col("text").rlike(_WRAPPER), key=c("path"))]))
     wanted = chapters.select("project", "path", F.concat(F.lit(f"{WORKPACKS}/"), stem, F.lit("_workpack.md")).alias("_w"))
     packs = files.select("project", F.col("path").alias("_w"))
+    if strict:
+        thin = files.filter(_in(WORKPACKS, r"ch[^/]*_workpack\.md")).select("project", "path", F.explode(workpack_issues(c("text"))).alias("_i"))
+        out.append(thin.select("project", F.lit(True).alias("gap"), F.lit("workpack_thin").alias("rule"), F.concat("path", F.lit(" ("), "_i", F.lit(")")).alias("key")))
     out.append(each(wanted.join(packs, ["project", "_w"], "left_anti"), [finding("chapter_without_workpack", F.lit(True), key=c("path"))]))
     # presets that the requirements name
     named = F.regexp_extract_all("text", F.lit(r"(?im)^\s*(?:[-*]\s*)?`?document_type_preset`?\s*[:：]\s*`?([A-Za-z0-9_.-]+)`?"), 1)

@@ -72,7 +72,28 @@ def pdf_state(content: Column, least: int = 4096, markers: tuple[str, ...] = DUM
 
 
 def stub_heading(text: Column, head: int = 300) -> Column:
-    return F.substring(F.coalesce(text, F.lit("")), 1, head).rlike(STUB_HEADING)
+    """Whether a bracketed heading stands within the first bytes of a text; a character cut by the bound is replaced."""
+    raw = F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, head)
+    return F.make_valid_utf8(raw.cast("string")).rlike(STUB_HEADING)
+
+
+def file_originality(path: Column, there: Column, size: Column, text: Column, least: int = 1024) -> Column:
+    """What a kept file's text says about its being an original, by the file first: missing, non_txt_original, received_too_small, then as ``original_state`` says."""
+    small = path.rlike(r"(^|[/\\])received_originals[/\\]") & (size < least)
+    return F.when(~F.coalesce(there, F.lit(False)), "missing").when(suffix(path) != "txt", "non_txt_original").when(small, "received_too_small").otherwise(original_state(text))
+
+
+#: Suffixes that may leave the project, parts of paths that keep a file in it, and why.
+SAFE_SUFFIXES = ("html", "json", "md", "csv", "xlsx", "xls", "tsv", "pdf", "docx")
+ORIGINALS, SECRETS = ("received_originals", "preserved_originals"), (".env", "cookie", "secret", "token")
+REASONS = ("preserved originals require separate explicit approval", "potential secret-like path", "file type is not in default cloud handoff allowlist")
+
+
+def handoff(path: Column, suffixes: tuple[str, ...] = SAFE_SUFFIXES) -> Column:
+    """(include, reason) of a file: left out as an original, as like a secret, which goes before, or for its suffix; empty reason where it may leave."""
+    low = F.lower(F.coalesce(path, F.lit("")))
+    why = F.when(any_of(low, SECRETS), REASONS[1]).when(any_of(low, ORIGINALS), REASONS[0]).when(suffix(path).isin(*suffixes), "").otherwise(REASONS[2])
+    return F.struct((why == "").alias("include"), why.alias("reason"))
 
 
 def without_private(df: DataFrame, parts: tuple[str, ...] = PRIVATE_COLUMNS) -> DataFrame:

@@ -91,3 +91,15 @@ def intake_states(files: DataFrame, units: DataFrame, key: str, path: str, markd
         state("", "", units_n.cast("string")).alias("context_unit_count"), state("", "", F.when(suffix.isin(*UNIT_TYPES), units_n.cast("string")).otherwise("")).alias("page_count"),
         state(F.lit(""), F.concat(base, F.lit("/manifest.json")), F.concat(base, F.lit("/manifest.json"))).alias("manifest_path"),
     )
+
+
+def search_intake(units: DataFrame, term: str, limit: int = 8, preview: int = 1200) -> DataFrame:
+    """Units whose text or heading is like %term% in lower case, % and _ standing for anything; cheapest first, those without an estimate last, ties by id and number.
+
+    ``units`` are (reference_id, unit_type, unit_no, heading, text, token_estimate, unit_path) as texts.
+    """
+    pattern = f"%{term.lower()}%".replace("\\", "\\\\")
+    like = lambda c: F.lower(F.coalesce(c, F.lit(""))).like(pattern)
+    cost = F.nullif("token_estimate", F.lit("")).try_cast("int")
+    rows = units.filter(like("text") | like("heading")).select("reference_id", "unit_type", "unit_no", "heading", "token_estimate", "unit_path", F.substring("text", 1, preview).alias("text_preview"))
+    return rows.orderBy(cost.asc_nulls_last(), "reference_id", F.col("unit_no").cast("int")).limit(limit)

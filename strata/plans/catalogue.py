@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as T
 from strata.operators import evidence, html, registers, route, rules, units
-from strata.plans import documents, drafting, formats, layouts, projects, records, rulebook, sources, stages, stores
+from strata.plans import documents, drafting, formats, handling, layouts, projects, records, rulebook, sources, stages, stores
 from strata.plans.registry import oracle_sql, queries, query, read
 from strata.streaming import sessions
 
-__all__ = ["documents", "drafting", "formats", "layouts", "oracle_sql", "projects", "queries", "read", "records", "rulebook", "sources", "stages", "stores"]
+__all__ = ["documents", "drafting", "formats", "handling", "layouts", "oracle_sql", "projects", "queries", "read", "records", "rulebook", "sources", "stages", "stores"]
 
 _UNITS = r"""
 body AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),

@@ -52,6 +52,7 @@ UNION ALL SELECT project, true, 'data_missing', '' FROM f WHERE plan AND planned
 UNION ALL SELECT project, true, 'pass_unexpected', '' FROM f WHERE chapters AND plan AND planned AND data AND pass AND assembled AND (listed IS NULL OR listed NOT IN ('', 'reports/visual_pass_manifest.json')) UNION ALL SELECT project, false, 'pass_not_listed', '' FROM f WHERE chapters AND plan AND planned AND data AND pass AND assembled AND listed = ''
 UNION ALL SELECT project, true, 'pass_not_there', '' FROM f WHERE chapters AND plan AND planned AND data AND NOT pass AND assembled AND coalesce(listed, '') <> ''
 UNION ALL SELECT project, true, 'chapter_wrapped', path FROM c WHERE contains(text, '<body') UNION ALL SELECT project, true, 'chapter_without_workpack', path FROM c WHERE NOT EXISTS (SELECT 1 FROM files w WHERE w.project = c.project AND w.path = replace(replace(c.path, 'chapters/', 'chapter_workpacks/'), '.html', '_workpack.md'))
+UNION ALL SELECT project, true, 'workpack_thin', path || ' (' || unnest(['too short to guide rich chapter writing', 'missing required workpack sections: Reader Decision, Reader Takeaway, Core Question, Required Answer Boundary, Paragraph Plan, Evidence Inputs']) || ')' FROM files WHERE path LIKE '%workpacks/%'
 UNION ALL SELECT project, true, 'preset_unsupported', string_agg(DISTINCT v, ', ' ORDER BY v) FROM (SELECT project, regexp_extract(text, 'document_type_preset`?: `?([A-Za-z.]+)', 1) AS v FROM files WHERE path LIKE 'report_prd/%') WHERE lower(v) <> 'undecided' AND v <> 'memo' GROUP BY project
 UNION ALL SELECT project, true, 'external_scripts', string_agg(path, ', ' ORDER BY path LIKE 'reports/chapters/%', path) FROM files WHERE (path = 'reports/final.html' OR path LIKE 'reports/chapters/%') AND contains(text, '<script') AND project IN (SELECT project FROM f WHERE assembled) GROUP BY project
 UNION ALL SELECT project, true, 'chapter_changed', path FROM c JOIN f USING (project) WHERE assembled AND hashes > 0 AND coalesce(json_extract_string(m, '$.chapter_integrity[0].path') <> path OR json_extract_string(m, '$.chapter_integrity[0].sha256') <> sha256(text), true)

@@ -76,9 +76,16 @@ def original_state(spark, sf_dir):
     return _notes(spark, sf_dir).select("doc_id", Q.original_state(F.col("text")).alias("state"))
 
 
-@query(rf"""WITH n AS ({_NOTES}) SELECT doc_id, regexp_matches(substr(text, 1, 300), '{Q.STUB_HEADING}') AS stub FROM n""")
+#: Headings after some characters of three bytes, so that the bound of 300 bytes falls before, within and behind them.
+_LATE = "repeat('가', (doc_id % 30 + 80)::INTEGER) || chr(10) || '[Market Overview]' || chr(10) || text"
+
+
+@query(rf"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN {_LATE} ELSE text END AS text FROM ({_NOTES}))
+SELECT doc_id, regexp_matches(left(text, list_max(list_filter(range(0, 301), lambda n: strlen(left(text, n)) <= 300))), '{Q.STUB_HEADING}') AS stub FROM n""")
 def stub_headings(spark, sf_dir):
-    return _notes(spark, sf_dir).select("doc_id", Q.stub_heading(F.col("text")).alias("stub"))
+    late = F.concat(F.repeat(F.lit("가"), (F.col("doc_id") % 30 + 80).cast("int")), F.lit("\n[Market Overview]\n"), "text")
+    text = F.when(F.col("doc_id") % 5 == 4, late).otherwise(F.col("text"))
+    return _notes(spark, sf_dir).select("doc_id", Q.stub_heading(text).alias("stub"))
 
 
 @query(f"""WITH f AS (SELECT page_id, html, (['%PDF-1.7 ', '%PDF-1.4 % Dummy PDF ', 'x', '%PDF-1.7 % Placeholder PDF '])[(page_id % 4 + 1)::INTEGER] || repeat(coalesce(html, ''), 4) || CASE WHEN page_id % 3 = 0 THEN '' ELSE '%%EOF' END AS t FROM pages),

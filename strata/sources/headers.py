@@ -88,6 +88,19 @@ def first_column_ids(text: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+def named_ids(text: Column, heading: str, hint: str) -> Column:
+    """Distinct ids in the first column of the pipe table in a named section, sorted.
+
+    The section goes from its heading, numbered or not, to the next one of any level from two. A first cell is no id
+    if it is empty, a rule of dashes and colons, has a blank in it, or holds the column's own name ``hint``.
+    """
+    part = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?ims)^##+[ \t]*(?:\d+\.[ \t]*)?{heading}[^\n]*\n(.*?)(?=^##|\z)", 1)
+    lines = F.regexp_extract_all(part, F.lit(r"(?m)^[ \t]*\|([^|\n]*)\|(?:[^\n]*\|)?[ \t]*$"), 1)
+    cells = F.transform(lines, lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), "^`+|`+$", ""))
+    ok = lambda c: (c != "") & ~c.rlike("^[-:]+$") & ~c.contains(" ") & ~F.contains(F.lower(c), F.lit(hint))
+    return F.array_sort(F.array_distinct(F.filter(cells, ok)))
+
+
 def merged(*layers: str | dict | None) -> dict:
     """Configuration layers, later ones first in rank, nested objects merged; a layer that is no JSON object counts as empty."""
     out: dict = {}
