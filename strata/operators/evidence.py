@@ -22,38 +22,66 @@ def held(texts: DataFrame, quotes: DataFrame, text: str, quote: str, place: str)
     runs over its texts once, whatever the number of quotes in it. Quotes beyond one block take more passes.
     Nulls and empty quotes are in no text.
     """
+    return _passes(texts, quotes, text, quote, place, every=False).groupBy("_q").agg(F.min("_place").alias("_place"))
+
+
+def occurrences(texts: DataFrame, quotes: DataFrame, text: str, quote: str, place: str) -> DataFrame:
+    """(_q, _place): every distinct quote with every place whose text contains it, by the same passes as ``held``."""
+    return _passes(texts, quotes, text, quote, place, every=True)
+
+
+def _passes(texts: DataFrame, quotes: DataFrame, text: str, quote: str, place: str, every: bool) -> DataFrame:
     ship(texts.sparkSession)
     q = quotes.select(F.col(quote).alias("_q")).filter(F.length("_q") > 0).distinct()
     t = texts.select(F.col(place).alias("_place"), F.col(text).alias("_t")).filter("_place is not null and _t is not null")
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_q")), F.lit(0)).alias("b")).collect()[0]
-    blocks = max(1, -(-size["n"] // MOST_QUOTES), -(-size["b"] // MOST_QUOTE_BYTES))
+    blocks = max(1, -(-size["n"] // max(1, MOST_QUOTES)), -(-size["b"] // MOST_QUOTE_BYTES))
+    kind = t.schema["_place"].dataType.simpleString()
     found = []
     for b in range(blocks):
         part = q.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b) if blocks > 1 else q
-        kind = t.schema["_place"].dataType.simpleString()
-        found.append(t.mapInArrow(_scan([r["_q"] for r in part.collect()], pa.string() if kind == "string" else pa.int64()), f"_q string, _place {'string' if kind == 'string' else 'long'}"))
-    return reduce(DataFrame.unionByName, found).groupBy("_q").agg(F.min("_place").alias("_place"))
+        needles = texts.sparkSession.sparkContext.broadcast([r["_q"] for r in part.collect()])
+        found.append(t.mapInArrow(_scan(needles, pa.string() if kind == "string" else pa.int64(), every), f"_q string, _place {'string' if kind == 'string' else 'long'}"))
+    return reduce(DataFrame.unionByName, found)
+
 
+def _scan(needles, kind: pa.DataType, every: bool):
+    """Runs an automaton of the broadcast needles over (place, text); each pair, or each needle's least place in the task."""
 
-def _scan(needles: list[str], kind: pa.DataType):
     def apply(batches):
         import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for i, x in enumerate(needles):
+        words, machine = needles.value, ahocorasick.Automaton()
+        for i, x in enumerate(words):
             machine.add_word(x, i)
-        least: dict = {}
-        if needles:
+        if words:
             machine.make_automaton()
-            for batch in batches:
-                for at, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for i in {i for _, i in machine.iter(body)}:
-                        least[i] = min(at, least.get(i, at))
-        yield pa.RecordBatch.from_arrays([pa.array([needles[i] for i in least], pa.string()), pa.array(list(least.values()), kind)], names=["_q", "_place"])
+        least: dict = {}
+        for batch in batches if words else ():
+            hits = [(i, at) for at, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i in {i for _, i in machine.iter(body)}]
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i, _ in hits], pa.string()), pa.array([at for _, at in hits], kind)], names=["_q", "_place"])
+                continue
+            for i, at in hits:
+                least[i] = min(at, least.get(i, at))
+        yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in least], pa.string()), pa.array(list(least.values()), kind)], names=["_q", "_place"])
 
     return apply
 
 
+def anchored(quotes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(key, _place) of the quotes (key, _q, _a) that texts (_place, _t, _in) contain, met by their anchors.
+
+    A quote's anchor is among the values ``_in`` of every text that contains it. Anchors travel with places
+    only, and each pair of quote and place is made once; texts and quotes come to their pairs afterwards, so
+    that no text is shuffled with its anchors.
+    """
+    spots = texts.select("_place", F.explode(F.array_distinct("_in")).alias("_a"))
+    pairs = spots.join(quotes.select(key, "_a"), "_a").select(key, "_place").distinct()
+    near = pairs.join(quotes.select(key, "_q"), key).join(texts.select("_place", "_t"), "_place")
+    return near.filter(F.contains("_t", F.col("_q"))).select(key, "_place").distinct()
+
+
 def _anchor_words(c):
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
@@ -74,10 +102,9 @@ def supported(quotes: DataFrame, evidence: DataFrame, key: str, quote: str = "te
         return q.join(held(here, q, "_t", "_q", "_at"), "_q").select(key).distinct()
     words = _anchor_words(F.col("_q"))
     long = q.withColumn("_w", words).filter(F.size("_w") >= ANCHOR + 2).withColumn("_a", F.array_join(F.slice("_w", 2, ANCHOR), " ")).drop("_w")
-    texts = e.withColumn("_w", _anchor_words(F.col("_t")))
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1), lambda i: F.array_join(F.slice("_w", i, ANCHOR), " ")))
-    texts = texts.filter(F.size("_w") >= ANCHOR).select("_t", F.explode(shingles).alias("_a"))
-    found = texts.join(long, "_a").filter(F.contains("_t", F.col("_q"))).select(key)
+    texts = e.select(F.xxhash64("_t").alias("_place"), "_t", _anchor_words(F.col("_t")).alias("_w")).filter(F.size("_w") >= ANCHOR)
+    shingles = F.transform(F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1), lambda i: F.array_join(F.slice("_w", i, ANCHOR), " "))
+    found = anchored(long, texts.select("_place", "_t", shingles.alias("_in")), key).select(key)
     short = q.filter(F.size(words) < ANCHOR + 2)
     return found.union(short.join(held(here, short, "_t", "_q", "_at"), "_q").select(key)).distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.evidence import held
+from strata.operators.evidence import anchored, held
 
 #: Quotes up to this count and size are broadcast; more meet the texts by their anchors.
 MOST_QUOTES, MOST_QUOTE_BYTES = 20_000, 8 << 20
@@ -99,8 +99,7 @@ def first_holder(quotes: DataFrame, texts: DataFrame, key: str, quote: str, plac
     if size["n"] <= MOST_QUOTES and size["b"] <= MOST_QUOTE_BYTES:
         found = rest.select(key, "_q").join(held(t, rest, "_t", "_q", "_place"), "_q").groupBy(key).agg(F.min("_place").alias("_held"))
     else:
-        pairs = rest.join(t.select("_place", "_t", F.explode(F.array_distinct("_in")).alias("_a")), "_a").filter(F.contains("_t", F.col("_q")))
-        found = pairs.groupBy(key).agg(F.min("_place").alias("_held"))
+        found = anchored(rest, t.filter("_place is not null"), key).groupBy(key).agg(F.min("_place").alias("_held"))
     if unanchored:
         loose = left.filter(F.col("_a").isNull() & F.col("_q").isNotNull())
         loose = loose.select(key, "_q").join(held(t, loose, "_t", "_q", "_place"), "_q").select(key, F.col("_place").alias("_held"))

@@ -8,23 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import fold_key
+from strata.operators.evidence import occurrences
 
 #: Weight of a hit by the cue's kind (fixed values).
 WEIGHTS = {"example": 6.0, "description": 4.0, "direct": 3.0, "positive": 2.0, "negative": -3.0}
-LEAST_SCORE, MARGIN, MOST_CUES = 2.5, 1.5, 10_000
+LEAST_SCORE, MARGIN = 2.5, 1.5
 
 
 def route(requests: DataFrame, cues: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, outcome, target, score): matched, ambiguous (below the least score, or others within the margin) or not_found.
 
     cues: target, position, kind, cue. A target counts if its cues sum to more than 0; without one, a request
-    is not found. The catalogue is configuration: one beyond MOST_CUES rows is refused. Scores sum per
-    target, and a request's targets are compared by aggregates, not by sorting all requests.
+    is not found. Cues are found in one pass of an automaton over the requests, more of them in more passes;
+    a null or empty cue counts for nothing. Scores sum per target, and a request's targets are compared by
+    aggregates, not by sorting all requests.
     """
-    if cues.limit(MOST_CUES + 1).count() > MOST_CUES:
-        raise ValueError("a catalogue of cues must be a small table")
     weight = F.element_at(F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
-    hits = requests.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("_t")).join(F.broadcast(cues.withColumn("_w", weight)), F.contains("_t", F.lower("cue")))
+    low = cues.select("target", "position", weight.alias("_w"), F.lower("cue").alias("_q"))
+    texts = requests.select(F.to_json(F.struct(key)).alias("_k"), F.lower(F.coalesce(text, F.lit(""))).alias("_t"))
+    keys = requests.select(key, F.to_json(F.struct(key)).alias("_place")).distinct()
+    hits = occurrences(texts, low, "_t", "_q", "_k").join(low, "_q").join(keys, "_place")
     scores = hits.groupBy(key, "target", "position").agg(F.sum("_w").alias("score")).filter("score > 0")
     w = Window.partitionBy(key)
     ranked = scores.withColumn("_best", F.max(F.struct("score", (-F.col("position")).alias("p"), "target")).over(w))
