@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -61,14 +62,33 @@ def markdown_ids(spark, sf_dir):
     return _sheets(spark, sf_dir).select("path", F.array_join(headers.first_column_ids(F.col("text"), "[0-9]+"), ",").alias("ids"))
 
 
-_HEADERS = ["Source_ID", " 원본 자료명 (국문)", "**Title**", "`Readiness`", "URL or path", "Reliability tier", "발행 기관", "Something Else", "claim_id", "주장 유형"]
-_CANONICAL = ["source_id", "title", "title", "status", "url_or_path", "reliability_tier", "publisher", "something_else", "claim_id", "claim_type"]
+#: Every mark of the five rule lists stands in the headers of some parts, among words of the part's name.
+_MARKS = {k: [m.lstrip("=^") for _, marks in rules for m in marks] for k, rules in headers.RULES.items()}
 
 
-@query("WITH h(header, name) AS (VALUES " + ", ".join(f"('{h}', '{c}')" for h, c in zip(_HEADERS, _CANONICAL, strict=True)) + ") SELECT n_nationkey, header, name FROM nation, h")
+def _header(rules: str) -> str:
+    marks = _MARKS[rules]
+    pick = "CASE p_partkey % {} ".format(len(marks) + 2) + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(marks)) + " ELSE 'note' END"
+    return f"CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' **' ELSE split_part(p_name, ' ', 1) || '  ' END || CASE WHEN p_partkey % 5 = 0 THEN upper({pick}) WHEN p_partkey % 5 = 1 THEN replace({pick}, '_', ' ') ELSE {pick} END || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '` ' ELSE ' (' || p_brand || ')' END"
+
+
+def _rule_sql(rules: str) -> str:
+    def hit(m: str) -> str:
+        return f"t = '{m[1:]}'" if m[0] == "=" else f"starts_with(t, '{m[1:]}')" if m[0] == "^" else f"contains({'t' if ' ' in m else 'c'}, '{m}')"
+
+    return "CASE " + " ".join(f"WHEN {' OR '.join(map(hit, marks))} THEN '{name}'" for name, marks in headers.RULES[rules]) + " ELSE c END"
+
+
+@query(
+    "WITH h AS (" + " UNION ALL ".join(f"SELECT p_partkey, '{k}' AS rules, {_header(k)} AS header FROM part" for k in headers.RULES)
+    + r"), t AS (SELECT *, lower(regexp_replace(regexp_replace(trim(header), '^`+|`+$', '', 'g'), '^\*+|\*+$', '', 'g')) AS u, trim(u) AS t, regexp_replace(trim(u), '\s+', '_', 'g') AS c FROM h) SELECT p_partkey, rules, CASE rules "
+    + " ".join(f"WHEN '{k}' THEN {_rule_sql(k)}" for k in headers.RULES) + " END AS name FROM t"
+)
 def header_names(spark, sf_dir):
-    h = F.explode(F.array(*map(F.lit, _HEADERS))).alias("header")
-    return read(spark, sf_dir, "nation").select("n_nationkey", h).select("n_nationkey", "header", headers.canonical(F.col("header"), "integrity").alias("name"))
+    part = read(spark, sf_dir, "part")
+    made = sinks.kept(reduce(lambda a, b: a.unionByName(b), [part.select("p_partkey", F.lit(k).alias("rules"), F.expr(_header(k)).alias("header")) for k in headers.RULES]), "headers")
+    lists = [made.filter(F.col("rules") == k).select("p_partkey", "rules", headers.canonical(F.col("header"), k).alias("name")) for k in headers.RULES]
+    return reduce(lambda a, b: a.unionByName(b), lists)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{}' WHEN event_id % 4 = 1 THEN '{}' ELSE props END AS body FROM events")
@@ -77,24 +97,24 @@ def json_objects(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", headers.json_object(F.when(i % 4 == 0, "not json {").when(i % 4 == 1, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("props"))).alias("body"))
 
 
-@query("SELECT event_id, event_type, event_id % 10 = 3 AS second FROM events WHERE event_id % 10 IN (1, 3)")
+@query("SELECT event_id, event_type, event_id % 2 = 1 AS second FROM events")
 def event_log(spark, sf_dir):
     """A log of JSON lines, appended to twice, with lines that do not parse; its CSV mirror holds the same rows."""
-    path, e = _path(spark), read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 10 == 3).alias("second"))
-    for rest in (1, 3):
-        S.append_events(e.filter(F.col("event_id") % 10 == rest), path, mirror=path + "-csv")
+    path, e = _path(spark), read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 2 == 1).alias("second"))
+    for rest in (0, 1):
+        S.append_events(e.filter(F.col("event_id") % 2 == rest), path, mirror=path + "-csv")
     spark.createDataFrame([("not json",), ("",)], "value string").write.mode("append").text(path)
     log = S.read_events(spark, path, "event_id long, event_type string, second boolean")
     mirror = S.read_csv(spark, path + "-csv").select(F.col("event_id").cast("long").alias("event_id"))
     return log.join(mirror, "event_id", "left_semi")
 
 
-@query("SELECT count(DISTINCT text) AS contents, count(DISTINCT text) FILTER (doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND doc_id < 40 AND text IS NOT NULL)) AS fresh FROM documents WHERE doc_id < 40 AND text IS NOT NULL")
+@query("SELECT count(DISTINCT text) AS contents, count(DISTINCT text) FILTER (item_id % 2 = 1 AND text NOT IN (SELECT text FROM benchmark WHERE item_id % 2 = 0 AND text IS NOT NULL)) AS fresh FROM benchmark WHERE text IS NOT NULL")
 def files_by_hash(spark, sf_dir):
-    """A file per text of the first documents, found by hash; those whose hash the inventory lacks are new."""
+    """A file per text of the benchmark, found by hash; those whose hash the inventory lacks are new."""
     path = _path(spark)
-    d = read(spark, sf_dir, "documents").filter("doc_id < 40 and text is not null").select((F.col("doc_id") % 2).alias("half"), "doc_id", "text")
-    d.repartition(40, "doc_id").write.partitionBy("half", "doc_id").option("lineSep", "\x01").text(path)
+    d = read(spark, sf_dir, "benchmark").filter("text is not null").select((F.col("item_id") % 2).alias("half"), "item_id", "text")
+    d.repartition("item_id").write.partitionBy("half", "item_id").option("lineSep", "\x01").text(path)
     found = S.files_by_hash(spark, path)
     known = found.filter(F.col("path").contains("half=0"))
     fresh = S.new_files(found.filter(F.col("path").contains("half=1")), known)

@@ -152,7 +152,7 @@ def first_field(spark, sf_dir):
     return _tables(spark, sf_dir).select("conv_id", korean.field(F.col("t"), ("status",)).alias("status"))
 
 
-_KOREAN = "SELECT doc_id, (['신문처럼 쓴 보고서로', '친구에게 같은 문서', 'Report형 하게끔 글', '으로 로'])[(doc_id % 4 + 1)::INTEGER] || ' ' || substr(coalesce(text, ''), 1, 200) AS q FROM documents"
+_KOREAN = "SELECT doc_id, (['신문처럼 쓴 보고서로', '친구에게 같은 문서', 'Report형 하게끔 글', '으로 로'])[(doc_id % 4 + 1)::INTEGER] || ' ' || coalesce(text, '') AS q FROM documents"
 
 
 _BARE = "x"
@@ -160,11 +160,11 @@ for _e in korean.ENDINGS:
     _BARE = f"regexp_replace({_BARE}, '^(.{{2,}}){_e}$', '\\1')"
 
 
-@query(f"""WITH k AS ({_KOREAN}) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower(q), '[0-9a-z가-힣]+'), lambda x: {_BARE}), lambda x: length(x) >= 2))), ' ') AS tokens FROM k""")
+@query(f"""WITH k AS ({_KOREAN}) SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_distinct(regexp_extract_all(lower(q), '[0-9a-z가-힣]+')), lambda x: {_BARE}), lambda x: length(x) >= 2))), ' ') AS tokens FROM k""")
 def korean_tokens(spark, sf_dir):
     heads = ("신문처럼 쓴 보고서로", "친구에게 같은 문서", "Report형 하게끔 글", "으로 로")
     head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 4 + 1).cast("int"))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("q"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
     return d.select("doc_id", F.array_join(F.array_sort(korean.cue_tokens(F.col("q"))), " ").alias("tokens"))
 
 

@@ -49,15 +49,19 @@ RULES: dict[str, list[tuple[str, list[str]]]] = {
 def canonical(header: Column, rules: str) -> Column:
     """The canonical name of a header; one that no rule knows is its lower case with blanks as underscores."""
     text = F.lower(clean_cell(F.coalesce(header, F.lit(""))))
-    compact = F.regexp_replace(text, r"\s+", "_")
-    test = {"=": lambda m: text == m[1:], "^": lambda m: text.startswith(m[1:])}
-    out = compact
-    for name, marks in reversed(RULES[rules]):
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | (test[m[0]](m) if m[0] in test else F.contains(text if " " in m else compact, F.lit(m)))
-        out = F.when(hit, name).otherwise(out)
-    return out
+
+    def named(t: Column) -> Column:
+        compact = F.regexp_replace(t, r"\s+", "_")
+        test = {"=": lambda m: t == m[1:], "^": lambda m: t.startswith(m[1:])}
+        out = compact
+        for name, marks in reversed(RULES[rules]):
+            hit = F.lit(False)
+            for m in marks:
+                hit = hit | (test[m[0]](m) if m[0] in test else F.contains(t if " " in m else compact, F.lit(m)))
+            out = F.when(hit, name).otherwise(out)
+        return out
+
+    return F.transform(F.array(text), named)[0]  # the cleaned header is bound once, not cleaned for every mark
 
 
 def rename(register: DataFrame, rules: str) -> DataFrame:
