@@ -48,9 +48,10 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
-def replace_table(df: DataFrame, table: str) -> None:
-    """Creates or replaces a session-catalogue table of varchar columns."""
-    as_text(df).write.mode("overwrite").saveAsTable(table)
+def replace_table(df: DataFrame, table: str, path: str | None = None) -> None:
+    """Creates or replaces a session-catalogue table of varchar columns, in the warehouse or at a path."""
+    out = as_text(df).write.mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(table)
 
 
 def digest(df: DataFrame) -> Column:

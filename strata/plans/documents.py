@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import grids, sinks, trees
 from strata.plans.registry import query, read
-from strata.sources import elements, paratext
+from strata.sources import containers, elements, paratext
 from strata.sources.packed import packed
 
 # Tables in record streams: an order is a document with one table, a line is a cell, some cells hold tables again
@@ -184,3 +184,24 @@ def repaired_texts(spark, sf_dir):
     x = F.expr(f"{_REFS} || coalesce(text, '') || {_REFS}")
     r = read(spark, sf_dir, "documents").select("doc_id", elements.repaired(x).alias("r"))
     return r.select("doc_id", F.md5("r.text").alias("md5"), F.col("r.n").cast("long").alias("n"))
+
+
+# Tagged records in deflated streams: a record for each line of an order, one of them longer than its head can say
+
+
+@query("""WITH l AS (SELECT l_orderkey AS path, l_linenumber::BIGINT AS n, max(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER w - 1 AS idx, lead(n) OVER w IS NULL AS final, CASE WHEN q > 48 THEN 4100 + q ELSE q * 2 END AS size FROM l WINDOW w AS (PARTITION BY path ORDER BY n))
+SELECT path, idx::INTEGER AS idx, (66 + n)::INTEGER AS tag, (n % 4)::INTEGER AS level, size, CASE WHEN path % 6 = 0 AND final THEN size - 1 ELSE size END AS bytes, CASE WHEN path % 6 = 0 AND final THEN 'truncated_body' ELSE 'ok' END AS status FROM r
+UNION ALL SELECT path, count(*)::INTEGER, NULL, NULL, NULL, NULL, 'truncated_header' FROM l WHERE path % 6 = 1 GROUP BY path""")
+def tagged_records(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("n")).agg(F.max("l_quantity").cast("long").alias("q"))
+    n, q = F.col("n"), F.col("q")
+    size = F.when(q > 48, 4100 + q).otherwise(q * 2)
+    head = packed((66 + n + (n % 4) * 1024 + F.when(q > 48, 0xFFF).otherwise(size) * (1 << 20), 4))
+    record = F.concat(head, F.when(q > 48, packed((size, 4))).otherwise(F.lit(b"")), F.repeat(F.lit("z"), size.cast("int")).cast("binary"))
+    s = lines.select("path", F.struct("n", record.alias("r")).alias("s")).groupBy("path").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    whole = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["r"]))
+    d = sinks.kept(s.select("path", whole.alias("b")), "streams")
+    cut = F.when(F.col("path") % 6 == 0, F.substring("b", F.lit(1), F.octet_length("b") - 1)).when(F.col("path") % 6 == 1, F.concat("b", F.lit(b"\0\0"))).otherwise(F.col("b"))
+    # a stored block of raw deflate: its mark, the length, the length's complement, the bytes
+    d = sinks.kept(d.select("path", cut.alias("b")), "streams").select(F.col("path").cast("string").alias("path"), F.lit("s").alias("stream"), F.concat(packed((1, 1), (F.octet_length("b"), 2), (65535 - F.octet_length("b"), 2)), "b").alias("bytes"))
+    return containers.tagged_records(d).select(F.col("path").cast("long").alias("path"), "idx", "tag", "level", "size", F.octet_length("body").cast("long").alias("bytes"), "status")

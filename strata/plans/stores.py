@@ -79,3 +79,25 @@ def rule_report(spark, sf_dir):
     profiles = f.select("pair", place(0).alias("side"), place(1).alias("path"), "value")
     pairs = lines.select(F.col("l_suppkey").alias("pair")).distinct().withColumn("producer", F.when(F.col("pair") % 3 == 0, "hancom").when(F.col("pair") % 3 == 1, "portable"))
     return mining.report(mining.observations(pairs, profiles))
+
+
+# Tables of texts replaced in the session's catalogue, and registers begun where there is none
+
+
+@query("SELECT s_suppkey::VARCHAR AS s_suppkey, lower(s_name) AS s_name, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_nationkey::VARCHAR END AS nation FROM supplier WHERE s_suppkey % 2 = 0")
+def replaced_table(spark, sf_dir):
+    name = f"strata_{uuid.uuid4().hex}"
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    sinks.replace_table(s, name, f"{sinks.shared_folder(spark)}/{name}-a")
+    nation = F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey"))
+    after = read(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey", F.lower("s_name").alias("s_name"), nation.alias("nation"))
+    sinks.replace_table(after, name, f"{sinks.shared_folder(spark)}/{name}-b")
+    return spark.table(name)
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS name, NULL AS note FROM customer UNION ALL SELECT 'n' || n_nationkey, NULL, n_name FROM nation")
+def begun_register(spark, sf_dir):
+    register = sinks.begun(spark, None, ["id", "name", "note"])
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("note"), F.lit(1).alias("other"))
+    return sinks.begun(spark, sinks.appended(sinks.appended(register, c), n), ["id"])
