@@ -59,7 +59,7 @@ UNIT_TYPES = {".pptx": "slide", ".pdf": "page"}
 
 
 def _suffix(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))
+    return F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"[^/.][^/]*?(\.[^./]+)$", 1))
 
 
 def intake_units(files: DataFrame, key: str, path: str, markdown: str) -> DataFrame:
