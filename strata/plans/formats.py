@@ -121,14 +121,22 @@ def files_by_hash(spark, sf_dir):
     return found.agg(F.count_distinct("sha256").alias("contents")).join(fresh.agg(F.count("*").alias("fresh")))  # one row each
 
 
-_CONFIG = ('{"limits": {"rows": 8, "preview": 1200}, "lang": "ko"}', "not json", '{"limits": {"rows": 20}, "tiers": [1]}')
+_LAYERS = [
+    "'{\"limits\": {\"rows\": ' || s_suppkey || ', \"preview\": 1200, \"deep\": {\"x\": 1}}, \"lang\": \"ko\"}'",
+    "CASE s_suppkey % 5 WHEN 0 THEN 'not json' WHEN 1 THEN '[1]' WHEN 2 THEN '{\"limits\": 7}' WHEN 3 THEN '{\"lang\": {\"a\": \"' || s_name || '\"}}' END",
+    "CASE s_suppkey % 4 WHEN 0 THEN '{\"limits\": {\"rows\": ' || s_nationkey || '}, \"tiers\": [1, \"b\"]}' WHEN 1 THEN '{\"limits\": {\"deep\": {\"y\": true}}}' WHEN 2 THEN '{}' ELSE '{\"lang\": \"en\"}' END",
+]
+_PATHS = {"limits": "limits", "rows": "limits.rows", "preview": "limits.preview", "x": "limits.deep.x", "y": "limits.deep.y", "lang": "lang", "lang_a": "lang.a", "tiers": "tiers"}
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN n_name ELSE NULL END AS name, 1200 AS preview, 'ko' AS lang FROM nation")
+@query(
+    "WITH l AS (SELECT s_suppkey, " + ", ".join(f"CASE WHEN json_valid({x}) AND json_type({x}) = 'OBJECT' THEN {x} ELSE '{{}}' END AS l{i}" for i, x in enumerate(_LAYERS)) + " FROM supplier), m AS (SELECT s_suppkey, json_merge_patch(json_merge_patch(l0::JSON, l1::JSON), l2::JSON) AS m FROM l) SELECT s_suppkey, "
+    + ", ".join(f"CASE WHEN json_type(m, '$.{p}') <> 'OBJECT' THEN json_extract_string(m, '$.{p}') END AS {n}" for n, p in _PATHS.items()) + " FROM m"
+)
 def configured(spark, sf_dir):
-    c = headers.merged(*_CONFIG)
-    rows, preview = headers.at(c, "limits.rows", 0), headers.at(c, "limits.preview", 0)
-    return read(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") < rows, F.col("n_name")).alias("name"), F.lit(preview).alias("preview"), F.lit(headers.at(c, "lang", "")).alias("lang"))
+    layers = read(spark, sf_dir, "supplier").select("s_suppkey", *[F.expr(x).alias(f"l{i}") for i, x in enumerate(_LAYERS)])
+    rows = headers.layered(layers, "s_suppkey", ["l0", "l1", "l2"])
+    return rows.groupBy("s_suppkey").agg(*[F.max(F.when(F.col("path") == p, F.col("value"))).alias(n) for n, p in _PATHS.items()])
 
 
 @query(r"""SELECT p_partkey, regexp_replace(lower(p_name), '[ _-]+', '', 'g') AS folded, regexp_replace(regexp_replace(lower(p_name), '[^0-9a-z]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60] AS slug, sha256(p_name)[1:24] AS ref,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.text import clean_cell, strip
+from strata.operators.sinks import kept
 
 #: Canonical name and its marks. ``=x`` is the whole header, ``^x`` its beginning, anything
 #: else a part of the header: as it is if the mark has a blank, with blanks as underscores if not. A plural header ``source_ids`` falls to the
@@ -126,3 +127,36 @@ def at(config: dict, path: str, default=None):
             return default
         config = config[part]
     return config
+
+
+def layered(df: DataFrame, key: str, layers: list[str], levels: int = 6) -> DataFrame:
+    """(key, path, value) of the settings that JSON columns give together, later columns over earlier ones, nested objects merged.
+
+    A value counts if no later layer has anything at its path or a value, not an object, above it: so a value
+    replaces an object and an object a value, as in ``merged``. Paths are dotted names, lists are values;
+    texts come out bare, other values as JSON, and an object without names as {}. A layer that is no JSON object counts as
+    empty. Objects nested deeper than ``levels`` are values; names hold no dots. Keys are distinct.
+    """
+    spark = df.sparkSession
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.try_parse_json(F.regexp_replace(json_object(F.col(c)), "^\ufeff", "")).alias("v")) for i, c in enumerate(layers)]))
+    now = df.select(F.col(key).alias("k"), each.alias("e")).select("k", "e.rank", F.lit("").alias("path"), "e.v")
+    entries = None
+    for level in range(levels):
+        below = "SELECT k, rank, concat_ws('.', nullif(path, ''), e.key) AS path, e.value AS v FROM {t}, LATERAL variant_explode(v) e"
+        now = spark.sql(below, t=now).withColumn("object", F.schema_of_variant("v").startswith("OBJECT<") & (F.schema_of_variant("v") != "OBJECT<>") & F.lit(level < levels - 1))
+        entry = now.select("k", "rank", "path", "object", F.when(~F.col("object"), F.coalesce(F.col("v").cast("string"), F.lit("null"))).alias("value"))
+        entries = entry if entries is None else entries.unionByName(entry)
+        now = now.filter("object").select("k", "rank", "path", "v")
+    entries = kept(entries, "settings")
+    plain, empty = entries.filter("not object and value <> '{}'"), entries.filter("value = '{}'")
+    last = entries.groupBy("k", "path").agg(F.max("rank").alias("_last"))
+    flat = plain.groupBy("k", F.col("path").alias("_above")).agg(F.max("rank").alias("_flat"))
+    own = plain.join(last, ["k", "path"]).filter("rank = _last").select("k", "rank", "path", "value")
+    own = own.unionByName(empty.groupBy("k", "path").agg(F.max("rank").alias("rank"), F.max("value").alias("value")))
+    parts = F.split("path", r"\.")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("_above")
+    hidden = own.select("k", "path", "value", "rank", above).join(flat, ["k", "_above"]).filter("_flat > rank").select("k", "path", "value").distinct()
+    left = own.join(hidden, ["k", "path", "value"], "left_anti").select("k", "path", "value")
+    # an object without names stands for itself where nothing lies below it
+    filled = left.select("k", "path", above).filter("_above <> path").select("k", F.col("_above").alias("path"), F.lit("{}").alias("value")).distinct()
+    return left.join(filled, ["k", "path", "value"], "left_anti").select(F.col("k").alias(key), "path", "value")
