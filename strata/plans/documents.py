@@ -61,8 +61,8 @@ CASE WHEN doc % 5 = 0 THEN 'short_body' WHEN doc % 7 = 0 THEN 'size_mismatch' EL
 UNION ALL SELECT doc, n * 20 + 4, 1, 1, 1, 'CELL', true, 0, 'parsed', CASE WHEN cell IS NOT NULL THEN 4 END, cell, 0 FROM p WHERE q % 4 = 0
 UNION ALL SELECT doc, n * 20 + 8, 1, 1, 2, 'CELL', true, 0, 'parsed', n * 20 + 4, n * 20 + 5, 0 FROM l WHERE q % 8 = 0),
 g AS (SELECT doc, table_at, count(DISTINCT cell_at) AS n_cells, count(DISTINCT (y, x)) AS covered FROM s GROUP BY ALL), v AS (SELECT doc, table_at, count(*) AS overlapping FROM o GROUP BY ALL)
-SELECT doc, table_at, (row_number() OVER (PARTITION BY doc ORDER BY table_at) - 1)::INTEGER AS table_no, rows, columns, declared, page_break, repeat_header, zones, CASE WHEN status = 'parsed' AND coalesce(n_cells, 0) <> declared THEN 'cell_count_mismatch' ELSE status END AS status,
-owner_at, owner_cell_at, coalesce(n_cells, 0) AS n_cells, coalesce(covered, 0) AS covered, coalesce(overlapping, 0) AS overlapping, caption_paragraphs FROM t LEFT JOIN g USING (doc, table_at) LEFT JOIN v USING (doc, table_at)""")
+SELECT doc, table_at, (row_number() OVER (PARTITION BY doc ORDER BY table_at) - 1)::INTEGER AS table_no, rows::BIGINT AS rows, columns::BIGINT AS columns, declared, page_break, repeat_header, zones::BIGINT AS zones, CASE WHEN status = 'parsed' AND coalesce(n_cells, 0) <> declared THEN 'cell_count_mismatch' ELSE status END AS status,
+owner_at, owner_cell_at, coalesce(n_cells, 0) AS n_cells, coalesce(covered, 0) AS covered, coalesce(overlapping, 0) AS overlapping, caption_paragraphs::BIGINT AS caption_paragraphs FROM t LEFT JOIN g USING (doc, table_at) LEFT JOIN v USING (doc, table_at)""")
 def record_tables(spark, sf_dir):
     return grids.tables(sinks.kept(grids.placed(_records(spark, sf_dir), "doc"), "placed"), "doc")
 
@@ -108,7 +108,7 @@ def _tokenized(spark, sf_dir):
 WHEN plain AND NOT coalesce(lag(plain) OVER (PARTITION BY doc_id ORDER BY i), false) THEN 'text' END AS kind FROM v),
 p AS (SELECT doc_id, i, kind, c, before, n, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next, lead(before) OVER (PARTITION BY doc_id ORDER BY i) AS next_before FROM t WHERE kind IS NOT NULL),
 w AS (SELECT doc_id, max(before + (CASE WHEN plain AND NOT second OR single AND c IN (10, 30, 31) THEN 1 ELSE 0 END)) AS width FROM v GROUP BY doc_id)
-SELECT p.doc_id, (row_number() OVER (PARTITION BY p.doc_id ORDER BY i) - 1)::INTEGER AS token_no, kind, CASE WHEN kind <> 'text' THEN c END AS code, i AS start, coalesce(next, n) AS stop, before AS visible_start, coalesce(next_before, width) AS visible_end FROM p JOIN w USING (doc_id)""")
+SELECT p.doc_id, (row_number() OVER (PARTITION BY p.doc_id ORDER BY i) - 1)::INTEGER AS token_no, kind, CASE WHEN kind <> 'text' THEN c END AS code, i::INTEGER AS start, coalesce(next, n)::INTEGER AS stop, before::INTEGER AS visible_start, coalesce(next_before, width)::INTEGER AS visible_end FROM p JOIN w USING (doc_id)""")
 def control_tokens(spark, sf_dir):
     t = _tokenized(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("token_no", "t"))
     return t.select("doc_id", "token_no", "t.kind", "t.code", "t.start", F.col("t.end").alias("stop"), "t.visible_start", "t.visible_end")
@@ -117,7 +117,7 @@ def control_tokens(spark, sf_dir):
 @query(f"""WITH {_UNITS}, p AS (SELECT doc_id, i, c, before - second::INT AS place, plain AND NOT second OR single AND c IN (10, 30, 31) AS shown, lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS next, head, short, plain, second FROM v),
 q AS (SELECT doc_id, count(*) AS units, count(*) FILTER (shown) AS width, count(*) FILTER (head AND NOT short) * 7 AS payload_units, count(*) FILTER (head AND short) AS malformed, sum((i + 1) * place)::BIGINT AS map_sum,
 coalesce(string_agg(chr(CASE WHEN c IN (30, 31) THEN 32 WHEN c BETWEEN 55296 AND 56319 THEN 65536 + ((c - 55296) << 10) + next - 56320 ELSE c END::INTEGER), '' ORDER BY i) FILTER (shown AND NOT (c BETWEEN 55296 AND 56319 AND NOT coalesce(next BETWEEN 56320 AND 57343, false)) AND NOT c BETWEEN 56320 AND 57343), '') AS visible FROM p GROUP BY doc_id)
-SELECT d.doc_id, coalesce(units, 0) AS units, coalesce(width, 0) AS width, coalesce(payload_units, 0) AS payload_units, coalesce(malformed, 0) AS malformed, (coalesce(map_sum, 0) + (coalesce(units, 0) + 1) * coalesce(width, 0))::BIGINT AS map_sum, md5(coalesce(visible, '')) AS visible_md5 FROM documents d LEFT JOIN q USING (doc_id)""")
+SELECT d.doc_id, coalesce(units, 0)::INTEGER AS units, coalesce(width, 0)::INTEGER AS width, coalesce(payload_units, 0) AS payload_units, coalesce(malformed, 0) AS malformed, (coalesce(map_sum, 0) + (coalesce(units, 0) + 1) * coalesce(width, 0))::BIGINT AS map_sum, md5(coalesce(visible, '')) AS visible_md5 FROM documents d LEFT JOIN q USING (doc_id)""")
 def control_maps(spark, sf_dir):
     m = F.col("to_visible").cast("array<bigint>")
     total = F.aggregate(F.transform(m, lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b)

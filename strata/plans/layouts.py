@@ -80,7 +80,7 @@ def heading_labels(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, max(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL), o AS (SELECT k, count(*) AS c FROM l GROUP BY k)
-SELECT k AS l_orderkey, c - CASE WHEN k % 5 = 1 THEN 1 ELSE 0 END AS segments, CASE WHEN k % 5 = 1 THEN 35 ELSE 0 END AS rest, CASE WHEN k % 5 = 1 THEN 'trailing_bytes' WHEN k % 3 = 0 THEN 'declared_count_mismatch' ELSE 'parsed' END AS status,
+SELECT k AS l_orderkey, (c - CASE WHEN k % 5 = 1 THEN 1 ELSE 0 END)::INTEGER AS segments, (CASE WHEN k % 5 = 1 THEN 35 ELSE 0 END)::BIGINT AS rest, CASE WHEN k % 5 = 1 THEN 'trailing_bytes' WHEN k % 3 = 0 THEN 'declared_count_mismatch' ELSE 'parsed' END AS status,
 coalesce(s, 0) AS textpos, coalesce(v, 0) AS vertpos, coalesce(b, 0) AS first_on_page FROM o LEFT JOIN (SELECT l.k, sum(n * 100000)::BIGINT AS s, sum(-q * n)::BIGINT AS v, count(*) FILTER (q % 2 = 1) AS b FROM l JOIN o ON o.k = l.k WHERE n < (SELECT max(n) FROM l x WHERE x.k = l.k) OR l.k % 5 <> 1 GROUP BY l.k) USING (k)""")
 def line_segments(spark, sf_dir):
     n, q = F.col("n"), F.col("q")
