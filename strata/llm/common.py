@@ -110,6 +110,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def place_weights(lane: int, n: int) -> np.ndarray:
+    """A number for each place in a word.
+
+    They are no powers of a base: modulo 2^64 all powers share factors of two, by which some words (as
+    the Thue-Morse word of 1024 letters and its complement) are equal whatever the base.
+    """
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE[lane])
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
@@ -154,7 +163,7 @@ def word_hashes(column: pa.Array, lower: bool, lanes: int = 1) -> tuple[list[np.
     lengths = np.add.reduceat(solid, starts, dtype=np.uint64)
     for k in range(lanes):
         value = tab[k][data[starts[0] :]]
-        value *= powers(_BASE[k], int(spans.max()))[place]
+        value *= place_weights(k, int(spans.max()))[place]
         value *= solid[starts[0] :]
         out.append(mix(np.add.reduceat(value, starts - starts[0]) + lengths * np.uint64(0xA24BAED4963EE407)))
     return out, bounds
