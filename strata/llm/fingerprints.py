@@ -3,7 +3,7 @@
 A text's prefix array holds, for every i, the polynomial hash of its first i code points modulo a prime.
 Two lookups give the hash of any span, so span equality takes constant time and the longest common
 extension of two places is found by binary search. A fingerprint is the length, the hash of the whole
-text and a bottom-k sketch over the hashes of all spans of fixed length; the likeness of two
+text and a bottom-k sketch over the hashes of all spans of fixed length (shorter at the beginning); the likeness of two
 fingerprints is the sketches' estimate of the share of spans they have in common.
 """
 
@@ -93,11 +93,16 @@ def common_extension(a: Prefix, i: int, b: Prefix, j: int) -> int:
 
 
 def sketch(prefix: Prefix) -> np.ndarray:
-    """The SKETCH smallest distinct mixed span hashes, ascending; a short text has shorter spans."""
+    """The SKETCH smallest distinct mixed span hashes, ascending.
+
+    A span ends at each code point: it is the SPAN last ones up to there, or all of them where they are
+    fewer. So the rule is one for all lengths, and a text of n code points has n spans.
+    """
     if not prefix.n:
         return np.zeros(0, np.uint64)
-    length = max(1, min(SPAN, prefix.n // 3))
-    h = mix((prefix.spans(length, 0) << np.uint64(31)) ^ prefix.spans(length, 1))
+    head = slice(1, min(SPAN, prefix.n + 1))
+    lanes = [np.concatenate((prefix.sums[k][head], prefix.spans(SPAN, k))) for k in (0, 1)]
+    h = mix((lanes[0] << np.uint64(31)) ^ lanes[1])
     if len(h) > 8 * SKETCH:  # the smallest few are nearly always enough
         few = np.unique(h[h < np.uint64(2**64 * (4 * SKETCH / len(h)))])
         if len(few) >= SKETCH:
@@ -193,7 +198,7 @@ def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
     ghosts = F.broadcast(spark.createDataFrame(rows, "_id long, _h long, _to int"))
     first = d.drop("_bucket").join(ghosts, ["_id", "_h"]).groupBy("_to").agg(F.min(F.struct("text", "doc_id", "_id", "_h")).alias("x"))
     first = first.select("x.doc_id", "x.text", "x._id", "x._h", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost"))
-    return d.withColumn("_ghost", F.lit(False)).unionByName(first), len(heads) if len(heads) == n else n
+    return d.withColumn("_ghost", F.lit(False)).unionByName(first), n
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
