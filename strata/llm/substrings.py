@@ -5,9 +5,10 @@ equal anchors and only a few of all k-mers are looked at. Anchors are the graph'
 token sequence from one anchor of a document to the end of its next one. Edges that several documents have
 are repeated. Each repeated edge is kept once, with the coordinates of the first document that has it, and
 nonbranching edges that follow each other there are compacted, by joins with the nodes' degrees, to a path.
-A document's run along a path is its first and last coordinate; runs that lead through a branch along the
-same first document are one. What such a run covers also stands in a smaller document, as one span: these
-words go by their coordinates alone, without a row per window.
+A document's run along a path is known by two rows, where it enters and where it leaves the path, however
+many edges lie between. A run goes on through a branch if it leaves a path at its end and enters, at its
+beginning, the path that follows in the same first document. What such a run covers also stands in a smaller
+document, as one span: these words go by their coordinates alone, without a row per window.
 
 What is left to decide are windows that hold an anchor of several documents but do not lie within such a
 run: those at a run's ends, and those of the first documents themselves. They are compared by a 96-bit hash
@@ -113,12 +114,13 @@ def anchor_rows(base: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def compacted(places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(anchor, edge, first, path, pos) of repeated edges, compacted to nonbranching paths, and the table it was made of.
+    """(anchor, edge, first, start, offset, prior, then) of repeated edges, compacted to paths, and the table it was made of.
 
     places: doc_id, tkey, i, anchor, edge, to (the next anchor). ``first`` is the document (doc_id, tkey)
-    that an edge is kept by, the smallest that has it, and ``pos`` its number there. A path begins where
-    the edge before it in that document is not repeated, is kept by another document, or leads into a node
-    that has another repeated edge into or out of it; it is named by its first edge's number.
+    that an edge is kept by, the smallest that has it. A path begins where the edge before it in that
+    document is not repeated, is kept by another document, or leads into a node that has another repeated
+    edge into or out of it. It is named by (first, start), the number of its first edge there; ``offset``
+    is an edge's place on it, ``prior`` and ``then`` are its neighbours on it (null at its ends).
     """
     edges = places.groupBy("anchor", "edge").agg(F.min(F.struct("doc_id", "tkey", "i")).alias("x"), F.max("doc_id").alias("last"), F.first("to").alias("to"))
     edges = written(edges.filter("x.doc_id <> last").select("anchor", "edge", "to", F.struct("x.doc_id", "x.tkey").alias("first"), F.col("x.i").alias("pos")), "edges")
@@ -127,9 +129,30 @@ def compacted(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = out.join(into, "node").select(F.col("node").alias("anchor"), F.lit(True).alias("plain"))
     along = Window.partitionBy("first").orderBy("pos")
     begins = ~(F.coalesce("plain", F.lit(False)) & (F.lag("pos").over(along) == F.col("pos") - 1))
-    marked = edges.join(plain, "anchor", "left").withColumn("_begin", F.when(F.coalesce(begins, F.lit(True)), F.col("pos")))
-    paths = marked.withColumn("path", F.max("_begin").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return written(paths.select("anchor", "edge", "first", "path", "pos"), "paths"), edges
+    marked = edges.join(plain, "anchor", "left").withColumn("_begins", F.coalesce(begins, F.lit(True)))
+    start = F.max(F.when(F.col("_begins"), F.col("pos"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    prior = F.when(~F.col("_begins"), F.lag("edge").over(along))
+    then = F.when(~F.lead("_begins").over(along), F.lead("edge").over(along))
+    paths = marked.select("anchor", "edge", "first", start.alias("start"), "pos", prior.alias("prior"), then.alias("then"))
+    return written(paths.select("anchor", "edge", "first", "start", (F.col("pos") - F.col("start")).alias("offset"), "prior", "then"), "paths"), edges
+
+
+def joined_runs(steps: list[dict]) -> list[tuple[int, int]]:
+    """(number of the first edge, of the last one) of a document's runs, from where it enters and leaves paths, in order.
+
+    A run goes on from one path to another only if it leaves the one at its end, enters the other at its
+    beginning with its next edge, and the paths follow each other in the one document that both are kept
+    by: then that document has the words of both as one span.
+    """
+    out: list[list] = []
+    for s in steps:
+        if s["enters"]:
+            path = (s["first"], s["start"]) if s["offset"] == 0 else None
+            if not (out and path and out[-1][1] == s["i"] - 1 and out[-1][2] == path):
+                out.append([s["i"], s["i"], None])
+        if s["leaves"]:
+            out[-1][1:] = s["i"], (s["first"], s["start"] + s["offset"] + 1) if s["ended"] else None
+    return [(a, b) for a, b, _ in out]
 
 
 def decided(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
@@ -141,21 +164,20 @@ def decided(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
     rows = written(anchor_rows(docs, window, k), "anchors")
     repeated = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("anchor")
     repeated = written(repeated, "repeated")  # so that the join deals both sides itself and can split a hot anchor
-    lists = rows.join(repeated, "anchor").groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("i", "at", "anchor", "edge"))).alias("x"))
+    lists = rows.join(repeated, "anchor").groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("i", "at", "anchor", "edge"))).alias("x"))
     lists = written(lists, "anchor-lists")
     forget(rows, repeated)
-    after = F.try_element_at("x", F.col("p") + 2)
+    before, after = F.get("x", F.col("p") - 1), F.get("x", F.col("p") + 1)
     places = lists.select("doc_id", "tkey", "x", F.posexplode("x").alias("p", "y")).filter(after["i"] == F.col("y.i") + 1)
-    places = places.select("doc_id", "tkey", "y.i", "y.anchor", "y.edge", after["anchor"].alias("to"))
+    places = places.select("doc_id", "tkey", "y.i", "y.anchor", "y.edge", after["anchor"].alias("to"), before["edge"].alias("came"), after["edge"].alias("goes"))
     paths, edges = compacted(places)
-    runs = places.join(paths, ["anchor", "edge"]).filter("doc_id > first.doc_id")
-    runs = runs.groupBy("doc_id", "tkey", "first", "path", (F.col("i") - F.col("pos")).alias("shift")).agg(F.array_sort(F.collect_list("i")).alias("i"))
-    # along a path, a document's numbers keep their distance to the first document's; a run ends where they skip
-    pieces = F.filter(F.transform("i", lambda v, p: F.struct(v.alias("v"), p.alias("p"))), lambda y: (y["p"] == 0) | (F.try_element_at("i", y["p"]) != y["v"] - 1))
-    runs = runs.withColumn("s", pieces).withColumn("r", F.explode(F.transform("s", lambda y, q: F.struct(y["v"].alias("a"), (F.try_element_at("i", F.coalesce(F.try_element_at("s", q + 2)["p"], F.size("i")))).alias("b")))))
-    runs = written(runs.select("doc_id", "tkey", "first", "path", "shift", "r.a", "r.b"), "runs")
+    # of a document's edges on a path, only those where it enters or leaves the path are kept
+    steps = places.drop("to").join(paths, ["anchor", "edge"]).filter("doc_id > first.doc_id")
+    steps = steps.withColumn("enters", ~F.coalesce(F.col("came") == F.col("prior"), F.lit(False))).withColumn("leaves", ~F.coalesce(F.col("goes") == F.col("then"), F.lit(False)))
+    steps = steps.filter("enters or leaves").select("doc_id", "tkey", "i", "first", "start", "offset", "enters", "leaves", F.col("then").isNull().alias("ended"))
+    steps = written(steps, "steps")
     forget(paths, edges)
-    of_doc = runs.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first", "shift"))).alias("runs"))
+    of_doc = steps.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("i", "first", "start", "offset", "enters", "leaves", "ended"))).alias("steps"))
     reach = window - k
 
     def join_runs(batches):
@@ -164,12 +186,7 @@ def decided(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
             for x, found in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 v = x.values
                 i, at = v.field("i").to_numpy(), v.field("at").to_numpy().astype(np.int64)
-                whole: list[list] = []
-                for r in found or []:  # through a branch, a run goes on along the same document
-                    if whole and whole[-1][1] + 1 == r["a"] and whole[-1][2:] == [r["first"], r["shift"]]:
-                        whole[-1][1] = r["b"]
-                    else:
-                        whole.append([r["a"], r["b"], r["first"], r["shift"]])
+                whole = joined_runs(found or [])
                 begin = at[np.searchsorted(i, [r[0] for r in whole])] if whole else at[:0]
                 end = at[np.searchsorted(i, [r[1] + 1 for r in whole])] + k if whole else at[:0]
                 fit = end - begin >= window
@@ -191,7 +208,7 @@ def decided(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind), pa.array(spans, kind)], names=["doc_id", "tkey", "cuts", "spans"])
 
     out = written(lists.join(of_doc, ["doc_id", "tkey"], "left").mapInArrow(join_runs, "doc_id long, tkey int, cuts array<long>, spans array<long>"), "spans")
-    forget(lists, runs)
+    forget(lists, steps)
     return out
 
 

@@ -12,7 +12,7 @@ import pytest
 from oracle import SF, same
 from pyspark.sql import functions as F
 
-from strata.llm import embeddings, fingerprints, lm, minhash, mixing, packing, queries, sharding, substrings, toxicity, warc
+from strata.llm import common, embeddings, fingerprints, lm, minhash, mixing, packing, queries, sharding, substrings, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -142,6 +142,56 @@ def test_runs_skip_what_a_document_has_of_its_own(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 
+def test_words_differ_whose_powers_do_not(spark):
+    """The Thue-Morse words, equal to their complements under any polynomial modulo 2^64."""
+    letters = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n)) for n in (512, 1024, 2048, 4096) for flip in (0, 1)]
+    lanes, _ = common.word_hashes(pa.array(letters), lower=True, lanes=2)
+    assert all(len(set(x.tolist())) == len(letters) for x in lanes)
+    other = [f"v{i}" for i in range(60)]
+    texts = [" ".join([*other[:30], w, *other[30:]]) for w in letters[2:]] + [w for w in letters[2:]] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_removed(list(enumerate(texts)), 50)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(df).collect()} == want
+    classes = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, percent=85).collect()}
+    assert classes == {i: min(j for j, t in enumerate(texts) if 100 * len(shingles(t) & shingles(texts[i])) >= 85 * len(shingles(t) | shingles(texts[i]))) for i in range(len(texts))}
+
+
+def test_runs_go_by_paths(spark, monkeypatch):
+    """Two rows a run; runs go on through branches; a path that is named wrongly is not gone on along."""
+    rng = random.Random(3)
+    base, other = ([f"{c}{rng.randrange(10**6)}" for _ in range(1500)] for c in "ab")
+    branch = [*other[:300], *base[700:800], *other[300:]]  # a third document, so that base has branches
+    texts = [base, branch, ["own"] * 5 + base + ["end"], branch[200:500]]
+    df = spark.createDataFrame([(i, 0, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, tkey int, text string")
+    cuts = lambda: {r["doc_id"]: r["cuts"] for r in substrings.decided(df).collect()}
+    right = cuts()
+    assert not right[0] and len(right[2]) == 2 and right[2][1] - right[2][0] > 1400
+    assert len(right[3]) == 6  # its middle is kept by another document than its ends
+    assert all(texts[2][right[2][0] + i] == base[right[2][0] - 5 + i] for i in range(right[2][1] - right[2][0]))
+    real = substrings.compacted
+
+    def renamed(places):
+        paths, edges = real(places)
+        assert paths.groupBy("first", "start").count().count() * 5 < edges.count()
+        # names of paths that follow each other are no longer those of neighbours in the document
+        return paths.withColumn("start", F.col("start") * 2 + 7), edges
+
+    monkeypatch.setattr(substrings, "compacted", renamed)
+    wrong = cuts()
+    assert len(wrong[2]) > 2 and sum(wrong[2][1::2]) - sum(wrong[2][::2]) != right[2][1] - right[2][0]
+
+
+def test_joined_runs():
+    step = lambda i, start, offset, how, first=1: {"i": i, "first": first, "start": start, "offset": offset, "enters": "e" in how, "leaves": "l" in how, "ended": "x" in how}
+    a, b = [step(4, 0, 3, "e"), step(9, 0, 8, "lx")], [step(10, 9, 0, "e"), step(12, 9, 2, "l")]
+    assert substrings.joined_runs(a + b) == [(4, 12)]
+    assert substrings.joined_runs([a[0], step(9, 0, 8, "l"), *b]) == [(4, 9), (10, 12)]  # left before its end
+    assert substrings.joined_runs([*a, step(10, 9, 1, "e"), step(12, 9, 3, "l")]) == [(4, 9), (10, 12)]  # not entered at its beginning
+    assert substrings.joined_runs([*a, step(10, 9, 0, "elx", first=2)]) == [(4, 9), (10, 10)]  # kept by another document
+    assert substrings.joined_runs([*a, step(11, 9, 0, "el")]) == [(4, 9), (11, 11)]  # an edge between
+    assert substrings.joined_runs([]) == []
+
+
 def test_mix_and_plan(odd, none):
     plan = mixing.mix_plan(odd).collect()
     n = Counter(r["doc_id"] for r in mixing.mix(odd).collect())
@@ -248,7 +298,7 @@ def test_likeness_is_near_the_share_of_common_spans(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
     got = {r["doc_id"]: r for r in fingerprints.query(docs).collect()}
-    spans = lambda t: {t[i : i + max(1, min(fingerprints.SPAN, len(t) // 3))] for i in range(len(t) - max(1, min(fingerprints.SPAN, len(t) // 3)) + 1)} if t else set()
+    spans = lambda t: {t[max(0, i - fingerprints.SPAN) : i] for i in range(1, len(t) + 1)}
     off, equal = [], {}
     for k, (doc, text) in enumerate(texts):
         following = texts[(k + 1) % len(texts)][1]
@@ -259,6 +309,15 @@ def test_likeness_is_near_the_share_of_common_spans(spark):
     assert np.mean(off) < 0.04 and max(off) < 0.35
 
 
+def test_likeness_has_no_step_at_any_length():
+    text = "Spans of one length, however short or long the text is that holds them."
+    of = lambda t: fingerprints.fingerprint(fingerprints.Prefix(fingerprints.code_points(t)))[0]
+    for n in range(2, 60):
+        assert fingerprints.likeness(of(text[:n]), of(text[: n + 1])) == pytest.approx(2 * n / (2 * n + 1)), n
+    assert fingerprints.likeness(of("ab"), of("cd")) == fingerprints.likeness(of(""), of("a")) == 0
+    assert fingerprints.likeness(of(""), of("")) == 1
+
+
 def test_fingerprints(odd, none):
     rows = [r for r in odd_texts() if r[0] is not None]
     order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-r[0], r[1])) + [(None, odd_texts()[-1][1])]
