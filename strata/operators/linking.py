@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.evidence import anchored, held
+from strata.operators.ordering import numbers
 
 #: Quotes up to this count and size are broadcast; more meet the texts by their anchors.
 MOST_QUOTES, MOST_QUOTE_BYTES = 20_000, 8 << 20
@@ -129,5 +130,4 @@ def find_records(ids: DataFrame, records: DataFrame, key: str, path: str, text:
 
 def numbered(rows: DataFrame, known: DataFrame, key: str, group: str, order: str) -> DataFrame:
     """New rows numbered by their place among all rows of their group, so known ones leave gaps."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("seq", F.row_number().over(w)).join(known.select(key).distinct(), key, "left_anti")
+    return numbers(rows, group, order, "seq").withColumn("seq", F.col("seq").cast("int")).join(known.select(key).distinct(), key, "left_anti")

@@ -34,3 +34,18 @@ def compare(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
 def digest(fields: dict[str, Column]) -> Column:
     """SHA-256 of a JSON object with its fields in the order of their names."""
     return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
+def canonical(value: Column, kind: DataType) -> Column:
+    """The value with the fields of every struct in the order of their names, at any depth; a null stays null."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[canonical(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    return value
+
+
+def record_digest(df: DataFrame, name: str) -> Column:
+    """SHA-256 of a nested column's JSON with sorted field names: the same for any order of fields; null for null."""
+    return F.sha2(F.to_json(canonical(F.col(name), df.schema[name].dataType), {"ignoreNullFields": "false"}), 256)

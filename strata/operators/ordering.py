@@ -1,6 +1,8 @@
 """Operators on ordered rows of a key: margins, filling, scopes, slices, slots, parents, padding.
 
-Each is one window per key: rows of a key are sorted in one task, as their order demands.
+Most are one window per key: rows of a key are sorted in one task, as their order demands. Those that need
+less do with less: ``numbers`` and ``round_robin`` split a key by ranges of its order, ``within_margin`` and
+``padded`` keep a few rows of a key in each task before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -11,8 +13,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _unit(order: Column, borders: list[float], first: int = 0) -> Column:
+    """How many of the ascending borders are at or below a value: a binary search as nested conditions."""
+    if not borders:
+        return F.lit(first)
+    m = len(borders) // 2
+    return F.when(order < borders[m], _unit(order, borders[:m], first)).otherwise(_unit(order, borders[m + 1 :], first + m + 1))
+
+
+def numbers(df: DataFrame, key: str, order: str, name: str = "number", units: int = 64) -> DataFrame:
+    """Rows of each key numbered from 1 by a numeric ``order`` (nulls first; ties in any order), a key spread over tasks.
+
+    The order's range is cut at ``units`` - 1 quantiles of the whole table, known to half a unit. A row's
+    number is its place among the key's rows of its unit, after the counts of the units before it, of which
+    there are ``units`` a key at most. A null key is a key of its own; an empty table gives an empty one. A
+    column named like ``name`` is replaced.
+    """
+    df = df.drop(name)
+    borders = sorted(set(df.approxQuantile(order, [i / units for i in range(1, units)], 0.5 / units))) if units > 1 else []
+    unit = F.when(F.col(order).isNull(), 0).otherwise(_unit(F.col(order).cast("double"), borders))
+    dealt = df.withColumn("_k", F.struct(key)).withColumn("_u", unit)  # structs of nulls are equal, so that null keys join
+    before = Window.partitionBy("_k").orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_k", "_u").agg(F.count("*").alias("_n"))
+    starts = counts.select("_k", "_u", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_k", "_u").orderBy(order))
+    return dealt.join(starts, ["_k", "_u"]).withColumn(name, F.col("_start") + within).drop("_k", "_u", "_start")
+
+
 def within_margin(df: DataFrame, key: str, score: str, tie: str, most: int, margin: float) -> DataFrame:
-    """The ``most`` best rows of each key that lie within ``margin`` of its best; ties to the smallest ``tie``."""
+    """The ``most`` best rows of each key that lie within ``margin`` of its best; ties to the smallest ``tie``.
+
+    The bound on row numbers reaches below the shuffle: a task sends ``most`` rows of a key at most.
+    """
     w = Window.partitionBy(key).orderBy(F.desc(score), tie)
     top = df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
     return top.withColumn("_top", F.first(score).over(w)).filter(F.col(score) >= F.col("_top") - margin).drop("_top")
@@ -44,8 +76,8 @@ def positions(df: DataFrame, key: str, order: str, width: Column) -> DataFrame:
 
 def round_robin(df: DataFrame, key: str, order: str, slots: int) -> DataFrame:
     """Slots dealt in turn: their counts differ by one at most, and the first ones take what is left over."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("slot", F.pmod(F.row_number().over(w) - 1, F.lit(slots)))
+    dealt = numbers(df, key, order, "slot")
+    return dealt.withColumn("slot", F.pmod(F.col("slot") - 1, F.lit(slots)).cast("int"))
 
 
 def rescale(df: DataFrame, key: str, value: str, target: float) -> DataFrame:
@@ -70,8 +102,9 @@ def parents(df: DataFrame, key: str, order: str, level: str, levels: int) -> Dat
 
 def padded(df: DataFrame, key: str, order: str, value: str, n: int, fill: str) -> DataFrame:
     """(key, items): the first ``n`` values of each key in order, filled up to ``n``."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value])
-    cut = df.groupBy(key).agg(items.alias("items")).withColumn("items", F.slice("items", 1, n))
+    few = df.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order, value))).filter(F.col("_place") <= n)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_place", value))), lambda s: s[value])
+    cut = few.groupBy(key).agg(items.alias("items"))
     return cut.withColumn("items", F.concat("items", F.array_repeat(F.lit(fill), F.lit(n) - F.size("items"))))
 
 

@@ -292,6 +292,18 @@ def field_digest(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select("s_suppkey", nested.digest({"nation": F.col("s_nationkey"), "name": F.col("s_name")}).alias("digest"))
 
 
+@query("""SELECT o_orderkey, sha256(to_json({'customer': {'key': o_custkey, 'name': c_name}, 'lines': list({'part': l_partkey, 'quantity': l_linenumber} ORDER BY l_linenumber, l_partkey)})) AS digest
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_orderkey, o_custkey, c_name""")
+def nested_digest(spark, sf_dir):
+    """Orders as nested records whose fields stand in another order than that of their names."""
+    line = F.struct(F.col("l_linenumber").alias("quantity"), F.col("l_partkey").alias("part"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey")
+    o = o.join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
+    o = o.select("o_orderkey", F.struct("lines", F.struct(F.col("c_name").alias("name"), F.col("o_custkey").alias("key")).alias("customer")).alias("record"))
+    return o.select("o_orderkey", nested.record_digest(o, "record").alias("digest"))
+
+
 @query("""SELECT user_id, max(ts) FILTER (event_type = 'click') AS newest_input, min(ts) FILTER (event_type = 'purchase') AS oldest_output,
 coalesce(max(ts) FILTER (event_type = 'click') <= min(ts) FILTER (event_type = 'purchase'), false) AS fresh FROM events GROUP BY user_id""")
 def staleness(spark, sf_dir):

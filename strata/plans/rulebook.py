@@ -203,11 +203,9 @@ def repaired_references(spark, sf_dir):
 SELECT l_orderkey, n, least(greatest(10 * pow(2, least(n, 3)) + 0, 0), 60) AS w, round_even(least(dx, 100), 2) AS x, dy AS y FROM s""")
 def shape_boxes(spark, sf_dir):
     """Moves and doublings composed in order, then clamped to a parent box of 100 by 1000, 60 wide at most."""
-    g = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("q")))).alias("s"))
-    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("e"), F.lit(0.0).alias("f"))
-    move = F.aggregate("s", one, lambda m, t: F.struct(m["a"].alias("a"), (m["e"] + t["q"]).alias("e"), (m["f"] + t["l_linenumber"]).alias("f")))
-    scale = F.aggregate(F.slice("s", 1, 3), F.lit(1.0), lambda m, t: m * 2)
-    return g.select("l_orderkey", F.size("s").cast("long").alias("n"), F.least(scale * 10, F.lit(60.0)).alias("w"), F.bround(F.least(move["e"], F.lit(100.0)), 2).alias("x"), move["f"].alias("y"))
+    g = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("double")).alias("e"), F.sum(F.col("l_linenumber").cast("double")).alias("f"))
+    scale = F.pow(F.lit(2.0), F.least("n", F.lit(3)))
+    return g.select("l_orderkey", "n", F.least(scale * 10, F.lit(60.0)).alias("w"), F.bround(F.least("e", F.lit(100.0)), 2).alias("x"), F.col("f").alias("y"))
 
 
 @query("""SELECT count(*) AS documents, count(*) FILTER (text IS NULL) AS without_text, count(DISTINCT source) AS sources, count(*) FILTER (n_chars >= 10000) AS large,
@@ -220,9 +218,8 @@ def corpus_counters(spark, sf_dir):
 
 @query("""SELECT l_orderkey, sum(l_quantity + l_linenumber)::DOUBLE AS margins, max(l_quantity)::DOUBLE AS widest FROM lineitem GROUP BY l_orderkey""")
 def geometry_sums(spark, sf_dir):
-    g = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").cast("double").alias("l"), F.col("l_linenumber").cast("double").alias("r"))).alias("pages"))
-    total = F.aggregate(F.transform("pages", lambda p: p["l"] + p["r"]), F.lit(0.0), lambda a, b: a + b)
-    return g.select("l_orderkey", total.alias("margins"), F.array_max(F.transform("pages", lambda p: p["l"])).alias("widest"))
+    left, right = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double")
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(left + right).alias("margins"), F.max(left).alias("widest"))
 
 
 @query("""SELECT page_id, """ + ", ".join(f"len(regexp_extract_all(coalesce(html, ''), '(?i)<{t}[\\s>]')) > 0 AS has_{t}" for t in ("a", "p", "table", "figure", "img", "h1", "h2")) + " FROM pages")
