@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
 import tempfile
 import uuid
 
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.batches import slices  # noqa: F401  (used by the operators)
 from strata.functions.shipping import ship  # noqa: F401  (used by the operators)
 
 #: Words are runs of anything but ASCII white space.
@@ -184,27 +184,3 @@ def window_hashes(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     inverse = np.uint64(pow(int(base), -1, 1 << 64))
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(base, len(h)))))
     return mix((prefix[k:] - prefix[:-k]) * powers(inverse, n))
-
-
-def release() -> None:
-    """Gives memory that this worker has freed back to the system, for a worker is used again by later stages."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-    if trim:
-        trim(0)
-
-
-def slices(batches, most_bytes: int = 8 << 20, text: str = "text"):
-    """Record batches cut so that each holds at most about ``most_bytes`` of text (or one row); freed memory goes back after each batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        _, offsets = string_buffer(column)
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
-            yield batch.slice(at, end - at)
-            at = end
-        del column, offsets, batch
-        release()

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strata.functions.batches import slices
 from strata.functions.shipping import ship
 
 #: Fixed values of the public format: codes of controls of eight units, and of those of one unit that can be seen.
@@ -21,6 +22,8 @@ EXTENDED = (1, 2, 3, 11, 12, 14, 15, 16, 17, 18, 21, 22, 23)
 WIDE = 8
 LINE_BREAK, SPACES = 10, (30, 31)
 CLASSES = ("text", "inline", "extended", "character", "malformed")
+#: Bytes of texts laid side by side at a time; each unit takes about a hundred bytes while its text is scanned.
+SLICE = 1 << 20
 
 _EIGHT = np.zeros(1 << 16, bool)
 _EIGHT[[*INLINE, *EXTENDED]] = True
@@ -92,13 +95,13 @@ def tokenized(df: DataFrame, payload: str) -> DataFrame:
     malformed where the text ends before its eight units do. Places are those of units, visible places those
     of characters; line breaks and the two spaces among the controls are visible, a half pair of surrogates takes a
     place but has no text, and text of such halves alone is no token. ``to_visible`` has a place more than the text.
-    An odd last byte is ignored; a null payload has no units.
+    An odd last byte is ignored; a null payload has no units. Batches are cut to about a megabyte of payload.
     """
     ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *FIELDS])
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE, payload):
             bodies = [b[: len(b) // 2 * 2] if b else b"" for b in batch.column(batch.schema.get_field_index(payload)).to_pylist()]
             units = np.frombuffer(b"".join(bodies), "<u2")
             bounds = np.concatenate(([0], np.cumsum([len(b) // 2 for b in bodies])))
