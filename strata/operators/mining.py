@@ -78,7 +78,7 @@ def observations(pairs: DataFrame, profiles: DataFrame, rules=RULES) -> DataFram
 
     def value(side: str):
         path = F.col(f"{side}_path")
-        counted = F.element_at(F.slice(F.split(path, r"\."), -2, 1), 1).isin(*COUNT_MAPS) & path.contains(".")
+        counted = F.coalesce(F.get(F.slice(F.split(path, r"\."), -2, 1), F.lit(0)).isin(*COUNT_MAPS), F.lit(False))  # a path of one part lies in no map
         found = F.try_element_at(F.col(side), path)
         lacks = ~F.coalesce(F.map_contains_key(F.col(side), path), F.lit(False))
         return F.when(here, F.when(lacks & counted, 0).otherwise(found))

@@ -387,3 +387,11 @@ def test_rules_by_producer_and_missing_counts(spark):
     )
     assert rows(mining.report(o), "rule_id", "compared", "score", "band", "deltas") == [("r1", 2, 0.35, "exploratory", "2,9"), ("r2", 3, 0.6667, "weak_signal", "0,0,4"), ("r3", 1, 0.7, "weak_signal", "2")]
     assert len({r[0] for r in mining.RULES}) == len(mining.RULES) == 42
+
+
+def test_rules_whose_path_has_one_part_and_is_lacking(spark):
+    rules = (("r1", "high", "a", "c", None), ("r2", "low", "section_ctrl_child_counts", "layout_control_child_counts.q", None))
+    pairs = spark.createDataFrame([(1, None), (2, None)], "pair int, producer string")
+    profiles = spark.createDataFrame([(1, "target", "c", "2")], "pair int, side string, path string, value string")
+    o = mining.observations(pairs, profiles, rules)
+    assert rows(o, "pair", "rule_id", "source_value", "target_value", "relation") == sorted([(1, "r1", None, 2, "missing_signal"), (2, "r1", None, None, "missing_signal"), (1, "r2", None, 0, "missing_signal"), (2, "r2", None, 0, "missing_signal")], key=repr)
