@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions.batches import slices
 from strata.functions.shipping import ship
 
 #: Charsets tried after a declared one (fixed values, in order).
 CHARSETS = ("utf-8", "cp949", "euc-kr", "latin-1")
+#: Bytes that are decoded at a time.
+SLICE = 2 << 20
 
 
 def declared(content_type: Column) -> Column:
@@ -48,7 +51,7 @@ def decoded(df: DataFrame, column: str, named: str | None = None, charsets: tupl
     schema = T.StructType([*df.schema.fields, T.StructField("text", T.StringType()), T.StructField("charset", T.StringType())])
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE, column):
             body = batch.column(batch.schema.get_field_index(column))
             names = batch.column(batch.schema.get_field_index(named)).to_pylist() if named else [None] * batch.num_rows
             text = None
