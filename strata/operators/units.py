@@ -8,10 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.batches import slices
 from strata.functions.shipping import ship
 from strata.functions.text import strip, token_estimate
 
 MOST, LEAST = 4000, 800
+#: Bytes of texts that are cut into units at a time.
+SLICE = 2 << 20
 
 
 def next_break(body: str, at: int, most: int, least: int) -> int:
@@ -36,7 +39,7 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = docs.schema[key].dataType.simpleString()
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE, text):
             rows = [(k, i, u) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, u in enumerate(chunk_text(t or ""), 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=[key, "unit_no", "unit_text"])
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strata.functions import batches
-from strata.sources import paratext
+from strata.operators import units
+from strata.sources import charsets, paratext
 
 
 def grown(df) -> float:
@@ -56,3 +57,17 @@ def test_controls_of_many_long_texts(spark):
     alone = paratext.tokenized(spark.createDataFrame([(0, one)], "id long, body binary"), "body").select(F.size("tokens"), "payload_units", "malformed", F.size("to_visible"), F.element_at("to_visible", -1)).collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in alone]
     assert grown(df.select(F.size("tokens"))) < 500
+
+
+def test_units_of_many_long_texts(spark):
+    texts = spark.range(0, 400, 1, 1).select("id", F.lit("ab c\n\n" * 40000).alias("text"))
+    assert grown(units.chunk(texts, "id")) < 300
+    got = units.chunk(texts, "id").groupBy("id").agg(F.count("*").alias("n"), F.max("unit_no").alias("last"), F.sum(F.length("unit_text")).alias("m")).select("n", "last", "m").distinct().collect()
+    assert [tuple(r) for r in got] == [(len(c), len(c), sum(map(len, c))) for c in [units.chunk_text("ab c\n\n" * 40000)]]
+
+
+def test_charsets_of_many_long_texts(spark):
+    pages = spark.range(0, 400, 1, 1).select("id", F.encode(F.repeat(F.lit("a\u00e9"), F.lit(100000)), "ISO-8859-1").alias("body"))
+    d = charsets.decoded(pages, "body")
+    assert [tuple(r) for r in d.groupBy("charset", F.length("text")).count().collect()] == [("latin-1", 200000, 400)]
+    assert grown(d) < 200
