@@ -3,6 +3,7 @@ import struct
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,26 @@ def test_quotes_without_an_anchor_are_found_within_texts(spark, monkeypatch):
     monkeypatch.setattr(linking, "MOST_QUOTES", 2)
     blocks = find()
     assert small == blocks == {1: ("within", 1), 2: ("equal", 2), 3: ("within", 3), 4: ("none", None), 5: ("none", None), 6: ("within", 1), 7: ("within", 1)}
+
+
+def test_records_of_many_streams_are_sent_together(spark):
+    class Given:
+        """Stands for a table: gives back the function that its batches would go through."""
+
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    stream = struct.pack("<I", 66 | 3 << 20) + b"abc"
+    names = ["path", "stream", "bytes"]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(15000)]), pa.array(["s"] * 15000), pa.array([stream, stream * 2, None] * 5000, pa.binary())], names=names)
+    got = list(C.tagged_records(Given(), packed=False)([batch]))
+    assert [b.num_rows for b in got] == [10000, 5000]
+    assert pa.concat_arrays([b.column("body") for b in got]).to_pylist() == [b"abc"] * 15000
+    long = struct.pack("<II", 66 | 0xFFF << 20, 3 << 20) + b"z" * (3 << 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abc")), pa.array(["s"] * 3), pa.array([long] * 3, pa.binary())], names=names)
+    assert [b.num_rows for b in C.tagged_records(Given(), packed=False)([batch])] == [2, 1]
