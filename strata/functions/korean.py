@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.batches import slices
 from strata.functions.shipping import ship
 
 #: Endings that a cue token loses, tried one after another in this order.
@@ -20,12 +21,15 @@ def cue_tokens(c: Column, stop: tuple[str, ...] = ()) -> Column:
     """Distinct tokens of Latin letters, digits and Hangul in lower case, without endings, of two characters or more."""
 
     def bare(t: Column) -> Column:
+        out = t
         for e in ENDINGS:  # two characters at least stay before an ending
-            t = F.regexp_replace(t, f"^(.{{2,}}){e}$", "$1")
-        return t
+            out = F.regexp_replace(out, f"^(.{{2,}}){e}$", "$1")
+        # a token changes only if its last character is that of an ending
+        return F.when(F.substring(t, -1, 1).isin(*sorted({e[-1] for e in ENDINGS})), out).otherwise(t)
 
-    found = F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[0-9a-z가-힣]+"), 0), bare)
-    found = F.array_distinct(F.filter(found, lambda t: F.length(t) >= 2))
+    # distinct before the endings are taken off, which is done once for each
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[0-9a-z가-힣]+"), 0))
+    found = F.array_distinct(F.filter(F.transform(found, bare), lambda t: F.length(t) >= 2))
     return F.array_except(found, F.array(*map(F.lit, stop))) if stop else found
 
 
@@ -35,7 +39,7 @@ def compatible(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches, 2 << 20, text):
             plain = ["".join(unicodedata.normalize("NFKC", t or "").split()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.string())], names=[key, "plain"])
 

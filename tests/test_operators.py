@@ -116,3 +116,23 @@ def test_greedy_cover_seeds_families_and_fills_up(spark):
     assert registers.greedy_cover(df, "k", "feature", 10, family="f") == ["b", "d", "a", "c"]
     assert registers.greedy_cover(df, "k", "feature", 2) == ["b", "d"]
     assert registers.greedy_cover(df.limit(0), "k", "feature") == []
+
+
+def test_cue_tokens_lose_endings_once(spark):
+    import random
+    import re
+
+    from strata.functions import korean
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice(["가", "a", "9", "B", *korean.ENDINGS]) for _ in range(rng.randrange(1, 5))) for _ in range(30)) for _ in range(40)] + ["", None]
+
+    def bare(t):
+        for e in korean.ENDINGS:
+            t = re.sub(f"^(.{{2,}}){e}$", r"\1", t)
+        return t
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", korean.cue_tokens(F.col("t")).alias("c")).collect()
+    for r in got:
+        found = [bare(t) for t in re.findall("[0-9a-z가-힣]+", (texts[r["i"]] or "").lower())]
+        assert r["c"] == list(dict.fromkeys(t for t in found if len(t) >= 2))
