@@ -48,7 +48,7 @@ SELECT role, place, role = 'report' AS required, true AS present FROM f UNION AL
 def scanned_files(spark, sf_dir):
     root = f"{sinks.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
     s = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("value"), F.get(F.array(*map(F.lit, "abc")), (F.col("s_suppkey") % 3).cast("int")).alias("kind"), F.col("s_suppkey").alias("n"))
-    s.coalesce(1).write.partitionBy("kind", "n").text(root)
+    filetree.written(s, root, ["kind", "n"], "value")
     found = filetree.named(filetree.listing(spark, root), _PATTERNS)
     return found.select("role", F.regexp_replace("path", "/[^/]*$", "").alias("place"), "required", "present")
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow.fs as files_of
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.functions.shipping import ship
+
 
 def resolved(path: Column) -> Column:
     """A path without empty parts, single points, and parts that a double point takes back."""
@@ -15,9 +18,43 @@ def resolved(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
+def written(df: DataFrame, root: str, folders: list[str], value: str) -> None:
+    """Writes a text file for each row, in folders name=value of some columns below root; a folder gets one file if its rows differ in none of these columns.
+
+    All tasks write. Hadoop starts a process or two for each file that it creates on a local disk, to set its mode,
+    so that files below a file: root are written as files; any other store gets them by Spark's own writer.
+    """
+    spark = df.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    dealt = df.select(*[F.col(c).cast("string").alias(c) for c in folders], value).repartition(tasks, *folders)
+    if not root.startswith("file:"):
+        dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*folders).text(root)
+        return
+    ship(spark)
+    base = re.sub(r"^file:/+", "/", root)
+
+    def put(rows):
+        disk, texts = files_of.LocalFileSystem(), {}
+        for r in rows:
+            texts.setdefault("/".join(f"{c}={r[c]}" for c in folders), []).append((r[value] or "") + "\n")
+        for folder, lines in texts.items():
+            disk.create_dir(f"{base}/{folder}")
+            # the same name whenever the task is run again
+            with disk.open_output_stream(f"{base}/{folder}/part.txt") as f:
+                f.write("".join(lines).encode())
+
+    dealt.foreachPartition(put)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, modified) of every file below a folder, paths relative to it; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # folders are listed by some tasks for each core; by default Spark starts a task for each folder, up to ten thousand
+    tasks, before = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    try:
+        spark.conf.set(tasks, str(4 * spark.sparkContext.defaultParallelism))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    finally:
+        spark.conf.set(tasks, before)
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     base = re.sub(r"^file:/+", "file:/", whole)

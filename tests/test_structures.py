@@ -374,6 +374,18 @@ def test_files_count_once_and_required_ones_are_missed(spark, tmp_path):
     assert rows(got, "role", "place", "path", "required", "present") == [("all", 0, "a/b/y.txt", True, True), ("none", 0, "*.pdf", True, False), ("one", 0, "a/x.txt", True, True)]
 
 
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(k, n, f"{k}{n}") for k in "ab" for n in range(40)] + [("a", 3, None)], "kind string, n int, value string").coalesce(1)
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("written", "")
+    filetree.written(df, f"file://{tmp_path}/t", ["kind", "n"], "value")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in seen.getJobIdsForGroup("written") for s in seen.getJobInfo(j).stageIds]
+    assert max(seen.getStageInfo(s).numTasks for s in stages) == 4 * spark.sparkContext.defaultParallelism
+    got = {str(p.parent.relative_to(tmp_path / "t")): sorted(p.read_text().splitlines()) for p in (tmp_path / "t").rglob("*") if p.is_file() and p.suffix == ".txt"}
+    assert got == {f"kind={k}/n={n}": ["", "a3"] if (k, n) == ("a", 3) else [f"{k}{n}"] for k in "ab" for n in range(40)}
+
+
 # Mined rules
 
 
