@@ -18,6 +18,12 @@ def resolved(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """A folder with its store, which a path alone takes from the session's default."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
 def written(df: DataFrame, root: str, folders: list[str], value: str) -> None:
     """Writes a text file for each row, in folders name=value of some columns below root; a folder gets one file if its rows differ in none of these columns.
 
@@ -27,11 +33,12 @@ def written(df: DataFrame, root: str, folders: list[str], value: str) -> None:
     spark = df.sparkSession
     tasks = 4 * spark.sparkContext.defaultParallelism
     dealt = df.select(*[F.col(c).cast("string").alias(c) for c in folders], value).repartition(tasks, *folders)
-    if not root.startswith("file:"):
+    whole = _qualified(spark, root)
+    if not whole.startswith("file:"):
         dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*folders).text(root)
         return
     ship(spark)
-    base = re.sub(r"^file:/+", "/", root)
+    base = re.sub(r"^file:/+", "/", whole)
 
     def put(rows):
         disk, texts = files_of.LocalFileSystem(), {}
@@ -55,9 +62,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     finally:
         spark.conf.set(tasks, before)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
-    base = re.sub(r"^file:/+", "file:/", whole)
+    base = re.sub(r"^file:/+", "file:/", _qualified(spark, root))
     bare = F.regexp_replace("path", r"^file:/+", "file:/")
     return files.select(F.when(bare.startswith(base), F.substr(bare, F.lit(len(base) + 2))).otherwise(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
