@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.batches import release
+
 from .common import forget, id_crc, ship, slices, written
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their id.
@@ -59,8 +62,18 @@ def features(words: set[str]) -> set[str]:
 
 @dataclass
 class Model:
+    """A bias and a weight a feature, kept as two columns; only where texts are scored they become a dictionary."""
+
     bias: float = 0.0
-    weights: dict[str, float] = field(default_factory=dict)
+    names: pa.Array = field(default_factory=lambda: pa.array([], pa.string()))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    @cached_property
+    def weights(self) -> dict[str, float]:
+        return dict(zip(self.names.to_pylist(), self.values.tolist(), strict=True))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "weights"}
 
     def logit(self, words: set[str]) -> float:
         w = self.weights
@@ -83,26 +96,57 @@ def swapped(words: set[str], identity: tuple[str, ...] = IDENTITY, step: int = 1
     return (words - found) | {identity[(place[w] + step) % len(identity)] for w in found}
 
 
+#: Entries of a sparse matrix that a product works on at once.
+BLOCK = 1 << 19
+
+
 @dataclass
 class Lists:
-    """A sparse matrix of 0, 1 and -1 by lists of columns; column -1 is a constant where ``ones`` is set."""
+    """A sparse matrix of 0, 1 and -1 by lists of columns; column -1 is a constant where ``ones`` is set.
+
+    The driver holds four bytes an entry, one more where entries are negative; products go block by block.
+    """
 
     columns: np.ndarray
-    rows: np.ndarray
-    signs: np.ndarray
-    n: int
+    signs: np.ndarray | None  # None: no entry is negative
+    starts: np.ndarray
     ones: bool
 
     @classmethod
     def of(cls, signed: np.ndarray, lengths: np.ndarray, ones: bool) -> Lists:
         """signed: column + 1, negative where the entry is -1; lengths: entries of each row."""
-        return cls(np.abs(signed) - 1, np.repeat(np.arange(len(lengths)), lengths), np.sign(signed).astype(float), len(lengths), ones)
+        columns = np.abs(signed).astype(np.int32, copy=False)
+        columns -= 1
+        return cls(columns, np.sign(signed).astype(np.int8) if (signed < 0).any() else None, np.append(0, np.cumsum(lengths, dtype=np.int64)), ones)
+
+    @property
+    def n(self) -> int:
+        return len(self.starts) - 1
+
+    def blocks(self):
+        """(rows, entries, lengths) of as many whole rows as BLOCK entries hold, one at least."""
+        at = 0
+        while at < self.n:
+            end = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + BLOCK, "right")) - 1)
+            yield slice(at, end), slice(self.starts[at], self.starts[end]), np.diff(self.starts[at : end + 1])
+            at = end
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, w[self.columns] * self.signs, self.n) + (w[-1] if self.ones else 0.0)
+        out = np.zeros(self.n)
+        for rows, entries, lengths in self.blocks():
+            v = w[self.columns[entries]]
+            if self.signs is not None:
+                v *= self.signs[entries]
+            out[rows] = np.bincount(np.repeat(np.arange(len(lengths)), lengths), v, len(lengths))
+        return out + (w[-1] if self.ones else 0.0)
 
     def back(self, r: np.ndarray, m: int, squares: bool = False) -> np.ndarray:
-        out = np.bincount(self.columns, r[self.rows] * (1.0 if squares else self.signs), m)
+        out = np.zeros(m)
+        for rows, entries, lengths in self.blocks():
+            v = np.repeat(r[rows], lengths)
+            if self.signs is not None and not squares:
+                v *= self.signs[entries]
+            out += np.bincount(self.columns[entries], v, m)
         if self.ones:
             out[-1] = r.sum()
         return out
@@ -193,16 +237,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[st
     held = counts.filter((F.col("a") + F.col("b") >= LEAST_ROWS) | F.col("feature").isin(list(identity))).toArrow()
     p, q = (held.column(1).to_numpy() + 0.5) / (pos + 1), (held.column(2).to_numpy() + 0.5) / (neg + 1)
     z = np.abs(p - q) / np.sqrt(p * np.abs(1 - p) / (pos + 1) + q * np.abs(1 - q) / (neg + 1) + 1e-12)
-    sure = dict(zip(held.column(0).to_pylist(), z.tolist(), strict=True))
-    for g in [g for g in identity if g in sure]:
-        for step in SWAPS:
-            sure.setdefault(swapped({g}, identity, step).pop(), 0.0)
-    names = sorted(sure)
-    penalty = np.append(ridge * np.maximum(1.0, SURE / np.maximum([sure[f] for f in names], 0.05)) ** 2, 0.0)
-    shared = spark.sparkContext.broadcast({f: j + 1 for j, f in enumerate(names)})
+    names = held.column(0).combine_chunks()
+    named = set(names.filter(pc.is_in(names, pa.array(identity, names.type))).to_pylist())
+    brought = sorted({swapped({g}, identity, step).pop() for g in named for step in SWAPS} - named)  # by swaps alone
+    names, z = pa.concat_arrays([names, pa.array(brought, names.type)]), np.append(z, np.zeros(len(brought)))
+    order = pc.sort_indices(names)
+    names, z = names.take(order), z[order.to_numpy()]
+    penalty = np.append(ridge * np.maximum(1.0, SURE / np.maximum(z, 0.05)) ** 2, 0.0)
+    del held, p, q, z, order
+    shared = spark.sparkContext.broadcast(names)
 
     def index(batches):
-        column = shared.value
+        column = {f: j for j, f in enumerate(shared.value.to_pylist(), 1)}
         for batch in slices(batches, 8 << 20):
             xs, zs = [], []
             for t in batch.column(2).to_pylist():
@@ -219,10 +265,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, identity: tuple[st
 
     def lists(column, ones: bool) -> Lists:
         column = column.combine_chunks()
-        return Lists.of(pc.list_flatten(column).to_numpy().astype(np.int64), pc.list_value_length(column).to_numpy().astype(np.int64), ones)
-
-    w = solve(lists(table.column("x"), True), table.column("y").to_numpy().astype(float), lists(pc.list_flatten(table.column("z")), False), penalty, **how)
-    return Model(float(w[-1]), dict(zip(names, w[:-1].tolist(), strict=True)))
+        return Lists.of(pc.list_flatten(column).to_numpy(), pc.list_value_length(column).to_numpy().astype(np.int64), ones)
+
+    x, y, change = lists(table.column("x"), True), table.column("y").to_numpy().astype(float), lists(pc.list_flatten(table.column("z")), False)
+    del table
+    w = solve(x, y, change, penalty, **how)
+    del x, change
+    release()
+    return Model(float(w[-1]), names, w[:-1])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
