@@ -119,6 +119,11 @@ _FLAGS = "(p_partkey % 2) + (p_partkey % 3 % 2) * 2 + (p_partkey % 4) * 4 + (p_p
 _PARA_FLAGS = "(p_partkey % 8) * 4 + (p_partkey % 4) * 32 + (p_partkey % 2) * 128 + (p_partkey % 100) * 512 + (p_partkey % 3 % 2) * 524288 + (p_partkey % 4) * 1048576 + (p_partkey % 4) * 8388608 + (p_partkey % 7) * 33554432"
 
 
+def _spread(spark, parts):
+    """Parts dealt to all cores: a file of few bytes a row is read by one task, and records take much longer to decode than to read."""
+    return parts.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def _name(names, code: str, other: str) -> str:
     return f"coalesce(([{', '.join(repr(n) for n in names)}])[{code} + 1], '{other}')"
 
@@ -132,7 +137,7 @@ def _hex(value: str) -> str:
 UNION ALL SELECT p_partkey, 'para', CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE concat_ws('|', {_name(S.HORIZONTAL, "p_partkey % 8", "JUSTIFY")}, {_name(S.VERTICAL, "p_partkey % 4", "BASELINE")}, {_name(S.LATIN_BREAKS, "p_partkey % 4", "KEEP_WORD")}, CASE WHEN p_partkey % 2 = 1 THEN 'KEEP_WORD' ELSE 'BREAK_WORD' END, p_partkey % 100, p_partkey % 3 % 2 = 1, {_name(S.HEADINGS, "p_partkey % 4", "NONE")},
 CASE WHEN p_partkey % 4 = 0 OR p_partkey % 13 = 0 THEN 0 ELSE p_partkey % 1000 END, p_partkey % 7, -p_size, p_size * 10, CASE WHEN p_partkey % 3 = 0 THEN p_size * 7 ELSE p_size * 5 END, CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 0 END) END FROM part""")
 def style_shapes(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"))
+    p = _spread(spark, read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size")))
     k, s = F.col("p_partkey"), F.col("p_size")
     seven = lambda v, w: [(v(i), w) for i in range(7)]
     flags = lambda e: F.expr(e.replace("//", "div"))
@@ -163,7 +168,7 @@ def border_fills(spark, sf_dir):
     grade = F.concat(grade, F.when(s % 3 == 0, F.lit(b"\x4d")).otherwise(F.lit(b"")))
     image = P.packed((2, 4), (s % 17, 1), (-5, 1), (7, 1), (s % 5, 1), (s, 2), (0, 4))
     fill = F.when(kind == 0, P.packed((0, 4), (0, 4))).when(kind == 1, solid).when(kind == 2, grade).when(kind == 3, image).when(kind == 4, P.packed((0, 2))).when(kind == 5, P.packed((4, 4), (0, 17), (9, 4))).otherwise(P.packed((8, 4), (0, 4)))
-    d = read(spark, sf_dir, "part").select("p_partkey", F.concat(head, fill).alias("b"))
+    d = _spread(spark, read(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.concat(head, fill).alias("b"))
     d = sinks.kept(d, "borders")
     f, line, border = S.fill(F.col("b"), 32), S._line(F.col("b"), 2), P.number(F.col("b"), 0, 2)
     d = d.select("p_partkey", f.alias("f"), line.alias("l"), S._named(S._bits(border, 2, 7), S.SLASHES, "NONE").alias("slash"), (S._bits(border, 8, 3) > 0).alias("crooked"))

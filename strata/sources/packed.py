@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,23 +16,40 @@ from strata.functions.shipping import ship
 LINE_SEGMENT = (("textpos", "u4"), ("vertpos", "i4"), ("vertsize", "i4"), ("textheight", "i4"), ("baseline", "i4"), ("spacing", "i4"), ("horzpos", "i4"), ("horzsize", "i4"), ("flags", "u4"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f reads it; the code Spark makes for f does not grow with that."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _reversed(b: Column) -> Column:
+    """The bytes of a binary value in reverse."""
+    return F.encode(F.reverse(F.decode(b, "ISO-8859-1")), "ISO-8859-1")
+
+
 def number(body: Column, at: Column | int, width: int, signed: bool = False) -> Column:
     """The little-endian number of ``width`` bytes (up to 4) at a place of a binary value; null where it ends before."""
     at = F.lit(at) if isinstance(at, int) else at
-    digits = F.concat(*[F.hex(F.substring(body, at + 1 + i, F.lit(1))) for i in reversed(range(width))])
-    value = F.conv(digits, 16, 10).cast("long")
+    digits = [F.hex(F.substring(body, at + 1 + i, F.lit(1))) for i in reversed(range(width))]
+    value = F.conv(F.concat(*digits) if width > 1 else digits[0], 16, 10).cast("long")
     if signed:
-        value = F.when(value >= 1 << (8 * width - 1), value - (1 << (8 * width))).otherwise(value)
+        value = F.shiftright(F.shiftleft(value, 64 - 8 * width), 64 - 8 * width)
     return F.when((at >= 0) & (F.octet_length(body) >= at + width), value)
 
 
 def packed(*fields: tuple[Column | int, int]) -> Column:
-    """Binary of (value, width in bytes) one after another, little-endian; negative values as their complement."""
-    parts = []
-    for value, width in fields:
-        v = (F.lit(value) if isinstance(value, int) else value).cast("long")
-        parts += [F.lpad(F.hex(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(width)]
-    return F.unhex(F.concat(*parts))
+    """Binary of (value, width in bytes) one after another, little-endian; negative values as their complement.
+
+    Numbers are written from the last to the first, the high byte first, and their bytes reversed together.
+    """
+    parts: list[Column | str] = []
+    for value, width in reversed(fields):
+        if isinstance(value, int):
+            digits = (value & ((1 << 8 * width) - 1)).to_bytes(width, "big").hex().upper()
+            parts[-1:] = [parts[-1] + digits] if parts and isinstance(parts[-1], str) else [*parts[-1:], digits]
+        else:
+            v = value.cast("long")
+            parts.append(F.lpad(F.hex(v if width >= 8 else v.bitwiseAND(F.lit((1 << 8 * width) - 1))), 2 * width, "0"))
+    return _reversed(F.unhex(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])))
 
 
 def bit(flags: Column, place: int) -> Column:

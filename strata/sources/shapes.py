@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.sources.packed import bit, number
+from strata.sources.packed import bit, number, once
 
 #: Fixed values of the public format: names by code, and how long bodies are at least.
 LANGUAGES = 7
@@ -53,12 +53,15 @@ def colour(body: Column, at: int | Column, none: bool = False, alpha: bool = Fal
 
 def char_shape(b: Column) -> Column:
     """The character shape that a body packs; null with a body too short for one."""
+    return F.when(F.octet_length(b) >= CHAR_BYTES, once(number(b, 46, 4), lambda a: _char_shape(b, a)))
+
+
+def _char_shape(b: Column, a: Column) -> Column:
     each = lambda at, width, signed=False: F.array(*[number(b, at + i * width, width, signed) for i in range(LANGUAGES)])
-    a = number(b, 46, 4)
     underline, strike = _bits(a, 2, 3), _bits(a, 18, 7)
     under = _named(underline, UNDERLINES, "NONE")
     lined = under != "NONE"
-    shape = F.struct(
+    return F.struct(
         each(0, 2).alias("font_ref"), each(14, 1).alias("ratio"), each(21, 1, True).alias("spacing"), each(28, 1).alias("relative_size"), each(35, 1, True).alias("offset"), F.greatest(F.lit(0), number(b, 42, 4, True)).alias("height"),
         colour(b, 52).alias("text_color"), colour(b, 60, none=True).alias("shade_color"), bit(a, 25).alias("use_font_space"), bit(a, 30).alias("use_kerning"), _named(_bits(a, 21, 15), MARKS, "NONE").alias("sym_mark"), F.coalesce(number(b, 68, 2), F.lit(0)).alias("border_fill_id"),
         bit(a, 0).alias("italic"), bit(a, 1).alias("bold"), bit(a, 13).alias("emboss"), bit(a, 14).alias("engrave"), bit(a, 15).alias("superscript"), bit(a, 16).alias("subscript"), under.alias("underline"),
@@ -66,23 +69,25 @@ def char_shape(b: Column) -> Column:
         F.when(F.octet_length(b) >= 74, colour(b, 70, none=True)).otherwise("#000000").alias("strikeout_color"), _named(_bits(a, 8, 7), OUTLINES, "NONE").alias("outline"), _named(_bits(a, 11, 3), SHADOWS, "NONE").alias("shadow"), colour(b, 64).alias("shadow_color"),
         number(b, 50, 1, True).alias("shadow_x"), number(b, 51, 1, True).alias("shadow_y"),
     )
-    return F.when(F.octet_length(b) >= CHAR_BYTES, shape)
 
 
 def para_shape(b: Column) -> Column:
     """The paragraph shape that a body packs; null with a body too short for one. Fields added by later versions are 0 where they lack."""
-    a, a2, a3 = number(b, 0, 4), F.coalesce(number(b, 42, 4), F.lit(0)), F.coalesce(number(b, 46, 4), F.lit(0))
-    heading, numbering = _bits(a, 23, 3), number(b, 30, 2)
+    flags = F.struct(number(b, 0, 4).alias("a"), F.coalesce(number(b, 42, 4), F.lit(0)).alias("a2"), F.coalesce(number(b, 46, 4), F.lit(0)).alias("a3"), number(b, 30, 2).alias("numbering"))
+    return F.when(F.octet_length(b) >= PARA_BYTES, once(flags, lambda f: _para_shape(b, f["a"], f["a2"], f["a3"], f["numbering"])))
+
+
+def _para_shape(b: Column, a: Column, a2: Column, a3: Column, numbering: Column) -> Column:
+    heading = _bits(a, 23, 3)
     margins = [number(b, 4 + 4 * i, 4, True).alias(n) for i, n in enumerate(("left", "right", "indent", "prev", "next"))]
     offsets = [number(b, 34 + 2 * i, 2, True).alias(f"border_{n}") for i, n in enumerate(("left", "right", "top", "bottom"))]
     flags = {"font_line_height": 22, "snap_to_grid": 8, "widow_orphan": 16, "keep_with_next": 17, "keep_lines": 18, "page_break_before": 19, "border_connect": 28, "border_ignore_margin": 29}
-    shape = F.struct(
+    return F.struct(
         number(b, 28, 2).alias("tab_id"), _bits(a, 9, 127).alias("condense"), _named(_bits(a, 2, 7), HORIZONTAL, "JUSTIFY").alias("horizontal"), _named(_bits(a, 20, 3), VERTICAL, "BASELINE").alias("vertical"), _named(heading, HEADINGS, "NONE").alias("heading"),
         F.when((heading == 0) | (numbering == 0xFFFF), 0).otherwise(numbering).alias("heading_ref"), _bits(a, 25, 7).alias("heading_level"), _named(_bits(a, 5, 3), LATIN_BREAKS, "KEEP_WORD").alias("break_latin"), F.when(bit(a, 7), "KEEP_WORD").otherwise("BREAK_WORD").alias("break_other"),
         *[bit(a, n).alias(k) for k, n in flags.items()], _named(_bits(a2, 0, 3), WRAPS, "BREAK").alias("line_wrap"), bit(a2, 4).alias("space_latin"), bit(a2, 5).alias("space_numbers"), *margins, number(b, 32, 2).alias("border_fill_id"), *offsets,
         _named(_bits(a3, 0, 31), SPACINGS, "PERCENT").alias("line_spacing_type"), F.coalesce(number(b, 50, 4), F.greatest(F.lit(0), number(b, 24, 4, True))).alias("line_spacing"), F.greatest(F.lit(0), F.octet_length(b) - PARA_WHOLE).alias("extension_bytes"),
     )
-    return F.when(F.octet_length(b) >= PARA_BYTES, shape)
 
 
 def _line(b: Column, at: int) -> Column:
