@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from strata.operators import grids, sinks, trees
@@ -24,16 +24,17 @@ def _records(spark, sf_dir):
     body = F.when(F.col("doc") % 7 == 0, F.concat(body, F.lit(b"\x00"))).otherwise(body)
     p = F.lit
     head = [rec(p(0), "PARA_HEADER", 0), rec(p(1), "CTRL_HEADER", 1), rec(p(2), "LIST_HEADER", 2, when=F.col("doc") % 3 == 0), rec(p(3), "PARA_HEADER", 2, when=F.col("doc") % 3 == 0), rec(p(4), "TABLE", 2, body)]
-    i = F.col("n") * 20
-    q, n = F.col("q"), F.col("n")
-    wide = cell(q % 5, n % 4, q % 3, 1 + n % 2)
-    inner, deep, one = q % 4 == 0, q % 8 == 0, p(1)
-    own = [
-        rec(i, "LIST_HEADER", 2, wide), rec(i + 1, "PARA_HEADER", 2), rec(i + 2, "PARA_HEADER", 2, when=q % 2 == 0), rec(i + 3, "CTRL_HEADER", 3, when=inner), rec(i + 4, "TABLE", 4, table(one, one, [1]), inner),
-        rec(i + 5, "LIST_HEADER", 4, cell(p(0), p(0), one, one), inner), rec(i + 6, "PARA_HEADER", 4, when=inner), rec(i + 7, "CTRL_HEADER", 7, when=deep), rec(i + 8, "TABLE", 8, table(one, one, [2]), deep), rec(i + 9, "LIST_HEADER", 8, cell(p(0), p(0), one, one, 0), deep),
+    q, n, one = F.col("q"), F.col("n"), p(1)
+    # what a line adds: at which place, on which level, and whether to lines of all quantities or to those that 2, 4 or 8 divide
+    parts = [
+        (0, "LIST_HEADER", 2, 1, b""), (1, "PARA_HEADER", 2, 1, b""), (2, "PARA_HEADER", 2, 2, b""), (3, "CTRL_HEADER", 3, 4, b""), (4, "TABLE", 4, 4, table(one, one, [1])),
+        (5, "LIST_HEADER", 4, 4, cell(p(0), p(0), one, one)), (6, "PARA_HEADER", 4, 4, b""), (7, "CTRL_HEADER", 7, 8, b""), (8, "TABLE", 8, 8, table(one, one, [2])), (9, "LIST_HEADER", 8, 8, cell(p(0), p(0), one, one, 0)),
     ]
-    rows = doc.select("doc", F.explode(F.array_compact(F.array(*head))).alias("r")).union(lines.select("doc", F.explode(F.array_compact(F.array(*own))).alias("r")))
-    return rows.select("doc", "r.*")
+    own = F.array(*[F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in zip(("at", "tag", "level", "of", "body"), part, strict=True)]) for part in parts])
+    own = lines.select("doc", "n", "q", F.explode(F.filter(own, lambda x: q % x["of"] == 0)).alias("r"))
+    body = F.when(F.col("r.at") == 0, cell(q % 5, n % 4, q % 3, 1 + n % 2)).otherwise(F.col("r.body"))
+    own = own.select("doc", (n * 20 + F.col("r.at")).alias("idx"), "r.tag", "r.level", body.alias("body"))
+    return doc.select("doc", F.explode(F.array_compact(F.array(*head))).alias("r")).select("doc", "r.*").union(own)
 
 
 _CELLS = """l AS (SELECT l_orderkey AS doc, max(l_quantity)::BIGINT AS q, l_linenumber::BIGINT AS n FROM lineitem GROUP BY l_orderkey, l_linenumber),
