@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against brute force, with nulls, empties, ties and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -245,6 +246,55 @@ def test_word_ids_are_the_tokenizers():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def _encoded(ids, texts):
+    return [np.frombuffer(g, "<u4").tolist() for g in ids.ids(texts)]
+
+
+def test_word_ids_of_capitals_with_marks():
+    """h and a line below are composed to one letter, H and a line below are not, and stay two when lower-cased."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    texts = ["H\u0331", "T\u0308x, W\u030a! aY\u030a", "J\u030c1 h\u0331", "É\u0331! Äé, äé"]
+    assert _encoded(packing.WordIds(path), texts) == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_parts_of_words_are_encoded_once():
+    """Words that share letters and numbers give the tokenizer these parts once, not a text for each pair."""
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.sent = inner, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.sent += sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    ids = packing.WordIds(packing.default_vocabulary())
+    full = ids.tokenizer = Counting(ids.tokenizer)
+    stems = ["".join(x) for x in itertools.product("abcde", repeat=3)]
+    ids.ids([" ".join(f"{s}{n}" for s in stems) for n in range(200)])
+    ids.ids([" ".join(f"{s}{n}" for s in stems) for n in range(200)])
+    assert full.sent < 2 * (sum(map(len, stems)) + sum(len(str(n)) for n in range(200)))
+
+
+@pytest.mark.parametrize("remembered, longest, kinds", [(1_000_000, 64, 1), (1_000_000, 64, 2), (30, 64, 0), (10, 3, 3)])
+def test_word_ids_when_hashes_clash_and_parts_are_forgotten(monkeypatch, remembered, longest, kinds):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    monkeypatch.setattr(packing, "LONGEST", longest)
+    if kinds:
+        monkeypatch.setattr(packing, "hashes", lambda raw, starts, lengths: lengths.astype(np.uint64) % np.uint64(kinds))
+    path = packing.default_vocabulary()
+    t, ids, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(9)
+    alphabet = list("abzAHT09!?.,|-'\" \t\n\x0b\x00") + ["'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "É", "é", "÷", "\u0331", "\u0338", "<", "日", "\u2003", "x" * 70]
+    for n in (0, 1, 40, 40, 40, 40):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(alphabet) for _ in range(rng.randrange(20))) for _ in range(n)]
+        assert _encoded(ids, texts) == [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert len(ids.hashes) <= max(remembered, 40 * 20)
+
+
 def test_pieces_come_with_their_ids(odd, none):
     got = packing.pack_documents(odd, capacity=64, ids=True).collect()
     assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
