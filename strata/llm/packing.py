@@ -23,10 +23,14 @@ CAPACITY = 4096
 END = 1
 #: Pieces in a packing group, on average; a group closes at most about one sequence early.
 GROUP = 20_000
-#: Parts of words that a worker remembers, some 60 bytes each.
-REMEMBERED = 1_000_000
+#: Bytes of text that are tokenised at once; the arrays of a slice take some 50 times as much.
+SLICE = 512 << 10
+#: Parts of words that a worker remembers, some 60 bytes each, also while it is idle or does later stages' work.
+REMEMBERED = 200_000
 #: Bytes of the longest part that is remembered; longer ones are encoded once a batch.
 LONGEST = 64
+#: Characters of the texts whose encodings are held at once.
+AT_ONCE = 50_000
 
 _TOKENIZERS: dict = {}
 
@@ -120,6 +124,19 @@ def plain(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return bad[ends] == bad[ends - lengths]
 
 
+def encoded(tokenizer, texts: list[str]):
+    """Ids of each text. Encodings, some 200 bytes a token, are held for texts of about AT_ONCE characters (or one text) only."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= AT_ONCE:
+            size += len(texts[end])
+            end += 1
+        for e in tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+        at = end
+
+
 class WordIds:
     """Token ids of texts by a tokenizer that lower-cases and whose pre-tokenizer splits on white space.
 
@@ -171,7 +188,7 @@ class WordIds:
         """Ids of words, each with a space after it, and where those of each word end; encoded 200 words at a time."""
         cuts = [0, *stops[199:-1:200].tolist(), len(words)]
         texts = [words[a : b - 1].decode() for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        ids = np.concatenate([np.zeros(0, "<u4"), *[np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]])
+        ids = np.concatenate([np.zeros(0, "<u4"), *encoded(tokenizer, texts)])
         return ids, np.flatnonzero(self.ends[ids]) + 1
 
     def encode_each(self, parts: list[bytes]) -> list[bytes]:
@@ -182,8 +199,7 @@ class WordIds:
             t = p.decode("utf-8", "surrogatepass")
             (letters if t.isalpha() else rest).append((i, t))
         chunks = [letters[i : i + 200] for i in range(0, len(letters), 200)]
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(t for _, t in c) for c in chunks], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
+        for chunk, ids in zip(chunks, encoded(self.tokenizer, [" ".join(t for _, t in c) for c in chunks]), strict=True):
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(chunk):  # a letter that the tokenizer turns into more than one word
                 rest += chunk
@@ -192,8 +208,8 @@ class WordIds:
             for (i, _), stop in zip(chunk, (ends * 4).tolist(), strict=True):
                 out[i] = raw[start:stop]
                 start = stop
-        for (i, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+        for (i, _), ids in zip(rest, encoded(self.tokenizer, [t for _, t in rest]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +314,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
         words = tokenizer(vocabulary or default_vocabulary())
         uid = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, SLICE):
             out: dict[str, list] = defaultdict(list)
             found, bounds = words.column(batch.column(1))
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
