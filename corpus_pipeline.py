@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.functions.batches import send_little
 from strata.llm import common, minhash, mixing, packing, substrings, toxicity
 
 
@@ -15,6 +16,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     scored as texts without words and stay unless the model says otherwise; rows that repeat are scored
     alike; an empty table gives an empty one.
     """
+    send_little(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, score="_toxic_score", predicted="_toxic").filter("_toxic = 0").select(*docs.columns)
 
@@ -26,6 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     whose other columns come first stays. Rows without a doc_id, and texts without words, stay. An empty
     table gives an empty one.
     """
+    send_little(spark)
     found = common.settled(minhash.near_duplicates(docs, percent=80), "found")
     key = F.xxhash64("text")
     gone = common.written(found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
@@ -47,6 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are, and so do rows without a doc_id; no row is dropped. Rows that
     repeat a doc_id are judged each by its own text. An empty table gives an empty one.
     """
+    send_little(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = substrings.remove_repeats(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_strata"), *rest).alias("_strata_rest")))
     columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
@@ -72,6 +76,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are the end id alone. Rows that repeat are packed one by one. An empty table gives
     an empty one.
     """
+    send_little(spark)
     return packing.pack_documents(docs, ids=True)
 
 

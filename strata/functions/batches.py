@@ -9,6 +9,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Bytes of the record batches that executors send to Python workers; Spark alone would fill 64 MB or 10,000 rows, held by both sides.
+MOST_SENT = "4m"
+
+
+def send_little(spark) -> None:
+    """From now on this session's record batches hold about MOST_SENT (or one row), unless it has a bound of its own.
+
+    A bound that ended with the caller would not hold for the plans that it returns.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, MOST_SENT)
+
+
 def release() -> None:
     """Gives memory that this worker has freed back to the system, for a worker is used again by later stages."""
     pa.default_memory_pool().release_unused()

@@ -6,8 +6,11 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pyspark
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
+from strata.functions import batches
 from strata.llm import packing
 
 
@@ -45,3 +48,21 @@ def test_texts_encoded_few_at_a_time(monkeypatch):
         monkeypatch.setattr(packing, "AT_ONCE", most)
         assert [x.tolist() for x in packing.encoded(t, texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     assert list(packing.encoded(t, [])) == []
+
+
+def test_record_batches_of_the_pipeline_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(sent):
+        for b in sent:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    own = spark.newSession()
+    corpus_pipeline.pack_sequences(own, own.createDataFrame([], "doc_id long, text string"), "")
+    assert own.conf.get(key) == batches.MOST_SENT
+    got = own.range(0, 3000, 1, 1).select(F.repeat(F.lit("ab "), F.lit(4000)).alias("text")).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 5 << 20
+    other = spark.newSession()
+    other.conf.set(key, "7m")
+    batches.send_little(other)
+    assert other.conf.get(key) == "7m"
